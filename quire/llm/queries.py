@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .jaccard_join import jaccard_join
 from .line_dedup import dedup_lines
+from .packing import best_fit_packing
 from .quality_classifier import classify_quality, trusted_ids
 from .quality_rules import apply_rules
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(load(spark, sf_dir, "documents"))
 
@@ -26,10 +32,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(load(spark, sf_dir, "documents"), trusted_ids(load(spark, sf_dir, "labels")))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
