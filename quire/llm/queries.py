@@ -14,6 +14,8 @@ from .line_dedup import dedup_lines
 from .packing import best_fit_packing
 from .quality_classifier import classify_quality, trusted_ids
 from .quality_rules import apply_rules
+from .sentencepiece_scan import decode, encode
+from .token_counts import count_tokens
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +26,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(load(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(load(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(load(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("select -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
@@ -46,7 +57,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
