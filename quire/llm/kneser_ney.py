@@ -160,8 +160,13 @@ class Probe:
         known.update(zip(words, np.add.reduceat(found, np.cumsum(counts) - counts).tolist(), strict=True))
 
 
+def row_key(doc_id: str | Column, lang: str | Column, text: str | Column) -> Column:
+    """A hash that tells rows apart: of the document's id, language and text, each null or not."""
+    return F.xxhash64(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id.cast("long"), F.coalesce(lang, F.lit("")), text)
+
+
 def document_scores(docs: DataFrame, scores: DataFrame, measure: Callable | None = None, fields: str = "", shard_bytes: int = SHARD_BYTES, order: int = ORDER) -> DataFrame:
-    """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, n_events, loss (mean negative log probability, null without words) and the `fields` that `measure(texts, words)` gives.
+    """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, n_events, loss (mean negative log probability, null without words) the `fields` that `measure(texts, words)` gives, and row (its `row_key`).
 
     Shards of the sorted score arrays are broadcast one at a time, each of bounded size; a document's loss is a sum
     over windows, so shards add up. One shard needs one scan of the documents, k shards need k.
@@ -169,10 +174,8 @@ def document_scores(docs: DataFrame, scores: DataFrame, measure: Callable | None
     spark = docs.sparkSession
     arrays, shards = score_shards(scores, shard_bytes)
     arrays = written(arrays, "arrays")
-    schema = "doc_id long, lang string, n_words long, n_events long, total double"
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    if shards > 1:  # rows of one document are told apart when shards are added up
-        docs = docs.withColumn("row", F.xxhash64("doc_id", "lang", "text"))
+    schema = "doc_id long, lang string, n_words long, n_events long, total double, row long"
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text").withColumn("row", row_key("doc_id", "lang", "text"))
     names = [x.split()[0] for x in fields.split(", ") if x]
 
     def scan(shard: int) -> DataFrame:
@@ -197,19 +200,17 @@ def document_scores(docs: DataFrame, scores: DataFrame, measure: Callable | None
                 for lang, w in fresh.items():
                     probe.learn(lang, [x for x in w if x not in probe.words.get(lang, ())])
                 cols = [batch["doc_id"], batch["lang"], pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(len, w)) + len(w) for w in words], pa.int64()), pa.array([probe.total(x, w) for x, w in zip(langs, words, strict=True)], pa.float64())]
-                if "row" in batch.schema.names:
-                    cols.append(batch["row"])
-                cols += measure(texts, words) if measure and not shard else []
-                out = ["doc_id", "lang", "n_words", "n_events", "total", *["row"] * ("row" in batch.schema.names), *(names if not shard else [])]
+                cols += [batch["row"], *(measure(texts, words) if measure and not shard else [])]
+                out = ["doc_id", "lang", "n_words", "n_events", "total", "row", *(names if not shard else [])]
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], out)
 
-        return docs.mapInArrow(run, schema + ", row long" * (shards > 1) + (f", {fields}" if fields and not shard else ""))
+        return docs.mapInArrow(run, schema + (f", {fields}" if fields and not shard else ""))
 
     out = scan(0)
     for s in range(1, shards):
         more = scan(s).groupBy("row").agg((F.sum("total") / F.count("*")).alias("more"))
         out = out.join(more, "row").withColumn("total", F.col("total") + F.col("more")).drop("more")
-    return out.select("doc_id", "lang", "n_words", "n_events", F.when(F.col("n_events") > 0, -F.col("total") / F.col("n_events")).alias("loss"), *names)
+    return out.select("doc_id", "lang", "n_words", "n_events", F.when(F.col("n_events") > 0, -F.col("total") / F.col("n_events")).alias("loss"), *names, "row")
 
 
 def quantiles(scored: DataFrame, points: dict[str, float], step: float = 0.001) -> DataFrame:

@@ -147,8 +147,8 @@ def line_index(lines: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFram
     return rows.groupBy("shard").applyInPandas(build_shard, "shard int, hash binary, prints binary, counts binary, firsts binary, rest binary"), shards
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_lines, n_dropped, kept_text.
+def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KEYS, carry: bool = False) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, n_lines, n_dropped, kept_text; with `carry` also original, a struct of the whole row.
 
     A line's key is `line_key`; keys of at least `min_chars` code points held by two or more documents lose all their
     lines except in the smallest doc_id that holds them. Keys are known by two 64-bit hashes: one indexes the shard's
@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KE
     Null or empty text: one empty line. Null doc_id: the row stays whole and doesn't count. Rows with the same doc_id
     are parts of one document. Columns besides doc_id and text are ignored. Empty tables give an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *[F.struct("*").alias("original")] * carry)
     found = rows.filter("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     lines = written(found.select("doc_id", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")), "lines")
     index, shards = line_index(lines, shard_keys)
@@ -169,4 +169,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KE
     split = rows.join(lost, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
     stays = F.filter("lines", lambda x: ~((F.length(key(x)) >= min_chars) & F.array_contains("lost", F.struct(F.xxhash64(key(x)).alias("a"), F.xxhash64(F.lit(1), key(x)).alias("b")))))
     split = split.withColumn("stay", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(stays))
-    return split.select("doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept_text"))
+    return split.select("doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept_text"), *["original"] * carry)

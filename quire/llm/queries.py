@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_back
 from .common import load
+from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_join
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import best_fit_packing
 from .quality_classifier import classify_quality, trusted_ids
@@ -30,6 +32,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_formatting": op8_chat_formatting,
