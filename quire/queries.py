@@ -1,6 +1,414 @@
-"""Registry of the library's own queries and of the SQL that gives the same results."""
+"""The library's own queries over the driver's tables, with DuckDB SQL for each that SQL can express.
+
+Documents are books (doc_id, text, source as author), events are saves of reading progress, parts are a catalogue. Older
+snapshots are derived from the tables by language, so every row takes part.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from collections.abc import Callable
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from .functions import encoding, text
+from .operators import catalog, chunking, headings, manifest, progress, quality, reader
+from .plans.ingest import ingest
+from .sources import library
+from .streaming.progress import keep_most_recent
+
+#: Part size of the queries; the texts are far smaller than a part of the default size.
+PART = 2048
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").selectExpr("doc_id book_id", "text", "lang", "source author")
+
+
+def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books(spark, sf_dir).select("book_id", "lang", "author", F.sha2("text", 256).alias("hash"))
+
+
+# Chapter titles from the catalogue: the same SQL for both engines.
+TITLES = """select p_brand book_id, p_partkey line_no, case p_size % 8
+    when 0 then '第' || p_size || '卷 ' || p_type when 1 then '第' || p_size || '章 ' || p_name when 2 then p_name || '，' || p_type || '，' || p_name || '。'
+    when 3 then '第' || p_size || '章 第' || p_size || '节 ' || p_name when 4 then '楔子' when 5 then '第一卷 第二部 ' || p_name
+    when 6 then p_name || '，a，b，c，d，e' else '第' || p_size || '章' end title from part"""
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, line_no, title)."""
+    return spark.sql(TITLES.replace("from part", "from {p}"), p=load(spark, sf_dir, "part"))
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles numbered in their book."""
+    return titles(spark, sf_dir).selectExpr("book_id", "cast(row_number() over (partition by book_id order by line_no) as bigint) chapter", "title")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles(spark, sf_dir).withColumnRenamed("title", "line")
+
+
+def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_parts(books(spark, sf_dir), PART)
+
+
+def part_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.part_offsets(chunk_parts(spark, sf_dir).drop("start_byte"))
+
+
+def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunking.book_index(chunk_parts(spark, sf_dir))
+    return out.select("book_id", F.array_join(F.transform("parts", lambda p: F.concat(p["path"], F.lit(":"), p["size"].cast("string"))), " ").alias("parts"), "total_size")
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.whole_texts(chunking.chunk_parts(books(spark, sf_dir), PART, content=True)).select("book_id", F.sha2("content", 256).alias("sha256"))
+
+
+def read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = books(spark, sf_dir)
+    windows = own.filter("octet_length(text) > 0").selectExpr("book_id window_id", "book_id", "cast(book_id * 7919 % octet_length(text) as bigint) start_byte", "3000L length")
+    out = reader.read_windows(windows, chunking.chunk_parts(own, PART, content=True))
+    return out.select("book_id", "start_byte", F.lower(F.hex("content")).alias("bytes"))
+
+
+def reader_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir).selectExpr("book_id", "cast(coalesce(octet_length(text), 0) * 200L as bigint) total").withColumn("saved", (F.col("book_id") * 7919 % (F.col("total") + 1)).cast("long"))
+    first = reader.restored(F.col("saved"), F.col("total"))
+    last = reader.moved(first, F.array(*map(F.lit, ("down", "down", "up"))), F.col("total"))
+    return rows.select("book_id", "saved", first.alias("a"), last.alias("b")).select("book_id", "saved", F.col("a.s").alias("start_1"), F.col("a.e").alias("end_1"), F.col("b.s").alias("start_2"), F.col("b.e").alias("end_2"))
+
+
+def progress_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir).selectExpr("book_id", "text", "cast(coalesce(octet_length(text), 0) as bigint) total").withColumn("at", (F.col("book_id") * 131 % (F.col("total") + 1)).cast("long"))
+    return rows.select("book_id", text.percent(F.col("at"), F.col("total")).alias("percent"), text.preview(F.col("text")).alias("preview"), text.mib_label(F.col("total")).alias("mib"))
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashed(spark, sf_dir).select("book_id", "hash")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, the manifest of an older run that knew no French and other German texts, and the indexes that it left."""
+    files = hashed(spark, sf_dir)
+    old = files.filter("lang <> 'fr'").withColumn("hash", F.when(F.col("lang") == "de", "old").otherwise(F.col("hash")))
+    gone = files.filter("lang = 'es'").withColumn("book_id", -F.col("book_id") - 1)
+    return files, old.unionByName(gone), old.filter("lang <> 'es'").select("book_id")
+
+
+def plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.plan_changes(*_snapshot(spark, sf_dir))
+
+
+def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, old, _ = _snapshot(spark, sf_dir)
+    new = files.filter("lang in ('fr', 'de')")
+    return manifest.merge_manifest(old, new.select(old.columns), files).select("book_id", "hash", "lang")
+
+
+def removed_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, old, _ = _snapshot(spark, sf_dir)
+    return manifest.removed_books(old, files).select("book_id", "hash")
+
+
+def obsolete_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = books(spark, sf_dir)
+    assets = lambda size: chunking.chunk_parts(own, size).groupBy("book_id").agg(F.collect_list(chunking.part_path()).alias("assets"))
+    return manifest.obsolete_assets(assets(PART), assets(2 * PART))
+
+
+def pending_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.batches(books(spark, sf_dir).select("book_id"), 50, "book_id")
+
+
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = load(spark, sf_dir, "part").select(text.slug(F.concat_ws("-", "p_name", "p_brand")).alias("book_id"), F.col("p_partkey").alias("pos"))
+    return manifest.duplicate_ids(parts)
+
+
+def min_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.long_enough(books(spark, sf_dir)).select("book_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+
+
+def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books(spark, sf_dir).select("book_id", text.slug(F.get(F.split("text", "\n", -1), F.lit(0))).alias("slug"))
+
+
+def parse_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = load(spark, sf_dir, "part").selectExpr("p_partkey", "if(p_size > 25, concat('《', p_name, '》全本 作者：', p_brand, '.rar'), concat(p_name, '.RAR')) filename")
+    return names.select("p_partkey", text.book_name(F.col("filename")).alias("n")).select("p_partkey", "n.title", "n.author", text.slug(F.concat_ws("-", "n.title", "n.author")).alias("book_id"))
+
+
+def charset_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir).select("book_id", encoding.class_counts(F.col("text")).alias("c"))
+    return rows.select("book_id", "c.*", encoding.plausible(F.col("c")).alias("plausible"))
+
+
+@F.pandas_udf(BinaryType())
+def _stored(content: pd.Series, lang: pd.Series) -> pd.Series:
+    """A text as a file of another character set, by language."""
+    forms = {"fr": ("utf-8-sig", b""), "de": ("utf-16-le", b"\xff\xfe"), "es": ("utf-16-be", b"\xfe\xff")}
+    return content.combine(lang, lambda t, x: (lambda c: c[1] + (t or "").encode(c[0]))(forms.get(x, ("utf-8", b""))))
+
+
+def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir).select("book_id", _stored("text", "lang").alias("content"))
+    rows = rows.withColumn("charset", encoding.charset(F.col("content")))
+    return rows.select("book_id", "charset", F.sha2(encoding.decoded("content", "charset"), 256).alias("sha256"))
+
+
+def _zipped(batches):
+    """Archives of one text member each, after a folder and a blank member."""
+    import io
+    import zipfile
+
+    for batch in batches:
+        out = []
+        for t in batch["text"].to_pylist():
+            with zipfile.ZipFile(held := io.BytesIO(), "w") as z:
+                z.writestr("book/", b"")
+                z.writestr("a.txt", b" \n")
+                z.writestr("book/b.TXT", (t or "").encode())
+            out.append(held.getvalue())
+        yield pa.RecordBatch.from_arrays([batch["filename"], pa.array(out, pa.binary())], ["filename", "content"])
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir).select(F.concat(F.lit("《b"), F.col("book_id").cast("string"), F.lit("》作者："), "author", F.lit(".rar")).alias("filename"), "text")
+    return rows.mapInArrow(_zipped, "filename string, content binary")
+
+
+def extract_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = library.safe_names(library.members_of(_archives(spark, sf_dir))).withColumn("text", encoding.decoded("content", encoding.charset(F.col("content"))))
+    return library.first_text(found).select("filename", F.sha2("text", 256).alias("sha256"))
+
+
+def ingest_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _archives(spark, sf_dir)
+    members = library.members_of(files).filter("not is_dir and lower(member_name) like '%.txt' and octet_length(content) > 2").select("filename", "content")
+    none = spark.createDataFrame([], "book_id string, hash string")
+    return ingest(files, none, none.select("book_id"), members, PART)[2].select("book_id", "title", "author", F.size("assets").cast("long").alias("n_assets"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) book_id", "p_name title", "p_brand author", "0 total_chapters", "p_partkey pos")
+
+
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.from_rows(catalog.to_rows(catalog.summaries(_catalog(spark, sf_dir))))
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = load(spark, sf_dir, "documents").selectExpr("doc_id book_id", "lang title", "source author")
+    return own.join(chunking.book_index(chunk_parts(spark, sf_dir)), "book_id").selectExpr("cast(book_id as string) id", "title", "author", "parts", "total_size totalSize")
+
+
+def compat_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.to_compat(_flat(spark, sf_dir)).select("book.id", "book.title", "book.author", "book.totalChapters", F.size("book.parts").cast("long").alias("n_parts"), "book.totalSize", F.size("chapters").cast("long").alias("n_chapters"))
+
+
+def strip_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = catalog.to_compat(_flat(spark, sf_dir)).withColumn("chapters", F.when(F.col("book.title") == "en", F.array(F.col("book.id"))).otherwise(F.col("chapters")))
+    return catalog.strip_chapters(full).select("book.id", F.size("chapters").cast("long").alias("n_chapters"))
+
+
+def search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.search(_catalog(spark, sf_dir), " Red wid ").unionByName(catalog.search(_catalog(spark, sf_dir), "BRAND 2")).distinct().select("book_id", "title", "author")
+
+
+def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.page(catalog.search(_catalog(spark, sf_dir), "bolt"), 2, "pos").select("book_id", "title")
+
+
+def _saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").selectExpr("user_id", "get_json_object(props, '$.k') book_id", "ts updated_at", "event_id seq", "value")
+
+
+def progress_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = "to_json(named_struct('bookId', get_json_object(props, '$.k'), 'chapterId', if(event_type = 'error', null, event_type), 'updatedAt', if(value > 50, null, timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))), 'scrollPosition', event_id)) json"
+    stored = load(spark, sf_dir, "events").selectExpr("user_id", "event_id seq", entry)
+    return progress.read_entries(stored, F.timestamp_millis(F.lit(1893456000000))).select("user_id", "seq", "book_id", "chapter_id", F.unix_millis("updated_at").alias("updated_ms"))
+
+
+def progress_mru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.most_recent(_saves(spark, sf_dir)).select("user_id", "book_id", "seq", F.col("place").cast("long").alias("place"))
+
+
+def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.most_recent(_saves(spark, sf_dir), progress.SHOWN).select("user_id", "book_id", text.minute_label(F.col("updated_at")).alias("label"))
+
+
+def book_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) book_id")
+    return progress.books_with_progress(own, _saves(spark, sf_dir)).select("book_id", "readers", F.expr("timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(last_read as timestamp_ntz))").alias("last_ms"))
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "events")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    saves = stream.selectExpr("user_id", "get_json_object(props, '$.k') book_id", "ts updated_at", "event_id seq", "value")
+    return keep_most_recent(saves).select("user_id", "book_id", "seq", F.col("place").cast("long").alias("place"))
+
+
+def title_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.title_stats(chapters(spark, sf_dir))
+
+
+def marker_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.marker_usage(chapters(spark, sf_dir))
+
+
+def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_titles(chapters(spark, sf_dir))
+
+
+def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.issues(chapters(spark, sf_dir))
+
+
+def issue_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.first_issues(quality.issues(chapters(spark, sf_dir))).select("book_id", "type", "chapter", "title", F.col("place").cast("long").alias("place"), F.col("more").cast("long").alias("more"))
+
+
+def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = chapters(spark, sf_dir)
+    return quality.library_summary(own, quality.issues(own)).select("books", "chapters", "issues", F.round("quality", 6).alias("quality"), "verdict")
+
+
+def heading_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.marker_counts(lines(spark, sf_dir))
+
+
+def heading_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.hierarchy(lines(spark, sf_dir)).select("book_id", F.array_join("upper", "").alias("upper"), F.array_join("primary", "").alias("primary"))
+
+
+def heading_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumnRenamed("line", "title")
+    return rows.select("book_id", "line_no", F.round(headings.confidence("title", F.lit(1.6)), 6).alias("score"))
+
+
+def chapter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.detect_chapters(lines(spark, sf_dir)).select("book_id", F.col("chapter").cast("long").alias("chapter"), "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+def fallback_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = books(spark, sf_dir).filter("text is not null").select("book_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    return headings.fallback_chapters(own, 20)
+
+
+def fallback_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.fallback_books(fallback_chapters(spark, sf_dir))
+
+
+NAMED = (
+    chunk_parts, part_offsets, book_index, whole_texts, read_window, reader_windows, progress_label, content_hash, plan_changes, manifest_merge, removed_books, obsolete_assets, pending_batch, duplicate_ids,
+    min_lines, slug_names, parse_meta, charset_ratios, detect_encoding, extract_members, ingest_library, catalog_rows, compat_convert, strip_chapters, search_catalog, catalog_page, progress_valid, progress_mru,
+    recent_history, book_progress, stream_progress, title_stats, marker_usage, duplicate_titles, quality_issues, issue_top20, library_summary, heading_scan, heading_hierarchy, heading_score, chapter_spans,
+    fallback_chapters, fallback_books,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMED}
+
+PARTS = f"""recursive b as (select doc_id book_id, text, strlen(text)::bigint total, string_split(text, chr(10)) ls from documents where strlen(text) > 0),
+l as (select book_id, total, unnest(ls) line, generate_subscripts(ls, 1) i from b),
+starts as (select book_id, total, sum(strlen(line) + 1) over (partition by book_id order by i) pos from l),
+cut(book_id, total, n, a, e, more) as (select book_id, total, 0, 0::bigint, 0::bigint, true from b
+    union all select c.book_id, c.total, c.n + 1, c.e,
+        case when c.e + {{size}} < c.total then (select min(s.pos) from starts s where s.book_id = c.book_id and s.pos >= c.e + {{size}})::bigint else c.total end, true
+    from cut c where c.e < c.total),
+parts as (select book_id, n::int part_no, a start_byte, (e - a)::bigint size from cut where n > 0)"""
+P = PARTS.format(size=PART)
+SHELL = "'/books/' || book_id || '/part_' || lpad(part_no::varchar, 3, '0') || '.txt'"
+UPPER_SQL, PRIMARY_SQL = ("(" + " or ".join(f"contains(title, '{m}')" for m in ms) + ")" for ms in (headings.UPPER, headings.PRIMARY))
+MERGED_SQL = r"len(regexp_extract_all(title, '第\s*[\d〇零一二三四五六七八九十百千]+\s*[章节回集篇幕话段折品]'))"
+UPPERS_SQL = r"len(regexp_extract_all(title, '第\s*\S+?\s*[卷部册季]'))"
+MARKS_SQL = "len(regexp_extract_all(regexp_replace(title, '[！!？?]+$', ''), '[，。、；]'))"
+BARE_SQL = "title"
+for _m in headings.UPPER:
+    BARE_SQL = rf"regexp_replace({BARE_SQL}, '第.*?{_m}\s+', '', 'g')"
+SUSPECT_SQL = " or ".join(f"regexp_matches(bare, '{p}')" for p in (r"^[^第\d]*说[^！？。]*。", "^[是这那][^第]*[了着]。", "^[^第]*，[^！？。]{0,10}[。！？]"))
+CHAPTERS_SQL = f"ch as (select book_id, row_number() over (partition by book_id order by line_no) chapter, title from ({TITLES}))"
+ISSUES_SQL = f"""{CHAPTERS_SQL}, x as (select *, {BARE_SQL} bare, {MERGED_SQL} a, {MARKS_SQL} b, {UPPERS_SQL} c from ch),
+iss as (select book_id, 'merged_heading' as type, 'high' severity, chapter, title, a::bigint amount from x where a > 1
+    union all select book_id, 'long_title', 'medium', chapter, title, length(title) from x where length(title) > 80
+    union all select book_id, 'high_punctuation', 'medium', chapter, title, b from x where b > 3 and not {UPPER_SQL}
+    union all select book_id, 'multiple_upper_markers', 'high', chapter, title, c from x where c > 1
+    union all select book_id, 'missing_marker', 'medium', chapter, title, 1 from x where not {UPPER_SQL} and not {PRIMARY_SQL} and not regexp_matches(title, '楔子|序章|序言|引子|终章|尾声|尾记|后记|番外|外传|全文')
+    union all select book_id, 'suspicious_title', 'medium', chapter, title, 1 from x where {SUSPECT_SQL}
+    union all select book_id, 'duplicate_title', 'high', min(chapter), title, count(*) from ch group by book_id, title having count(*) > 1)"""
+HEADS = f"h as (select book_id, line_no, regexp_extract(title, '(?i)^(?:【[^】]+】\\s*)?(?:第\\s*)?(?:[IVXLCDM]+|\\d+|[{headings.CHINESE}]+)\\s*({headings.ANY})', 1) marker from ({TITLES}))"
+SNAP = """f as (select doc_id book_id, lang, sha256(text) hash from documents),
+o as (select book_id, lang, case lang when 'de' then 'old' else hash end hash from f where lang <> 'fr'), m as (select * from o union all select -book_id - 1, lang, hash from f where lang = 'es')"""
+SAVES = "s as (select user_id, props->>'$.k' book_id, ts, event_id from events), l as (select user_id, book_id, max(ts) ts, max_by(event_id, (ts, event_id)) seq from s group by all), r as (select *, row_number() over (partition by user_id order by ts desc, seq desc) place from l)"
+MRU = f"with {SAVES} select user_id, book_id, seq, place from r where place <= 20"
+CELLS = "string_split_regex(lower({}), '[^a-z0-9]+')"
+SLUG = "lower(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9一-龥]+', '-', 'g'), '^-+|-+$', '', 'g'))"
+
+ORACLE: dict[str, str] = {
+    "chunk_parts": f"with {P} select * from parts",
+    "part_offsets": f"with {P} select book_id, part_no, size, (sum(size) over w)::bigint end_byte, (sum(size) over w - size)::bigint start_byte from parts window w as (partition by book_id order by part_no)",
+    "book_index": f"with {P} select book_id, string_agg({SHELL} || ':' || size, ' ' order by part_no) parts, sum(size)::bigint total_size from parts group by book_id",
+    "whole_texts": "select doc_id book_id, sha256(text) sha256 from documents where strlen(text) > 0",
+    "read_window": "select doc_id book_id, (doc_id * 7919 % strlen(text))::bigint start_byte, lower(hex(array_slice(encode(text), doc_id * 7919 % strlen(text) + 1, doc_id * 7919 % strlen(text) + 3000))) bytes from documents where strlen(text) > 0",
+    "reader_windows": """with t as (select doc_id book_id, coalesce(strlen(text), 0)::bigint * 200 total from documents), v as (select *, book_id * 7919 % (total + 1) saved from t),
+w as (select *, case when saved > 0 then greatest(saved - 100000, 0) else 0 end s1, case when saved > 0 then least(saved + 100000, total) else least(100000, total) end e1 from v),
+d as (select *, case when e1 - s1 > 200000 then s1 + 100000 else s1 end s2, least(e1 + 100000, total) e2 from w), g as (select *, case when e2 - s2 > 200000 then s2 + 100000 else s2 end s3, least(e2 + 100000, total) e3 from d)
+select book_id, saved, s1::bigint start_1, e1::bigint end_1, greatest(s3 - 100000, 0)::bigint start_2, (case when e3 - s3 > 200000 then e3 - 100000 else e3 end)::bigint end_2 from g""",
+    "progress_label": """with t as (select doc_id book_id, text, coalesce(strlen(text), 0)::bigint total from documents), a as (select *, book_id * 131 % (total + 1) p from t),
+n as (select *, case when total > 0 then (p * 2000 + total) // (total * 2) else 0 end k, (total * 20 + 1048576) // 2097152 j,
+      list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')), lambda x: x <> '')[1] b from a)
+select book_id, k // 10 || '.' || k % 10 percent, coalesce(left(b, 20), '') preview, j // 10 || '.' || j % 10 mib from n""",
+    "content_hash": "select doc_id book_id, sha256(text) hash from documents",
+    "plan_changes": f"with {SNAP} select f.book_id, case when m.hash is null then 'new' when m.hash <> f.hash then 'changed' when f.lang = 'es' then 'missing_index' else 'current' end status from f left join m using (book_id)",
+    "manifest_merge": "select doc_id book_id, sha256(text) hash, lang from documents",
+    "removed_books": f"with {SNAP} select book_id, hash from m where book_id not in (select book_id from f)",
+    "obsolete_assets": f"with {PARTS.format(size=PART)}, c as (select book_id, part_no from parts) select book_id, {SHELL} asset from c where (book_id, part_no) not in (select (book_id, part_no) from (with {PARTS.format(size=2 * PART)} select book_id, part_no from parts))",
+    "pending_batch": "select doc_id book_id, (row_number() over (order by doc_id) + 49) // 50 batch from documents",
+    "duplicate_ids": f"select {SLUG.format("p_name || '-' || p_brand")} book_id, count(*) n, max(p_partkey) last_pos from part group by 1 having count(*) > 1",
+    "min_lines": "select doc_id book_id, len(string_split(text, chr(10)))::bigint n_lines from documents where len(string_split(text, chr(10))) >= 10",
+    "slug_names": f"select doc_id book_id, {SLUG.format('strip_accents(string_split(text, chr(10))[1])')} slug from documents",
+    "parse_meta": f"with t as (select p_partkey, p_name title, case when p_size > 25 then p_brand else '佚名' end author from part) select p_partkey, title, author, {SLUG.format("title || '-' || author")} book_id from t",
+    "charset_ratios": """with c as (select doc_id book_id, length(text) n, len(regexp_extract_all(text, chr(65533))) broken, len(regexp_extract_all(text, '[一-龥]')) ideographs,
+    len(regexp_extract_all(text, '[a-zA-Z0-9 \\t\\n\\r.,!?;:"''()《》【】　]')) common from documents)
+select book_id, n, broken::bigint broken, ideographs::bigint ideographs, common::bigint common, case when n < 100 or broken * 20 > n then false else ideographs * 10 > n or common * 2 > n end plausible from c""",
+    "detect_encoding": "select doc_id book_id, case lang when 'de' then 'utf-16le' when 'es' then 'utf-16be' else 'utf-8' end charset, sha256(coalesce(text, '')) sha256 from documents",
+    "extract_members": "select '《b' || doc_id || '》作者：' || source || '.rar' filename, sha256(text) sha256 from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
+    "ingest_library": f"""with recursive documents2 as (select doc_id, source, regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') text from documents),
+{P.removeprefix('recursive ').replace('from documents where', 'from documents2 where')} select {SLUG.format("'b' || doc_id || '-' || source")} book_id, 'b' || doc_id title, source author, count(*) n_assets
+from documents2 join parts on book_id = doc_id where len(string_split(text, chr(10))) >= 10 group by doc_id, source""",
+    "catalog_rows": "select p_partkey::varchar id, p_name title, p_brand author, 0::int \"totalChapters\" from part",
+    "compat_convert": f"with {P} select d.doc_id::varchar id, d.lang title, d.source author, 0::int \"totalChapters\", count(*) n_parts, sum(size)::bigint \"totalSize\", 0::bigint n_chapters from documents d join parts on book_id = doc_id group by all",
+    "strip_chapters": "select doc_id::varchar id, 0::bigint n_chapters from documents where lang = 'en' and strlen(text) > 0",
+    "search_catalog": f"""with t as (select p_partkey::varchar book_id, p_name title, p_brand author, {CELLS.format('p_name')} a, {CELLS.format('p_brand')} b from part)
+select book_id, title, author from t where (len(list_filter(a, lambda x: contains(x, 'red'))) > 0 and len(list_filter(a, lambda x: contains(x, 'wid'))) > 0) or (len(list_filter(b, lambda x: starts_with(x, 'red'))) > 0 and len(list_filter(b, lambda x: starts_with(x, 'wid'))) > 0)
+   or (len(list_filter(a, lambda x: contains(x, 'brand'))) > 0 and len(list_filter(a, lambda x: contains(x, '2'))) > 0) or (len(list_filter(b, lambda x: starts_with(x, 'brand'))) > 0 and len(list_filter(b, lambda x: starts_with(x, '2'))) > 0)""",
+    "catalog_page": f"select p_partkey::varchar book_id, p_name title from part where len(list_filter({CELLS.format('p_name')}, lambda x: contains(x, 'bolt'))) > 0 or len(list_filter({CELLS.format('p_brand')}, lambda x: starts_with(x, 'bolt'))) > 0 order by p_partkey limit 100",
+    "progress_valid": "select user_id, event_id seq, props->>'$.k' book_id, event_type chapter_id, case when value > 50 then 1893456000000 else epoch_us(ts) // 1000 end updated_ms from events where event_type <> 'error'",
+    "progress_mru": MRU,
+    "stream_progress": MRU,
+    "recent_history": f"with {SAVES} select user_id, book_id, strftime(ts, '%Y/%m/%d %H:%M') as label from r where place <= 5",
+    "book_progress": "with s as (select props->>'$.k' book_id, user_id, ts from events) select p_partkey::varchar book_id, count(distinct user_id) readers, epoch_us(max(ts)) // 1000 last_ms from part left join s on book_id = p_partkey::varchar group by p_partkey",
+    "title_stats": f"""with {CHAPTERS_SQL}, a as (select book_id, count(*) total, avg(length(title)) avg_len, min(length(title))::int min_len, max(length(title))::int max_len, count(*) filter ({UPPER_SQL}) with_prefix from ch group by book_id)
+select *, (with_prefix * 2000 + total) // (total * 2) // 10 || '.' || (with_prefix * 2000 + total) // (total * 2) % 10 || '%' prefix_ratio from a""",
+    "marker_usage": f"with {CHAPTERS_SQL}, m as (select unnest(string_split('{headings.ANY}', '|')) marker) select book_id, marker, count(*) n from ch join m on contains(title, marker) group by all",
+    "duplicate_titles": f"with {CHAPTERS_SQL} select book_id, title, count(*) n, min(chapter) first_chapter from ch group by book_id, title having count(*) > 1",
+    "quality_issues": f"with {ISSUES_SQL} select * from iss",
+    "issue_top20": f"""with {ISSUES_SQL}, p as (select *, row_number() over (partition by book_id order by severity = 'medium', chapter, list_position({list(quality.CHECKS)}, type), title) place, greatest(count(*) over (partition by book_id) - 20, 0) more from iss)
+select book_id, type, chapter, title, place, more from p where place <= 20""",
+    "library_summary": f"with {ISSUES_SQL}, t as (select count(distinct book_id) books, count(*) chapters, (select count(*) from iss) issues from ch) select *, round((1 - issues / greatest(chapters, 1)) * 100, 6) quality, case when issues = 0 then 'good' when issues < 10 then 'fair' else 'poor' end verdict from t",
+    "heading_scan": f"with {HEADS} select book_id, marker, count(*) n, min(line_no) first_line, max(line_no) last_line from h where marker <> '' group by all",
+    "heading_score": f"""with t as (select book_id, line_no, title, length(title) n, len(regexp_extract_all(title, '[，。,。？！、；]')) k from ({TITLES}))
+select book_id, line_no, round(1.6 + case when n <= 18 then 1.2 when n <= 34 then 0.8 when n <= 48 then 0.2 else -1.5 end + case when k = 0 then 0.8 when k = 1 and contains(title, '：') then 0.1 else k * -1.1 end, 6)::double score from t""",
+    "fallback_chapters": """with t as (select doc_id book_id, len(string_split(text, chr(10))) n from documents where text is not null), c as (select book_id, n, unnest(range(1, n + 1, 20)) a from t)
+select book_id, ((a - 1) // 20 + 1)::bigint chapter, '第' || ((a - 1) // 20 + 1) || '章 第' || a || '-' || least(a + 19, n) || '行' title, a::bigint start_line, least(a + 19, n)::bigint end_line from c""",
+    "fallback_books": "select doc_id book_id from documents where text is not null",
+}
