@@ -9,10 +9,11 @@ discards candidates without loss. What is left is compared shingle by shingle.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -71,13 +72,26 @@ def band_edges(percent: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def pieces_of(edges: np.ndarray, band: int, percent: int) -> int:
-    """One piece more than the differences that linked sets of the band can have."""
-    return int(2 * (edges[band + 1] - 1) * (100 - percent) // (100 + percent)) + 1
+@functools.cache
+def pieces_of(least: int, most: int, percent: int) -> tuple[int, int]:
+    """Pieces of a band of sizes from `least` to `most`, and how many of them linked sets agree on besides one.
+
+    Sets agree on one piece for each piece over the number of differences. So many more are made that nearly all
+    sets have no more empty pieces than that; a set like that leaves its empty pieces out, which lose no link then.
+    """
+    need = int(2 * most * (100 - percent) // (100 + percent)) + 1
+
+    def over(spare: int) -> float:
+        mean = (need + spare) * math.exp(-least / (need + spare))
+        return 1 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(spare + 1))
+
+    found = {x: over(x) for x in range(need // 2 + 2)} if need < 4000 else {need // 8: 0.0}
+    spare = next((x for x, p in found.items() if p < 1e-4), min(found, key=found.get))
+    return need + spare, spare
 
 
-def sketch(hashes: np.ndarray, band: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece keys and parity words of a sorted set."""
+def sketch(hashes: np.ndarray, band: int, pieces: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece keys and parity words of a sorted set; keys of empty pieces only if there are more than `spare`."""
     piece = ((hashes >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     counts = np.bincount(piece.astype(np.int64), minlength=pieces)
     full = np.flatnonzero(counts)
@@ -86,7 +100,8 @@ def sketch(hashes: np.ndarray, band: int, pieces: int) -> tuple[np.ndarray, np.n
     keys[full] = np.bitwise_xor.reduceat(hashes, starts)
     bits[full] = np.bitwise_xor.reduceat(np.uint32(1) << (hashes & np.uint64(31)).astype(np.uint32), starts)
     with np.errstate(over="ignore"):
-        return mix(keys ^ (np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band))), bits
+        keys = mix(keys ^ (np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
+    return keys[full] if pieces - len(full) <= spare else keys, bits
 
 
 FEATURES = "doc_id long, n long, k1 long, k2 long, own boolean, band int, keys array<long>, bits binary"
@@ -109,7 +124,7 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if not bands:
                     rows.append((*head, True, None, None, None))
                 for i, b in enumerate(bands):
-                    keys, bits = sketch(s, b, pieces_of(edges, b, percent))
+                    keys, bits = sketch(s, b, *pieces_of(int(edges[b]), int(edges[b + 1]) - 1, percent))
                     rows.append((*head, not i, b, keys.view(np.int64), bits.tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.binary())
@@ -162,34 +177,71 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return written(sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+def block_pairs(percent: int, best: bool):
+    """Task: rows sorted by (key, i, j) -> pairs (a, b) near by sketch of block i's with block j's nodes of other components."""
+
+    def group(block: np.ndarray, i: int, j: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list) -> tuple:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        words = np.frombuffer(b"".join(bits), np.uint32).reshape(len(bits), -1)
+        a, b = [], []
+        step = max(1, 500_000 // max(1, len(right) * words.shape[1]))
+        for at in range(0, len(left), step):
+            own = left[at : at + step]
+            apart = np.bitwise_count(words[own][:, None] ^ words[right][None]).sum(2, dtype=np.int64)
+            apart = np.maximum(apart, abs(n[own][:, None] - n[right][None]))
+            near = (comp[own][:, None] != comp[right][None]) & within(n[own][:, None], n[right][None], apart, percent)
+            for k in np.flatnonzero(near.any(1)):
+                to = np.flatnonzero(near[k])
+                if best:
+                    to = to[np.argsort(apart[k, to], kind="stable")]
+                    to = to[np.unique(comp[right[to]], return_index=True)[1]]
+                a.append(np.full(len(to), node[own[k]]))
+                b.append(node[right[to]])
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "i", "j", "block", "node", "component", "n")
+        held = [*(np.zeros(0, np.int64) for _ in names), np.zeros(0, object)]
+
+        def work(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, i, j, block, node, comp, n, bits = cols
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if e - s > 1:
+                    x, y = group(block[s:e], int(i[s]), int(j[s]), node[s:e], comp[s:e], n[s:e], bits[s:e].tolist())
+                    a += x
+                    b += y
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.empty(batch.num_rows, object)
+            bits[:] = batch["bits"].to_pylist()
+            held = [np.concatenate(x) for x in zip(held, [*(batch[x].to_numpy() for x in names), bits], strict=True)]
+            cut = int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))[-1] + 1) if (held[0][0], held[1][0], held[2][0]) != (held[0][-1], held[1][-1], held[2][-1]) else 0
+            if cut:  # the last group's rows may go on
+                yield work([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield work(held)
+
+    return run
+
+
+def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) near by sketch of nodes in one bucket and different components, compared in blocks of nodes.
 
-    `members` (key, node, component, n, bits). With `best`, of a node's pairs with a component only the nearest.
+    `members` (key, band, node, component). With `best`, of a node's pairs with a component only the nearest.
     """
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "blocks")
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(nodes.select("node", "band", "n", "bits"), ["node", "band"])
     dealt = dealt.withColumn("at", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))"))).select("key", "at.i", "at.j", "block", "node", "component", "n", "bits")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        left, right = (pdf[pdf["block"] == pdf[x].iloc[0]] for x in ("i", "j"))
-        out = {"a": [], "b": [], "c": [], "d": [], "apart": []}
-        if len(left) and len(right):
-            bits = np.stack([np.frombuffer(x, np.uint32) for x in right["bits"]])
-            ids, sizes, comps = (right[x].to_numpy() for x in ("node", "n", "component"))
-            for node, n, comp, x in zip(left["node"], left["n"], left["component"], left["bits"], strict=True):
-                apart = np.bitwise_count(bits ^ np.frombuffer(x, np.uint32)).sum(1, dtype=np.int64)
-                at = np.flatnonzero((comps != comp) & within(sizes, n, np.maximum(apart, abs(sizes - n)), percent))
-                if best and len(at):
-                    at = at[np.argsort(apart[at], kind="stable")]
-                    at = at[np.unique(comps[at], return_index=True)[1]]
-                out["a"] += [node] * len(at)
-                out["b"] += ids[at].tolist()
-        a, b = np.array(out["a"], np.int64), np.array(out["b"], np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(block_pairs(percent, best), "a long, b long").distinct()
 
 
 def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -209,12 +261,10 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[D
     stars = shared.select("band", F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("x")).select("band", "x.*").filter("a < b").distinct()
     tested = written(near_by_sketch(stars, nodes, percent), "stars")
     links = verified(tested, docs, width, percent)
+    inner = shared.filter("node <> lo and node <> hi").select("key", "band", "node")
     for best in (True, False):
-        found = connected_components(links)
-        members = shared.select("key", "band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        members = members.join(mixed, "key").join(nodes.select("node", "band", "n", "bits"), ["node", "band"])
-        pairs = written(cross_pairs(members, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        members = inner.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = written(cross_pairs(members, nodes, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         links = written(links.union(verified(pairs, docs, width, percent)), "links")
