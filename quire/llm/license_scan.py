@@ -51,7 +51,7 @@ UNKNOWN = (
 BEFORE = ("", "this file is part of the project. ", "copyright 2020 the authors. ", "notice: ")
 AFTER = ("", " see the license file for details.", " all other rights are reserved.")
 # Strings of which a licence notice holds one at least.
-ANCHORS = ("licens", "licenc", "copyright", "apache", "gnu", "gpl", "mozilla", "unencumbered", "redistribution", "permission", "commons", "cc0")
+ANCHORS = ("licens", "licenc", "copyright", "apache", "gnu", "gpl", "mozilla", "unencumbered", "redistribution", "permission", "commons", "cc0", "cc by")
 #: A template's word pairs that a paragraph must have for its family to be confirmed.
 OVERLAP = 0.7
 #: Share of held sentences of no family that may pass for a notice; the comparison with templates still holds them back.

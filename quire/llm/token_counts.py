@@ -107,7 +107,7 @@ def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2
                 ids = np.frombuffer(x or b"", kind)
                 at.append(np.flatnonzero(ids == separator))
                 counts.append(len(ids))
-            cols = [batch["file"], batch["block"], pa.array(counts, pa.int64()), pa.array(at, pa.list_(pa.int64()))] + [batch["names"]] * names
+            cols = [batch["file"], batch["block"], pa.array(counts, pa.int64()), pa.array(at, pa.list_(pa.int64())), *([batch["names"]] if names else [])]
             yield pa.RecordBatch.from_arrays(cols, ["file", "block", "n", "at"] + ["names"] * names)
 
     found = blocks.select(F.col("file").cast("long"), F.col("block").cast("long"), "ids", *["names"] * names).mapInArrow(run, "file long, block long, n long, at array<long>" + ", names array<long>" * names)
