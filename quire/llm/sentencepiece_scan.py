@@ -1,6 +1,10 @@
-"""SentencePiece encoding and decoding by the unigram model's best path, giant documents by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: merge (BPE) files by their merges, unigram files by the best path.
 
-The best path through a text maximises the sum of its pieces' scores. A chunk of a giant document maps the state at its
+A merge file's scores are ranks of merges, whose sum means nothing: its texts are merged pair by pair, best rank first.
+No merge crosses two characters that stand side by side in no piece, so giant documents are cut there; what lies between
+the last such place of a chunk and the first of a later one is put together and merged as one.
+
+Unigram files take a max-plus parallel scan. The best path through a text maximises the sum of its pieces' scores. A chunk of a giant document maps the state at its
 start (how many of its characters the piece from before covers) to the state at its end by a max-plus matrix. Matrices
 combine associatively: a scan gives every chunk the best scores of its entry states, from which it backtraces by itself,
 once per exit state; the exits are then chosen from the last chunk to the first.
@@ -9,6 +13,7 @@ once per exit state; the exits are then chosen from the last chunk to the first.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, byte_slices, tokenizer_path, written
@@ -25,24 +31,35 @@ MEMO_UNITS = 300_000
 #: Code points from which a document is giant, and those of its chunks.
 GIANT = 60_000
 CHUNK = 20_000
-LOW = -(1 << 60)
+LOW = float("-inf")
+#: Characters from which a text is merged by a heap, and beyond which it is not remembered.
+LONG = 200
 BLANK = "▁"
 
 
 class Model:
-    """Pieces and whole-number scores of a model file, and the best paths through short texts."""
+    """Pieces and scores of a model file, and the merges of or the best paths through short texts."""
 
     def __init__(self, path: str):
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(path, "rb") as file:
+            spec = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+        kinds = type(spec).SentencePiece
+        if spec.trainer_spec.model_type not in (1, 2) or any(x.type in (kinds.USER_DEFINED, kinds.UNUSED) for x in spec.pieces):
+            raise ValueError(f"{path}: only unigram and BPE models without user-defined and unused pieces")
+        self.merges = spec.trainer_spec.model_type == 2
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.vocab_size())
         plain = {sp.id_to_piece(i): i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        scores = {p: round(sp.get_score(i)) for p, i in plain.items()}
+        scores = {p: sp.get_score(i) for p, i in plain.items()}
         self.unknown = min(scores.values()) - 10
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         self.table: dict[str, tuple[int, int] | None] = {p[:n]: None for p in plain for n in range(1, len(p))}
         self.table |= {p: (scores[p], i) for p, i in plain.items()}
+        self.ids, self.scores = plain, scores
+        self.inner = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
         self.longest = max(map(len, plain))
         self.written = [bytes([b]) if (b := next((k for k, v in self.bytes.items() if v == i), None)) is not None and sp.is_byte(i) else sp.id_to_piece(i).encode() if sp.id_to_piece(i) in plain else b"" for i in ids]
         alphabet = {c for p in plain for c in p}
@@ -50,9 +67,61 @@ class Model:
         # no piece goes on over a blank that follows another character, nor over a character of none: paths meet there
         cut = not any(BLANK in p.lstrip(BLANK) for p in plain)
         self.unit = re.compile(f"{BLANK}*[^{BLANK}{breaks}]+|{BLANK}+" + (f"|[{breaks}]" if breaks else ""), re.S) if cut else re.compile(".+", re.S)
-        self.known: dict[str, tuple[int, bytes]] = {}
-
-    def paths(self, text: str, starts: dict[int, int], end: int) -> tuple[list[int], list[tuple[int, int]]]:
+        self.known: dict[str, tuple[float, bytes]] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """Symbols of a text after all merges: the pair of the best score first, the leftmost of equal ones."""
+        symbols, get = list(text), self.scores.get
+        if len(symbols) < LONG:
+            pairs = [get(a + b, LOW) for a, b in zip(symbols, symbols[1:], strict=False)]
+            while pairs and (best := max(pairs)) > LOW:
+                i = pairs.index(best)
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = get(symbols[i - 1] + symbols[i], LOW)
+                if i < len(pairs):
+                    pairs[i] = get(symbols[i] + symbols[i + 1], LOW)
+            return symbols
+        n = len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-score, i, 2) for i in range(n - 1) if (score := get(symbols[i] + symbols[i + 1], LOW)) > LOW]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not symbols[i] or j == n or len(symbols[i]) + len(symbols[j]) != size:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (score := get(symbols[a] + symbols[b], LOW)) > LOW:
+                    heapq.heappush(heap, (-score, a, len(symbols[a]) + len(symbols[b])))
+        return [x for x in symbols if x]
+
+    def merge(self, text: str) -> bytes:
+        """Ids of a text by merges, part by part between places that no piece crosses."""
+        ids, out, inner = self.ids, [], self.inner
+        places = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner), len(text)] if len(text) >= LONG else [0, len(text)]
+        for start, end in zip(places[:-1], places[1:], strict=True):
+            for x in self.merged(text[start:end]):
+                if x in ids:
+                    out.append(ids[x])
+                else:
+                    out += [self.bytes.get(b, 0) for b in x.encode()]
+        return np.array(out, "<u2").tobytes()
+
+    def parts(self, behind: str, body: str) -> list[tuple[int, str | None, bytes | None]]:
+        """(part, text, ids) of a chunk after the character `behind` it: 0, the text up to the first place that no piece crosses, 1, the ids up to the last one, 2, the text from there; the first and the last are merged with those of other chunks."""
+        text, n = behind + body, len(behind)
+        first = next((i for i in range(len(body)) if i + n == 0 or text[i + n - 1 : i + n + 1] not in self.inner), None)
+        if first is None:
+            return [(0, body, None)]
+        last = next((i for i in range(len(body) - 1, first, -1) if text[i + n - 1 : i + n + 1] not in self.inner), first)
+        return [(0, body[:first], None), (1, None, self.encode(body[first:last])), (2, body[last:], None)]
+
+    def paths(self, text: str, starts: dict[int, float], end: int) -> tuple[list[float], list[tuple[int, int]]]:
         """Best score of each place of `text` up to `end` and as far as pieces that start before reach, from the given places' scores; the piece (start, id) that gives it."""
         reach = min(len(text), end + self.longest - 1)
         best, back = [LOW] * (reach + 1), [(-1, -1)] * (reach + 1)
@@ -89,8 +158,13 @@ class Model:
     def encode_unit(self, unit: str) -> tuple[int, bytes]:
         if len(self.known) > MEMO_UNITS:
             self.known.clear()
-        best, back = self.paths(unit, {0: 0}, len(unit))
-        found = self.known[unit] = best[len(unit)], self.trace(unit, back, len(unit))[1]
+        if self.merges:
+            found = 0.0, self.merge(unit)
+        else:
+            best, back = self.paths(unit, {0: 0.0}, len(unit))
+            found = best[len(unit)], self.trace(unit, back, len(unit))[1]
+        if len(unit) <= LONG:
+            self.known[unit] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -109,7 +183,7 @@ class Model:
     def matrix(self, body: str, ahead: str) -> np.ndarray:
         """Transfer matrix of a chunk: best score from each entry state to each exit state."""
         n, text, states = len(body), body + ahead, self.longest
-        out = np.full((states, states), LOW, np.int64)
+        out = np.full((states, states), LOW)
         cut = self.cuts(body, ahead)
         if not cut:
             for e in range(min(states, n + 1)):
@@ -129,7 +203,7 @@ class Model:
     def chunk(self, body: str, ahead: str, entry: np.ndarray) -> list[tuple[int, bytes] | None]:
         """Per exit state, the entry state and the ids of the best path, given the entry states' best scores."""
         n, text = len(body), body + ahead
-        starts = {e: int(s) for e, s in enumerate(entry.tolist()) if s > LOW}
+        starts = {e: s for e, s in enumerate(entry.tolist()) if s > LOW}
         cut = self.cuts(body, ahead)
         if not cut:
             best, back = self.paths(text, starts, n)
@@ -160,13 +234,12 @@ def normalised(text: str) -> str:
 def scan(pdf: pd.DataFrame, states: int) -> pd.DataFrame:
     """Best scores of the entry states of a document's chunks, from their matrices."""
     pdf = pdf.sort_values("k", ignore_index=True)
-    now, out = np.full(states, LOW, np.int64), []
+    now, out = np.full(states, LOW), []
     now[0] = 0
     for m in pdf["matrix"]:
         out.append(now.tobytes())
-        through = now[:, None] + np.frombuffer(m, np.int64).reshape(states, states)
-        now = np.maximum(through.max(0), LOW)
-        now[now < LOW // 2] = LOW
+        through = now[:, None] + np.frombuffer(m).reshape(states, states)
+        now = through.max(0)
         if now.max() > LOW:  # scores relative to the best: paths stay the same, and sums stay small
             now[now > LOW] -= now.max()
     return pdf[["row", "k"]].assign(entry=out)
@@ -182,12 +255,46 @@ def choose(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["row", "k"]].assign(exit=out)
 
 
+def merge_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) of documents from their chunks (doc_id, row, k, behind, body), by merges.
+
+    A span of text runs from the last cut of a chunk to the first one of a later chunk; spans are put together by number.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(path)
+        for batch in byte_slices(batches, "body"):
+            out = [(d, r, k, *x) for d, r, k, c, b in zip(*(batch[n].to_pylist() for n in ("doc_id", "row", "k", "behind", "body")), strict=True) for x in m.parts(c, b)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["doc_id", "row", "k", "part", "text", "ids"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(path)
+        for batch in byte_slices(batches, "text", 2 << 20):
+            found = pa.array([m.encode(t.decode()) for t in as_bytes(batch["text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], batch["span"], pa.array(np.zeros(batch.num_rows, np.int32)), found], ["doc_id", "row", "span", "part", "ids"])
+
+    cut = chunks.select("doc_id", "row", "k", "behind", "body").mapInArrow(parts, "doc_id long, row long, k int, part int, text string, ids binary")
+    by = W.partitionBy("row").orderBy("k", "part").rowsBetween(W.unboundedPreceding, 0)
+    cut = written(cut.withColumn("span", F.sum((F.col("part") == 2).cast("long")).over(by)), "parts")
+    texts = cut.filter("part <> 1").groupBy("doc_id", "row", "span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part", "text"))), lambda x: x["text"]), "").alias("text"))
+    ids = texts.mapInArrow(spans, "doc_id long, row long, span long, part int, ids binary").union(cut.filter("part = 1").select("doc_id", "row", "span", "part", "ids"))
+    return joined_ids(ids, "span", "part")
+
+
+def joined_ids(parts: DataFrame, *order: str) -> DataFrame:
+    """(doc_id, ids) of documents from parts (doc_id, row, ids), put together by the columns of `order`."""
+    whole = F.transform(F.array_sort(F.collect_list(F.struct(*order, "ids"))), lambda x: x["ids"])
+    return parts.groupBy("doc_id", "row").agg(F.array_join(F.transform(whole, F.hex), "").alias("ids")).select("doc_id", F.unhex("ids").alias("ids"))
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, ids (unsigned 16-bit, little-endian).
 
-    Documents of over `giant` code points are cut into chunks of `chunk`; others are encoded whole. Scores are summed as
-    whole numbers; of equal paths, the one with the longer last piece wins, as in sequential encoding. A character of no
-    piece becomes its bytes' pieces. Null or empty text: no ids. Null doc_id and repeated rows: a row each. Other
+    Documents of over `giant` code points are cut into chunks of `chunk`; others are encoded whole. Merge files give the
+    library's ids; a text without any place that no piece crosses is merged in one task. Unigram files: scores are
+    summed in double precision; of equal paths, the one with the longer last piece wins, as in sequential encoding. A
+    character of no piece becomes its bytes' pieces. Null or empty text: no ids. Null doc_id and repeated rows: a row each. Other
     columns are ignored. Empty tables give an empty result.
     """
     path = tokenizer_path(model, folder)
@@ -199,10 +306,14 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([m.encode(normalised(t.decode("utf-8", "replace"))) for t in as_bytes(batch["text"])], pa.binary())], ["doc_id", "ids"])
 
     small = rows.filter(F.length("text") <= giant).mapInArrow(whole, "doc_id long, ids binary")
-    states = model_of(path).longest
+    states, merges = model_of(path).longest, model_of(path).merges
     large = rows.filter(F.length("text") > giant).select("doc_id", F.concat(F.lit(BLANK), F.translate("text", " ", BLANK)).alias("text")).withColumn("row", F.monotonically_increasing_id())
     large = large.select("doc_id", "row", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {chunk} as int))")).alias("k"))
-    large = written(large.select("doc_id", "row", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk})").alias("body"), F.expr(f"substring(text, (k + 1) * {chunk} + 1, {states - 1})").alias("ahead")).repartition(F.col("row"), F.col("k")), "chunks")
+    behind = F.expr(f"if(k = 0, '', substring(text, k * {chunk}, 1))").alias("behind")
+    large = written(large.select("doc_id", "row", "k", behind, F.expr(f"substring(text, k * {chunk} + 1, {chunk})").alias("body"), F.expr(f"substring(text, (k + 1) * {chunk} + 1, {states - 1})").alias("ahead")).repartition(F.col("row"), F.col("k")), "chunks")
+
+    if merges:
+        return small.union(merge_chunks(large, path))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(path)
@@ -213,7 +324,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(path)
         for batch in byte_slices(batches, "body"):
-            found = [m.chunk(b, a, np.frombuffer(e, np.int64)) for b, a, e in zip(batch["body"].to_pylist(), batch["ahead"].to_pylist(), batch["entry"].to_pylist(), strict=True)]
+            found = [m.chunk(b, a, np.frombuffer(e)) for b, a, e in zip(batch["body"].to_pylist(), batch["ahead"].to_pylist(), batch["entry"].to_pylist(), strict=True)]
             cols = [batch["doc_id"], batch["row"], batch["k"], pa.array([[x[0] if x else -1 for x in f] for f in found], pa.list_(pa.int32())), pa.array([[x[1] if x else None for x in f] for f in found], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "k", "froms", "ids"])
 
@@ -221,9 +332,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
     traced = written(large.join(entries, ["row", "k"]).mapInArrow(chunks, "doc_id long, row long, k int, froms array<int>, ids array<binary>"), "traced")
     exits = traced.select("row", "k", "froms").groupBy("row").applyInPandas(choose, "row long, k int, exit int")
     joined = traced.join(exits, ["row", "k"]).select("doc_id", "row", "k", F.expr("try_element_at(ids, exit + 1)").alias("ids"))
-    parts = F.array_sort(F.collect_list(F.struct("k", "ids")))
-    ids = F.aggregate(F.transform(parts, lambda x: x["ids"]), F.lit(b""), lambda s, x: F.concat(s, x))
-    return small.union(joined.groupBy("doc_id", "row").agg(ids.alias("ids")).select("doc_id", "ids"))
+    return small.union(joined_ids(joined, "k"))
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
