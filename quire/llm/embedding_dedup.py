@@ -2,9 +2,10 @@
 
 The graph starts from sign bands of random projections: rows that share a band's bits stand side by side in a range
 partitioning and become neighbours. Each round joins every list with its members' vectors and offers each member the
-nearest others of the list. Where all of a list is within the threshold, it is saturated and may hide more: lists are
-then enlarged to the whole component of links, compared in blocks. An audit compares a bounded sample with all rows;
-while it finds too little, another start with fresh projections and another round follow.
+nearest others of the list. Pairs within the threshold are links from when they are seen, whatever becomes of the lists.
+Close neighbours of a node's own component can't crowd out the rest: a list has as many places for nodes of other
+components, and offers those too. The links inside a component are all found at the end, compared in blocks. An audit
+compares a share of the nodes with all; while it finds too little, another start and round follow, then an exact search.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .components import connected_components
 LIST, BANDS, NEXT = 10, 12, 4
 #: Nodes that one task compares with as many others when lists are enlarged.
 BLOCK = 1024
-#: Nodes of the audit's sample; their vectors are the only ones that are broadcast.
-AUDIT = 256
+#: Share of the nodes that the audit compares with all; about twice LEAST at least of each class of component sizes.
+SHARE, LEAST = 0.01, 64
+#: Nodes that are broadcast at a time, to be compared with all.
+SLICE = 4096
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -74,21 +77,23 @@ def start(nodes: DataFrame, dim: int, count: int, seed: int) -> DataFrame:
     return rows.repartitionByRange("band", "code", "along", "node").sortWithinPartitions("band", "code", "along", "node").mapInArrow(link, "a long, b long, sim double").filter("a <> b")
 
 
-def lists_of(links: DataFrame) -> DataFrame:
-    """Each node's LIST nearest neighbours (a, b, sim) among links in either direction."""
+def lists_of(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Each node's LIST nearest neighbours of its own component and LIST of others (a, b, sim), among links in either direction."""
     both = links.union(links.select("b", "a", "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("r") <= LIST).drop("r")
+    both = both.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    both = both.select("a", "b", "sim", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("own"))
+    return both.withColumn("r", F.row_number().over(W.partitionBy("a", "own").orderBy(F.desc("sim"), "b"))).filter(F.col("r") <= LIST).select("a", "b", "sim")
 
 
-def local_join(lists: DataFrame, nodes: DataFrame, dim: int, most: int = 3) -> DataFrame:
-    """Links between members of a list: each member's `most` nearest others and all those of one list that it shares them with."""
+def local_join(lists: DataFrame, nodes: DataFrame, dim: int, threshold: float, most: int = 3) -> DataFrame:
+    """Links between members of a list: each member's `most` nearest others, `most` nearest of other components, and all of other components within the threshold. `nodes` have a component."""
     members = lists.select(F.col("a").alias("owner"), F.col("b").alias("node")).union(lists.select(F.col("a").alias("owner"), F.col("a").alias("node")).distinct())
-    rows = members.join(nodes.select("node", "vector"), "node").repartition("owner").sortWithinPartitions("owner", "node")
+    rows = members.join(nodes.select("node", "vector", "component"), "node").repartition("owner").sortWithinPartitions("owner", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def work(owner: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        def work(owner: np.ndarray, node: np.ndarray, component: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             a, b, sim = [], [], []
             cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -97,14 +102,18 @@ def local_join(lists: DataFrame, nodes: DataFrame, dim: int, most: int = 3) -> D
                 m = x[s:e] @ x[s:e].T
                 np.fill_diagonal(m, -2)
                 k = min(most, e - s - 1)
-                best = np.argpartition(-m, k - 1, axis=1)[:, :k]
-                a.append(np.repeat(node[s:e], k))
-                b.append(node[s:e][best.ravel()])
-                sim.append(np.take_along_axis(m, best, 1).ravel())
+                other = np.where(component[s:e, None] == component[None, s:e], -2, m)
+                near = other >= threshold
+                for of in (m, other):
+                    np.put_along_axis(near, np.argpartition(-of, k - 1, axis=1)[:, :k], True, axis=1)
+                i, j = np.nonzero(near & (m > -2))
+                a.append(node[s:e][i])
+                b.append(node[s:e][j])
+                sim.append(m[i, j])
             return pairs_batch(a, b, sim)
 
         for batch in batches:
-            part = batch["owner"].to_numpy(), batch["node"].to_numpy(), unit(batch["vector"].to_pylist()) if batch.num_rows else np.zeros((0, dim))
+            part = batch["owner"].to_numpy(), batch["node"].to_numpy(), batch["component"].to_numpy(), unit(batch["vector"].to_pylist()) if batch.num_rows else np.zeros((0, dim))
             held = [np.concatenate([p, q]) for p, q in zip(held, part, strict=True)] if held else list(part)
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last owner's rows may go on
             if cut:
@@ -113,7 +122,7 @@ def local_join(lists: DataFrame, nodes: DataFrame, dim: int, most: int = 3) -> D
         if held and len(held[0]):
             yield work(*held)
 
-    return rows.select("owner", "node", "vector").mapInArrow(join, "a long, b long, sim double")
+    return rows.select("owner", "node", "component", "vector").mapInArrow(join, "a long, b long, sim double")
 
 
 def enlarged(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -135,33 +144,78 @@ def enlarged(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("component", "i", "j").applyInPandas(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Recall of a bounded sample's links with all rows: those within components over all there are."""
+def slices(nodes: DataFrame, chosen: DataFrame) -> Iterator:
+    """Broadcasts of the nodes, components, classes and vectors of `chosen`, SLICE at a time; each is let go after use."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(7))).limit(AUDIT).select("node", "vector").collect()
-    if not sample:
-        return 1.0
-    sent = spark.sparkContext.broadcast((np.array([r[0] for r in sample]), unit([r[1] for r in sample])))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = sent.value
-        for batch in batches:
-            for part in (batch.slice(i, 4000) for i in range(0, batch.num_rows, 4000)):
-                i, j = np.nonzero(x @ unit(part["vector"].to_pylist()).T >= threshold)
-                other = part["node"].to_numpy()[j]
-                yield pairs_batch([ids[i][ids[i] != other]], [other[ids[i] != other]], [np.ones(int((ids[i] != other).sum()))])
-
-    true = nodes.select("node", "vector").mapInArrow(near, "a long, b long, sim double")
-    ends = true.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    got = ends.agg(F.count("*"), F.sum((F.col("ca") == F.col("cb")).cast("int"))).first()
-    return 1.0 if not got[0] else (got[1] or 0) / got[0]
+    count = chosen.count()
+    parts = max(1, math.ceil(count / SLICE))
+    dealt = written(chosen.select("node", "component", "class", "vector", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(parts)).cast("int").alias("part")), "slices")
+    for i in range(parts if count else 0):
+        rows = dealt.filter(F.col("part") == i).select("node", "component", "class", "vector").toArrow()
+        if rows.num_rows:
+            sent = spark.sparkContext.broadcast((*(rows[c].to_numpy() for c in ("node", "component", "class")), unit(rows["vector"].to_pylist())))
+            yield sent
+            sent.destroy()
+
+
+def placed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """`nodes` with their component (their own where they have no link) and its class, the whole part of the binary logarithm of its size."""
+    sizes = found.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
+    rows = nodes.select("node", "vector").join(found.join(sizes, "component"), "node", "left")
+    return rows.select("node", "vector", F.coalesce("component", "node").alias("component"), F.coalesce("class", F.lit(0)).alias("class"))
+
+
+def audit(nodes: DataFrame, threshold: float) -> float:
+    """Least recall by class of component sizes: of SHARE of the class's `nodes` (placed), about twice LEAST at least, the links within components over those with all nodes."""
+    sizes = {r[0]: r[1] for r in nodes.groupBy("class").count().collect()}
+    taken = [(c, min(1.0, max(SHARE, 2 * LEAST / n))) for c, n in sizes.items()]
+    share = F.create_map(*[F.lit(x) for t in taken for x in t])[F.col("class")] if taken else F.lit(1.0)
+    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
+    true: dict[int, list[int]] = {}
+    for sent in slices(nodes, chosen):
+
+        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, own, kind, x = sent.value
+            for batch in batches:
+                for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                    i, j = np.nonzero(x @ unit(part["vector"].to_pylist()).T >= threshold)
+                    differ = ids[i] != part["node"].to_numpy()[j]
+                    i, j = i[differ], j[differ]
+                    got = own[i] == part["component"].to_numpy()[j]
+                    kinds = np.unique(kind[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(np.array([(kind[i] == c).sum() for c in kinds], np.int64)), pa.array(np.array([got[kind[i] == c].sum() for c in kinds], np.int64))], ["class", "n", "got"])
+
+        for c, n, got in nodes.select("node", "component", "vector").mapInArrow(near, "class int, n long, got long").groupBy("class").agg(F.sum("n"), F.sum("got")).collect():
+            at = true.setdefault(c, [0, 0])
+            at[0] += n
+            at[1] += got
+    return min((got / n for n, got in true.values()), default=1.0)
+
+
+def exact(nodes: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b, sim) between `nodes` (placed) of different components, slice by slice."""
+    out = None
+    for sent in slices(nodes, nodes):
+
+        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, own, _, x = sent.value
+            for batch in batches:
+                for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                    m = x @ unit(part["vector"].to_pylist()).T
+                    i, j = np.nonzero((m >= threshold) & (own[:, None] < part["component"].to_numpy()[None, :]))
+                    yield pairs_batch([ids[i]], [part["node"].to_numpy()[j]], [m[i, j]])
+
+        links = written(nodes.select("node", "component", "vector").mapInArrow(near, "a long, b long, sim double"), "exact")
+        out = links if out is None else out.union(links)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rounds: int = 2, most_rounds: int = 6, recall: float = 0.98) -> DataFrame:
     """One row per distinct row of `vectors` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Equal vectors are one node with a number of copies. After `rounds` rounds the audit decides whether up to
-    `most_rounds` follow. No link is below the threshold; the links of a component are all found.
+    `most_rounds` follow; if it still finds less than `recall`, all nodes are compared. No link is below the threshold;
+    the links of a component are all found.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; vectors of different
     lengths don't link. Null vec_id: no component, null kept. Other columns are ignored. Empty tables give an empty result.
@@ -173,15 +227,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rounds: int = 2
     results = []
     for dim, count in sorted(nodes.groupBy("dim").count().collect()):
         own = nodes.filter(F.col("dim") == dim)
-        lists, done = None, 0
+        lists, links, found, done = None, None, None, 0
+
+        def linked(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+            """All links so far with those of `pairs`, and their components."""
+            more = pairs.filter(F.col("sim") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+            links = written((more if links is None else links.union(more)).groupBy("a", "b").agg(F.max("sim").alias("sim")), "links")
+            return links, written(connected_components(links), "found")
+
         while True:
-            fresh = start(own, dim, count, seed=done)
-            lists = written(lists_of(fresh if lists is None else fresh.union(lists)), "lists")
-            for _ in range(rounds if not done else 1):
-                lists = written(lists_of(lists.union(local_join(lists, own, dim))), "lists")
-                done += 1
-            found = written(connected_components(lists.filter(F.col("sim") >= threshold)), "found")
-            if done >= most_rounds or audit(own, found, threshold) >= recall:
+            pairs = written(start(own, dim, count, seed=done), "pairs")
+            steps = rounds if not done else 1
+            for step in range(steps + 1):
+                links, found = linked(pairs, links)
+                lists = written(lists_of(pairs if lists is None else pairs.union(lists), found), "lists")
+                if step < steps:
+                    pairs = written(local_join(lists, placed(own, found), dim, threshold), "pairs")
+            done += max(steps, 1)
+            now = written(placed(own, found), "placed")
+            if audit(now, threshold) >= recall:
+                break
+            if done >= most_rounds:
+                links, found = linked(exact(now, threshold), links)
                 break
         results.append(own.select("node", "vector", "copies").join(enlarged(own, found, threshold), "node", "left").join(found, "node", "left").select("node", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     out = rows.select("vec_id", "vector")
