@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
-        found = written(small, name)
+        found, before = written(small, name), found
+        forget(before)
         now = state(found)
         if now == seen:
             break

@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, small_side, written
+from .common import as_bytes, byte_slices, forget, small_side, written
 from .components import connected_components
 
 #: Sizes of a band grow by this factor.
@@ -90,8 +91,10 @@ def pieces_of(least: int, most: int, percent: int) -> tuple[int, int]:
     return need + spare, spare
 
 
-def sketch(hashes: np.ndarray, band: int, pieces: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece keys and parity words of a sorted set; keys of empty pieces only if there are more than `spare`."""
+def sketch(hashes: np.ndarray, band: int, pieces: int, spare: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Piece keys and parity words of a sorted set, and how many keys it may do without: `spare`, less the empty pieces.
+    Keys of empty pieces are there only if there are more of these than `spare`.
+    """
     piece = ((hashes >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     counts = np.bincount(piece.astype(np.int64), minlength=pieces)
     full = np.flatnonzero(counts)
@@ -101,36 +104,81 @@ def sketch(hashes: np.ndarray, band: int, pieces: int, spare: int) -> tuple[np.n
     bits[full] = np.bitwise_xor.reduceat(np.uint32(1) << (hashes & np.uint64(31)).astype(np.uint32), starts)
     with np.errstate(over="ignore"):
         keys = mix(keys ^ (np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
-    return keys[full] if pieces - len(full) <= spare else keys, bits
+    empty = pieces - len(full)
+    return (keys[full], bits, spare - empty) if empty <= spare else (keys, bits, spare)
+
+
+def bands_of(n: int, edges: np.ndarray, percent: int) -> list[int]:
+    """The band of a set of `n` elements and, near its upper end, the next; none of very small sets."""
+    band = int(np.searchsorted(edges, n, "right")) - 1
+    return [] if band < 0 else [band, band + 1] if n * 100 // percent >= edges[band + 1] else [band]
+
+
+def heads(docs: DataFrame, width: int) -> DataFrame:
+    """Of every row of `docs` (doc_id, text): doc_id, a hash h of the text, the set's size n, and the set's two keys k1 and k2."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for batch in byte_slices(batches, "text"):
+            sets = [shingle_set(t.lower().split(), width, known) for t in as_bytes(batch["text"])]
+            k1 = [int(np.add.reduce(s).astype(np.int64)) if len(s) else 0 for s in sets]
+            k2 = [int(np.bitwise_xor.reduce(mix(~s)).astype(np.int64)) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *(pa.array(x, pa.int64()) for x in (list(map(len, sets)), k1, k2))], ["doc_id", "h", "n", "k1", "k2"])
 
-FEATURES = "doc_id long, n long, k1 long, k2 long, own boolean, band int, keys array<long>, bits binary"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, k1 long, k2 long")
 
 
-def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """FEATURES of every row of `docs` (doc_id, text): set size, set key, and pieces in its band and, near the band's upper end, in the next."""
+def piece_keys(nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, node, band): a row per piece of every row of `nodes` (node, text), in each of its bands."""
     edges = band_edges(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in byte_slices(batches, "text"):
-            rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"]), strict=True):
+            found = [(node, b, sketch(s, b, *pieces_of(int(edges[b]), int(edges[b + 1]) - 1, percent))[0]) for node, text in zip(batch["node"].to_pylist(), as_bytes(batch["text"]), strict=True) for s in [shingle_set(text.lower().split(), width, known)] for b in bands_of(len(s), edges, percent)]
+            if found:
+                sizes = [len(k) for _, _, k in found]
+                cols = np.concatenate([k for _, _, k in found]).view(np.int64), np.repeat(np.array([x for x, _, _ in found], np.int64), sizes), np.repeat(np.array([x for _, x, _ in found], np.int32), sizes)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "node", "band"])
+
+    return nodes.select("node", "text").mapInArrow(run, "key long, node long, band int")
+
+
+def sketches(nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, band, n, slack, bits) of every row of `nodes` (node, text), in each of its bands: size, keys it may do without, parity words."""
+    edges = band_edges(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for batch in byte_slices(batches, "text", 2 << 20):
+            rows = []
+            for node, text in zip(batch["node"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 s = shingle_set(text.lower().split(), width, known)
-                n = len(s)
-                head = (doc, n, int(np.add.reduce(s).astype(np.int64)), int(np.bitwise_xor.reduce(mix(~s)).astype(np.int64))) if n else (doc, 0, 0, 0)
-                band = int(np.searchsorted(edges, n, "right")) - 1
-                bands = [] if band < 0 else [band, band + 1] if n * 100 // percent >= edges[band + 1] else [band]
-                if not bands:
-                    rows.append((*head, True, None, None, None))
-                for i, b in enumerate(bands):
-                    keys, bits = sketch(s, b, *pieces_of(int(edges[b]), int(edges[b + 1]) - 1, percent))
-                    rows.append((*head, not i, b, keys.view(np.int64), bits.tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n", "k1", "k2", "own", "band", "keys", "bits"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
+                for b in bands_of(len(s), edges, percent):
+                    _, bits, slack = sketch(s, b, *pieces_of(int(edges[b]), int(edges[b + 1]) - 1, percent))
+                    rows.append((node, b, len(s), slack, bits.tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "band", "n", "slack", "bits"])
+
+    return nodes.select("node", "text").mapInArrow(run, "node long, band int, n long, slack int, bits binary")
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: (key, node, band) sorted by key and node -> (key, band, node, lo) of all but the first node, lo, of each key."""
+    last_key, last_node, lo = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+        start = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        run = np.cumsum(start)
+        first = np.concatenate([[lo if lo is not None else 0], node[start]])[run]
+        repeated = ~start & np.concatenate([[last_node is not None and node[0] == last_node], node[1:] == node[:-1]])
+        at = np.flatnonzero((node != first) & ~repeated)
+        last_key, last_node, lo = key[-1], node[-1], first[-1]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch["band"].take(pa.array(at)), pa.array(node[at]), pa.array(first[at])], ["key", "band", "node", "lo"])
 
 
 def within(n1: np.ndarray, n2: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -174,7 +222,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi")
     table = written(texts.mapInArrow(sets, "doc_id long, hashes binary"), "sets")
     sides = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    return written(sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
+    out = written(sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
+    forget(ids, table)
+    return out
 
 
 def block_pairs(percent: int, best: bool):
@@ -231,13 +281,25 @@ def block_pairs(percent: int, best: bool):
     return run
 
 
+def needed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`members` (key, band, node, component) of buckets with two components or more, but for the `slack` fullest buckets of each node and band.
+
+    Linked sets share more pieces than any of them has slack, counting pieces that are empty in both. All nodes rank
+    buckets alike, so the emptiest bucket that two of them share is among those that both keep.
+    """
+    of = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("l"), F.max("component").alias("h"))
+    rows = members.join(written(of.filter("size > 1"), "sizes"), "key").join(nodes.select("node", "band", "slack"), ["node", "band"])
+    rank = W.partitionBy("node", "band").orderBy(F.desc("size"), "key")
+    return rows.withColumn("r", F.row_number().over(rank)).filter("r > slack and l < h").select("key", "band", "node", "component")
+
+
 def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) near by sketch of nodes in one bucket and different components, compared in blocks of nodes.
 
     `members` (key, band, node, component). With `best`, of a node's pairs with a component only the nearest.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "blocks")
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key", "blocks")
+    dealt = members.join(written(blocks, "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(nodes.select("node", "band", "n", "bits"), ["node", "band"])
     dealt = dealt.withColumn("at", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))"))).select("key", "at.i", "at.j", "block", "node", "component", "n", "bits")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -245,31 +307,36 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best: bool)
 
 
 def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(features of every row, links (a, b) that connect the same documents as all links do).
+    """((doc_id, n) of every row, links (a, b) that connect the same documents as all links do).
 
-    Exact copies are one node each. Every node of a bucket is compared with the bucket's smallest and largest node,
-    which costs no more rows than the bucket has; then pairs in different components only, until none is left untested.
+    Exact copies are one node each. One shuffle of the nodes' piece keys leaves those that two nodes share. Every node of
+    a bucket is compared with the bucket's smallest node, which costs no more rows than the bucket has; then pairs in
+    different components only, until none is left untested.
     """
-    table = written(features(docs, width, percent), "features")
-    groups = table.filter("own and n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"))
-    same = table.filter("own and n > 0 and doc_id is not null").join(groups, ["n", "k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    same = written(same, "copies")
-    nodes = written(table.filter("band is not null and doc_id is not null").groupBy("n", "k1", "k2", "band").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "nodes")
-    pieces = nodes.select("band", "node", F.explode("keys").alias("key"))
-    ends = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    shared = written(pieces.join(ends, "key"), "buckets")
-    stars = shared.select("band", F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("x")).select("band", "x.*").filter("a < b").distinct()
+    table = written(heads(docs, width), "heads")
+    sized = table.filter("n > 0 and doc_id is not null")
+    groups = written(sized.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "groups")
+    copies = written(sized.join(groups, ["n", "k1", "k2"]).filter("doc_id <> node").select("doc_id", "h", "node").distinct(), "copies")
+    forget(groups)
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text", F.xxhash64("text").alias("h")).filter("node is not null")
+    own = own.join(small_side(copies.select(F.col("doc_id").alias("node"), "h"), BROADCAST_IDS), ["node", "h"], "left_anti")
+    pieces = piece_keys(own, width, percent).repartition("key").sortWithinPartitions("key", "node")
+    shared = written(pieces.mapInArrow(shared_keys, "key long, band int, node long, lo long"), "buckets")
+    ids = written(shared.select(F.explode(F.array("lo", "node")).alias("node")).distinct(), "ids")
+    nodes = written(sketches(own.join(small_side(ids, BROADCAST_IDS), "node", "left_semi"), width, percent), "nodes")
+    stars = shared.select("band", F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
     tested = written(near_by_sketch(stars, nodes, percent), "stars")
     links = verified(tested, docs, width, percent)
-    inner = shared.filter("node <> lo and node <> hi").select("key", "band", "node")
     for best in (True, False):
-        members = inner.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = shared.select("key", "band", "node").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = written(needed(members, nodes), "members")
         pairs = written(cross_pairs(members, nodes, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        links = written(links.union(verified(pairs, docs, width, percent)), "links")
-        tested = written(tested.union(pairs), "tested")
-    return table, links.union(same.filter("a <> b"))
+        forget(members)
+        if not pairs.isEmpty():
+            links = written(links.union(verified(pairs, docs, width, percent)), "links")
+            tested = written(tested.union(pairs), "tested")
+    forget(shared, ids, nodes)
+    return table, links.union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
 
 
 def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -284,5 +351,5 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     """
     table, links = jaccard_links(docs, width, percent)
     found = connected_components(links)
-    rows = table.filter("own").select("doc_id", F.col("n").alias("n_shingles"))
+    rows = table.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quire.llm import jaccard_join as jj
 from quire.llm.jaccard_join import jaccard_join
 
 
@@ -51,6 +52,30 @@ def test_same_as_brute_force(spark, seed, width, percent):
     assert found == brute(texts, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_a_common_passage_and_a_common_shingle(spark, monkeypatch, width, percent):
+    """Buckets far larger than a block, whose nodes are of many components, and near copies that share only those and few others."""
+    monkeypatch.setattr(jj, "BLOCK", 7)
+    r = random.Random(5)
+    words, passage = [f"w{i}" for i in range(3000)], [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        text = [r.choice(words) for _ in range(r.choice([30, 60, 90]))]
+        at = r.randrange(len(text))
+        text[at:at] = passage if i % 2 else passage[:width]
+        texts.append(" ".join(text))
+        if not i % 3:
+            for _ in range(3):
+                text = list(text)
+                for _ in range(max(1, len(text) // 60)):
+                    text[r.randrange(len(text))] = r.choice(words)
+                texts.append(" ".join(text))
+    texts = dict(enumerate(texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(docs, width, percent).collect()}
+    assert found == brute(texts, width, percent)
+
+
 def test_nulls_repeats_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, None, None, None), (3, "A  b\tC d", 1, "y"), (3, "A  b\tC d", 1, "y"), (None, "a b c d", 2, "z")], "doc_id long, text string, node long, key string")
     found = sorted(jaccard_join(docs).collect(), key=repr)
