@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,38 +20,70 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, byte_slices, tokenizer_path, written
 
-MEMO_WORDS = 300_000
-#: Pieces that one task packs together, and the moves that its local search makes at most.
+#: Words that a worker remembers at least; it forgets the older ones from twice as many.
+MEMO_WORDS = 400_000
+#: Pieces that one task packs together.
 GROUP = 20_000
-MOVES = 4_000
-#: A bin filled to less than this share after a round is packed anew with those of the other groups.
-UNDERFULL = 0.9
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+MARKS = string.punctuation.encode()
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
-    """Pieces of at most `capacity` ids of every row of `docs` (doc_id, text): ids of the tokenizer file, then id 0.
+class Encoder:
+    """Ids of words by a tokenizer file that writes words in lower case and parts letters from marks.
 
-    The tokenizer drops ASCII blanks and never joins what they part, so a text's ids are those of its runs without them,
-    and a task encodes each run once.
+    A word is its core, in lower case, and the ASCII marks that follow the core's last letter, which the tokenizer never
+    joins. Cores are few, so a worker remembers their ids from task to task, in two generations.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder, known = Tokenizer.from_file(tokenizer), {}
-        for batch in byte_slices(batches, "text", 2 << 20):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word, little-endian unsigned 32-bit."""
+        parts, young, old, missing = {}, self.young, self.old, []
+        for word in words:
+            low = word.lower()
+            core = low.rstrip(MARKS)
+            parts[word] = low, core if core[-1:].isalnum() or core.decode("utf-8", "replace").lower()[-1:].isalpha() else low
+        for x in {part for low, core in parts.values() for part in (core, low[len(core) :])}:
+            if x not in young:
+                if x in old:
+                    young[x] = old[x]
+                else:
+                    missing.append(x)
+        if missing:
+            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in missing], add_special_tokens=False)
+            young.update((x, array("I", e.ids).tobytes()) for x, e in zip(missing, found, strict=True))
+        out = {word: young[core] + young[low[len(core) :]] for word, (low, core) in parts.items()}
+        if len(young) > MEMO_WORDS:
+            self.young, self.old = {}, young
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
+    """Pieces of at most `capacity` ids of every row of `docs` (doc_id, text): ids of the tokenizer file, then id 0.
+
+    The tokenizer drops ASCII blanks and never joins what they part, so a text's ids are those of its runs without them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer)
+        for batch in byte_slices(batches, "text"):
             texts = [t.split() for t in as_bytes(batch["text"])]
-            if len(known) > MEMO_WORDS:
-                known = {}
-            fresh = list({w for words in texts for w in words if w not in known})
-            if fresh:
-                for w, e in zip(fresh, encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            ids_of = encoder.words(set(chain.from_iterable(texts))).__getitem__
             rows = []
             for doc, words in zip(batch["doc_id"].to_pylist(), texts, strict=True):
-                ids = b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
+                ids = b"".join(map(ids_of, words)) + b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     rows.append((doc, i, at // 4, len(piece) // 4, zlib.crc32(piece)))
@@ -84,68 +120,69 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, moves: int) -> np.ndarray:
-    """Better bins: pieces of the emptiest bin move, or change places one for one or two for one with a piece of another
-    underfull bin, so that the fuller bin gains. Each step raises the sum of squared fills; a bin that can give no more
-    is left as it is. Ends when no bin can give, or after `moves` steps.
+def best_step(mine: np.ndarray, size: np.ndarray, room: np.ndarray, capacity: int) -> tuple[int, tuple[int, ...], int] | None:
+    """The step by which a bin gives most: how much, which of its pieces (places in `mine`), for which piece (its place in `size`; -1 - place: none, they move to that piece's bin).
+
+    `mine` are the sizes of the bin's pieces, `size` those of the other bins' pieces, and `room` what each one's bin may take.
+    """
+    most = room.max(initial=0)
+    if (fits := np.flatnonzero(mine <= most)).size:  # the largest piece that fits, to the tightest bin
+        m = int(fits[np.argmax(mine[fits])])
+        to = np.flatnonzero(room >= mine[m])
+        return int(mine[m]), (m,), -1 - int(to[np.argmin(room[to])])
+    widest = np.full(capacity + 1, -capacity)
+    np.maximum.at(widest, size, room)
+    left, right = np.triu_indices(len(mine), 1)
+    amounts = np.concatenate([mine, mine[left] + mine[right]])
+    amounts, first = np.unique(amounts, return_index=True)
+    sizes = np.flatnonzero(widest > 0)
+    gain = amounts[:, None] - sizes[None, :]
+    gain[(gain > widest[sizes][None, :])] = 0
+    if not gain.size or gain.max() <= 0:
+        return None
+    i, j = np.unravel_index(np.argmax(gain), gain.shape)
+    at = first[i]
+    which = (int(at),) if at < len(mine) else (int(left[at - len(mine)]), int(right[at - len(mine)]))
+    return int(gain[i, j]), which, int(np.flatnonzero((size == sizes[j]) & (room >= gain[i, j]))[0])
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Better bins: from the emptiest bin on, pieces move, or change places one for one or two for one with a piece of a
+    bin that is at least as full and has room for the difference.
+
+    Every step raises the sum of squared fills, and bins are visited again until none can give, which ends the search.
     """
     bins = bins.copy()
     fill = np.bincount(bins, lengths, bins.max() + 1).astype(np.int64)
-    under = np.flatnonzero(fill < capacity)
-    item = np.flatnonzero(np.isin(bins, under))
+    item = np.flatnonzero(fill[bins] < capacity)
     size, own = lengths[item].astype(np.int64), bins[item]
-    free = capacity - fill
-    done: set[int] = set()
-    queue = sorted(under.tolist(), key=lambda b: fill[b])
-    for b in queue:
-        while moves > 0 and b not in done:
-            mine = np.flatnonzero(own == b)
-            if not len(mine):
-                break
-            # a bin takes only from emptier ones
-            taker = (own != b) & (fill[own] >= fill[b])
-            room = np.where(taker, free[own], -1)
-            moves -= 1
-            best = (0, None)
-            for m in mine.tolist():  # move whole into the tightest bin
-                a = int(size[m])
-                fits = room >= a
-                if fits.any():
-                    to = int(own[np.flatnonzero(fits)[np.argmin(room[fits])]])
-                    best = max(best, (a, ("move", m, to)), key=lambda x: x[0])
-            if best[1] is None:
-                firsts = [(int(size[m]), (m,)) for m in mine.tolist()]
-                pairs = [(int(size[m] + size[k]), (m, k)) for i, m in enumerate(mine.tolist()[:24]) for k in mine.tolist()[i + 1 : 24]]
-                for a, which in firsts + pairs:
-                    gain = a - size
-                    good = (gain > 0) & (gain <= room)
-                    if good.any():
-                        at = np.flatnonzero(good)
-                        k = int(at[np.argmax(gain[at])])
-                        if gain[k] > best[0]:
-                            best = (int(gain[k]), ("swap", which, k))
-            if best[1] is None:
-                done.add(b)
-                break
-            kind, what, to = best[1]
-            if kind == "move":
-                own[what] = to
-                other = to
-            else:
-                other = int(own[to])
-                own[list(what)] = other
-                own[to] = b
-            fill[b] -= best[0]
-            fill[other] += best[0]
-            free[b], free[other] = capacity - fill[b], capacity - fill[other]
+    moved = True
+    while moved:
+        moved = False
+        under = np.flatnonzero((fill > 0) & (fill < capacity))
+        for b in under[np.argsort(fill[under], kind="stable")].tolist():
+            while fill[b]:
+                of = np.flatnonzero(own == b)
+                room = np.where((own != b) & (fill[own] >= fill[b]), capacity - fill[own], -capacity)
+                step = best_step(size[of], size, room, capacity)
+                if step is None:
+                    break
+                gain, which, k = step
+                other = int(own[k if k >= 0 else -1 - k])
+                own[of[list(which)]] = other
+                if k >= 0:
+                    own[k] = b
+                fill[b] -= gain
+                fill[other] += gain
+                moved = True
     bins[item] = own
     return bins
 
 
-def packer(capacity: int, moves: int, level: int):
+def packer(capacity: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy()
-        bins = local_search(lengths, best_fit(lengths, capacity), capacity, moves)
+        bins = local_search(lengths, best_fit(lengths, capacity), capacity)
         order = np.lexsort((np.arange(len(bins)), bins))
         pdf = pdf.iloc[order].reset_index(drop=True)
         bins = np.unique(bins[order], return_inverse=True)[1]
@@ -161,22 +198,30 @@ def packer(capacity: int, moves: int, level: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int, group: int = GROUP, moves: int = MOVES, levels: int = 4) -> DataFrame:
-    """`pieces` (PIECE) with sequence_id and offset. Groups of pieces are packed in parallel; the pieces of bins that
-    stay underfull are dealt into fewer groups and packed again, until one group holds what is left.
+def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
+    """`pieces` (PIECE) with sequence_id and offset. Groups of pieces are packed in parallel; the pieces of sequences that
+    aren't full are dealt into fewer groups and packed again, until one group holds what is left or a level needs as many
+    sequences as the one before, which then stays.
     """
-    rest, settled = pieces, None
-    for level in range(levels):
+    rest, settled, level, before, bins = pieces, None, 0, None, 0
+    while True:
         groups = max(1, math.ceil(rest.count() / group))
         dealt = rest.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        packed = written(dealt.groupBy("g").applyInPandas(packer(capacity, moves, level), f"{PIECE}, sequence_id long, offset long, fill long"), "packed")
-        last = groups == 1 or level == levels - 1
-        full = packed if last else packed.filter(F.col("fill") >= UNDERFULL * capacity)
-        settled = full if settled is None else settled.union(full)
-        if last:
-            break
-        rest = packed.filter(F.col("fill") < UNDERFULL * capacity).select(*pieces.columns)
-    return settled.drop("fill")
+        packed = written(dealt.groupBy("g").applyInPandas(packer(capacity, level), f"{PIECE}, sequence_id long, offset long, fill long"), "packed")
+        used = packed.filter("offset = 0").count()
+        if before is not None and used >= bins:
+            last = before
+        elif groups == 1:
+            last = packed
+        else:
+            last = None
+            full = packed.filter(F.col("fill") == capacity)
+            settled = full if settled is None else settled.union(full)
+            before = packed.filter(F.col("fill") < capacity)
+            bins = used - full.filter("offset = 0").count()
+            rest, level = before.select(*pieces.columns), level + 1
+        if last is not None:
+            return (last if settled is None else settled.union(last)).drop("fill")
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", folder: str | None = None) -> DataFrame:
