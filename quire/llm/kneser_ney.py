@@ -1,220 +1,468 @@
-"""Interpolated modified Kneser-Ney models over the bytes of words, counted, smoothed and joined by Spark.
-
-The events of a model are the UTF-8 bytes of a word `[^\\x20\\x09-\\x0D]+` and the blank that ends it; the context of an
-event are the up to ORDER - 1 bytes before it in the word, from the blank that starts it. A window packs an event with
-its context into one long, so lower orders are bit masks of it and no key can collide. Words of real corpora are too
-many for word n-grams to fit a shuffle budget of the size of the input; windows of bytes pre-aggregate in every task.
-
-Stages: `count_windows` (Python on Arrow batches, combined per task, then summed by Spark), `smooth` (continuation
-counts, discounts and back-off weights, all joins and aggregations), `score_windows` (sharded joins of the windows that
-occur with the counts), `document_scores` (documents probe sorted arrays of window scores, shard after shard).
+"""Interpolated modified Kneser-Ney bigram models of words, counted by Spark and kept in sharded sorted arrays.
+
+A word is a run `[^\\x20\\x09-\\x0D]+`. Words in the vocabulary of a language, the sorted 64-bit hashes of the words that
+most documents hold, are tokens of their own; all others are one of some 200 tokens by shape (letters, digits, symbols,
+capitals, length). An event is a token after the one before it, or after the start of the document, so it crosses the
+ends of words, and its key packs both tokens into 32 bits: no keys collide, and sorted keys pack into one or two bytes.
+
+Rows of packed arrays travel, not events. `count_bigrams` combines events in tasks and merges them by key range (shard);
+the lower order is a few numbers a token, which `train` adds up over the shards. For scores, tasks deal the events of a
+unit of documents to the shards, whose sorted arrays answer with a sum for each document; the sums of a unit meet in one
+row. Counts are kept in two folds by a hash of the text, and a document is scored by the fold that it isn't in, so no
+document, nor a copy of it, is judged by a model that has read it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, written
+from .common import as_bytes, byte_slices, forget, written
+
+#: Tokens of a language: its start, shapes from 1, and up to so many words from FIRST.
+FIRST, VOCABULARY = 256, 65_280
+TOKENS = FIRST + VOCABULARY
+#: Languages with a vocabulary of their own, the largest ones; all others share none and get the empty model's score.
+LANGUAGES = 64
+#: Words that a task counts at a time, and events that it packs at a time.
+MEMO_WORDS, UNIT_EVENTS, UNIT_DOCS = 400_000, 2_000_000, 60_000
+#: Events of a shard on average, shards at most, and events of a shard that one task answers.
+SHARD_EVENTS, SHARDS, SALT_EVENTS = 4_000_000, 256, 64_000_000
+#: Tokens of the lower order that one row holds.
+SLICE = 4096
+SPREAD, GATHER = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
+DIGIT, MARK = re.compile(rb"[0-9]").search, re.compile(rb"[!-/:-@\[-`{-~]").search
+
+
+def shape(word: bytes) -> int:
+    """Token of a word outside the vocabulary, from 1 to 192."""
+    core = word.rstrip(b".,;:!?)\"'").lstrip(b"(\"'")
+    low = core.lower()
+    caps = 0 if core == low else 2 if len(core) > 1 and core == core.upper() else 1
+    n = len(core)
+    out = caps + 3 * (0 if n <= 3 else 1 if n <= 7 else 2 if n <= 12 else 3)
+    for flag in (DIGIT(core), MARK(core), not core.isascii(), low == core.upper()):
+        out = 2 * out + bool(flag)
+    return out + 1
+
+
+def tokens_of(texts: list[list[bytes]], vocabulary: np.ndarray) -> np.ndarray:
+    """Tokens of all words of the texts, one after the other."""
+    distinct = list(set(chain.from_iterable(texts)))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
+    known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(distinct), bool)
+    at += FIRST
+    for i in np.flatnonzero(~known).tolist():
+        at[i] = shape(distinct[i])
+    table = dict(zip(distinct, at.tolist(), strict=True))
+    return np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.uint32, sum(map(len, texts)))
+
+
+def events_of(texts: list[list[bytes]], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spread keys of all events of the texts, and the number of events of each."""
+    counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    tokens = tokens_of(texts, vocabulary)
+    before = np.zeros(len(tokens), np.uint32)
+    before[1:] = tokens[:-1]
+    starts = np.cumsum(counts) - counts
+    before[starts[counts > 0]] = 0
+    with np.errstate(over="ignore"):
+        return (before << np.uint32(16) | tokens) * np.uint32(SPREAD), counts
+
+
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array of unsigned numbers, as differences if it rises, byte plane by byte plane."""
+    if rising and len(x):
+        x = np.concatenate([x[:1], np.diff(x)])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
+def row_key(doc_id: str | Column, lang: str | Column, text: str | Column) -> Column:
+    """A hash that tells rows apart: of the document's id, language and text, each null or not."""
+    return F.xxhash64(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id.cast("long"), F.coalesce(lang, F.lit("")), text)
 
-ORDER = 5
-#: Words that a task remembers at a time.
-MEMO_WORDS = 400_000
-#: Array bytes of one shard of scores, the most that is broadcast at once. More scores make more shards and more scans.
-SHARD_BYTES = 128 << 20
 
+def prepared(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, lang ('' for null), text, fold and row of `docs`."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text", *more)
+    return rows.withColumn("fold", F.pmod(F.shiftright(F.xxhash64("text"), 9), F.lit(2)).cast("int")).withColumn("row", row_key("doc_id", "lang", "text"))
 
-def windows_of(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of all words in order, and the number of windows of each word (its bytes and one)."""
-    counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    pad = b"\0" * (order - 2) + b" "
-    buf = np.frombuffer(pad + (b" " + pad).join(words) + b" ", np.uint8).astype(np.int64)
-    keys = np.zeros(len(buf) - order + 1, np.int64)
-    for j in range(order):
-        keys |= buf[order - 1 - j : len(buf) - j] << (8 * j)
-    ends = np.cumsum(counts)
-    skipped = np.arange(len(words), dtype=np.int64) * (order - 1)
-    return keys[np.arange(ends[-1]) + np.repeat(skipped, counts)], counts
 
+def grouped(keys: list) -> dict:
+    """Places of each distinct key."""
+    out: dict = {}
+    for i, k in enumerate(keys):
+        out.setdefault(k, []).append(i)
+    return out
 
-def counter_of_windows(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task: (lang, text, used) -> (lang, window, n) with the sums of what the task has seen; n counts rows with `used`."""
 
-    def flush(lang: str, words: Counter) -> pa.RecordBatch:
-        keys, counts = windows_of(list(words), order)
-        unique, inverse = np.unique(keys, return_inverse=True)
-        n = np.bincount(inverse, np.repeat(np.fromiter(words.values(), np.int64, len(words)), counts), len(unique)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(unique), pa.array(n)], ["lang", "window", "n"])
+def vocabularies(docs: DataFrame, most: int = VOCABULARY) -> tuple[dict[str, np.ndarray], int]:
+    """The vocabulary of each language of `docs` (lang, text), and the number of all words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words of two documents or more are in it, from the most frequent on, as long as all with the same number of documents
+    (from 64 on rounded to a sixteenth of a power of two) fit. It is bounded by LANGUAGES times `most` hashes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
+        total: Counter = Counter()
+
+        def flush(lang: str, words: Counter) -> pa.RecordBatch:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1), pa.string()), pa.array(np.append(h, 0)), pa.array(np.append(np.fromiter(words.values(), np.int64, len(words)), total.pop(lang)))], ["lang", "h", "n"])
+
         for batch in byte_slices(batches, "text"):
-            for lang, text, used in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), batch["used"].to_pylist(), strict=True):
-                words = seen.setdefault(lang, Counter())
-                if used:
-                    words.update(text.split())
-                else:
-                    words.update(dict.fromkeys(set(text.split()), 0))
+            for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), strict=True):
+                words = text.split()
+                total[lang] += len(words)
+                seen.setdefault(lang, Counter()).update(set(words))
             for lang in [k for k, w in seen.items() if len(w) > MEMO_WORDS]:
                 yield flush(lang, seen.pop(lang))
         for lang, words in seen.items():
-            if words:
-                yield flush(lang, words)
-
-    return run
-
-
-def count_windows(docs: DataFrame, used: Column, order: int = ORDER) -> DataFrame:
-    """(lang, window, n) for every window of `docs` (lang, text); n counts only rows where `used` holds and may be 0. Null lang: ''."""
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text", F.coalesce(used, F.lit(False)).alias("used"))
-    rows = rows.mapInArrow(counter_of_windows(order), "lang string, window long, n long")
-    return written(rows.groupBy("lang", "window").agg(F.sum("n").alias("n")), "windows")
-
-
-def smooth(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, kind, n, key, value): kind 0 holds the discounted share of an n-gram, kind 1 the back-off weight of its context."""
-    mask = F.expr(f"transform(sequence(1, {order}), n -> named_struct('n', n, 'key', window & (shiftleft(1L, 8 * n) - 1), 'longer', window & (shiftleft(1L, 8 * n + 8) - 1)))")
-    seen = counts.filter("n > 0")
-    lower = seen.select("lang", F.explode(mask).alias("x")).select("lang", "x.*").filter(F.col("n") < order).distinct().groupBy("lang", "n", "key").agg(F.count("*").alias("c"))
-    grams = lower.unionByName(seen.select("lang", F.lit(order).alias("n"), F.col("window").alias("key"), F.col("n").alias("c"))).withColumn("h", F.shiftright("key", 8))
-    grams = written(grams, "grams")
-    of = grams.groupBy("lang", "n").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"t{i}") for i in (1, 2, 3, 4)])
-    y = "t1 / (t1 + 2 * t2)"
-    # Chen and Goodman's three discounts; where counts of counts are missing, halves of the count
-    d = [f"least(greatest(coalesce({i} - {i + 1} * {y} * t{i + 1} / nullif(t{i}, 0), {i / 2}), 0.05), {i} - 0.05)" for i in (1, 2, 3)]
-    discount = of.select("lang", "n", *[F.expr(f"cast({e} as double)").alias(f"d{i}") for i, e in enumerate(d, 1)])
-    contexts = grams.groupBy("lang", "n", "h").agg(F.sum("c").alias("total"), *[F.sum(F.when(e, 1).otherwise(0)).alias(f"n{i}") for i, e in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))])
-    contexts = contexts.join(discount, ["lang", "n"])
-    weights = contexts.select("lang", F.lit(1).alias("kind"), "n", F.col("h").alias("key"), F.expr("(d1 * n1 + d2 * n2 + d3 * n3) / total").alias("value"))
-    shares = grams.join(contexts.select("lang", "n", "h", "total", "d1", "d2", "d3"), ["lang", "n", "h"])
-    shares = shares.select("lang", F.lit(0).alias("kind"), "n", "key", F.expr("(c - case when c = 1 then d1 when c = 2 then d2 else d3 end) / total").alias("value"))
-    return shares.unionByName(weights)
-
-
-def score_windows(windows: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, window, score): the natural logarithm of each window's probability, by one join sharded on the keys of the counts."""
-    asked = f"transform(sequence(0, {2 * order - 1}), i -> named_struct('kind', cast(i div {order} as int), 'n', cast(i % {order} + 1 as int), 'key', shiftright(window, 8 * cast(i div {order} as int)) & (shiftleft(1L, 8 * cast(i % {order} + 1 - i div {order} as int)) - 1)))"
-    rows = windows.select("lang", "window", F.explode(F.expr(asked)).alias("x")).select("lang", "window", "x.*")
-    found = rows.join(model, ["lang", "kind", "n", "key"]).groupBy("lang", "window").agg(*[F.max(F.when((F.col("kind") == k) & (F.col("n") == n), F.col("value"))).alias(f"{'ab'[k]}{n}") for k in (0, 1) for n in range(1, order + 1)])
-    p = "1 / 256D"
-    for n in range(1, order + 1):
-        p = f"(coalesce(a{n}, 0D) + coalesce(b{n}, 1D) * {p})"
-    return windows.select("lang", "window").join(found, ["lang", "window"], "left").select("lang", "window", F.expr(f"ln({p})").alias("score"))
-
-
-def score_shards(scores: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Sorted arrays of window scores: (shard, lang, keys, scores), each shard of at most about `shard_bytes`; and the number of shards."""
-    shards = max(1, math.ceil(scores.count() * 16 / shard_bytes))
-    pieces = scores.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, lang = batch["shard"].to_numpy(), np.array(batch["lang"].to_pylist(), object)
-            keys, score = batch["window"].to_numpy(), batch["score"].to_numpy()
-            rows = []
-            for s in np.unique(of):
-                for x in set(lang[of == s]):
-                    at = np.flatnonzero((of == s) & (lang == x))
-                    at = at[np.argsort(keys[at])]
-                    rows.append((int(s), x, keys[at].tobytes(), score[at].tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "lang", "keys", "scores"), r, strict=True)) for r in rows], pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("keys", pa.binary()), ("scores", pa.binary())]))
-
-    return pieces.select("shard", "lang", "window", "score").mapInArrow(pack, "shard int, lang string, keys binary, scores binary"), shards
-
-
-class Probe:
-    """A shard of scores in a task: sorted arrays by language, and the words met of late."""
-
-    def __init__(self, arrays: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
-        self.arrays, self.order = arrays, order
-        self.words: dict[str, dict[bytes, float]] = {}
-
-    def total(self, lang: str, words: list[bytes]) -> float:
-        """Sum of the scores of the words' windows that lie in this shard."""
-        known = self.words.setdefault(lang, {})
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            self.learn(lang, [w for w in set(words) if w not in known])
-            return sum(map(known.__getitem__, words))
-
-    def learn(self, lang: str, words: list[bytes]) -> None:
-        """Remember the scores of words, all at once."""
-        known = self.words.setdefault(lang, {})
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        if not words:
-            return
-        keys, counts = windows_of(words, self.order)
-        own, score = self.arrays.get(lang, (np.zeros(0, np.int64), np.zeros(0)))
-        at = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1))
-        found = np.where(own[at] == keys, score[at], 0.0) if len(own) else np.zeros(len(keys))
-        known.update(zip(words, np.add.reduceat(found, np.cumsum(counts) - counts).tolist(), strict=True))
+            yield flush(lang, words)
+
+    rows = docs.select("lang", "text").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    rows = written(rows.filter("n > 1 or h = 0"), "words")
+    totals = {r[0]: r[1] for r in rows.filter("h = 0").orderBy(F.desc("n"), "lang").select("lang", "n").limit(LANGUAGES).collect()}
+    words = rows.filter(F.col("lang").isin(*totals) & (F.col("h") != 0)) if totals else rows.limit(0)
+    step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long") - 32)  # 64 documents: step 64
+    steps: dict[str, list] = {}
+    for lang, at, n in words.groupBy("lang", step.alias("step")).count().orderBy(F.desc("step")).collect():
+        steps.setdefault(lang, []).append((at, n))
+    least = {}
+    for lang, rising in steps.items():
+        held = 0
+        for at, n in rising:
+            held += n
+            if held > most:
+                break
+            least[lang] = at
+    found: dict[str, np.ndarray] = {lang: np.zeros(0, np.uint64) for lang in totals}
+    if least:
+        chosen = words.filter(step >= F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("lang")]).select("lang", "h").toArrow()
+        langs, hashes = np.array(chosen["lang"].to_pylist(), object), chosen["h"].to_numpy().view(np.uint64)
+        for lang in least:
+            found[lang] = np.sort(hashes[langs == lang])
+    forget(rows)
+    return found, sum(totals.values())
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def bounds(shards: int) -> np.ndarray:
+    """First spread key of each shard but the first one."""
+    return np.array([-(-(s << 32) // shards) for s in range(1, shards)], np.uint64)
+
+
+COUNTS = "lang string, shard int, salt int, fold int, keys binary, counts binary"
+
+
+def count_bigrams(docs: DataFrame, sent, shards: int, salts: int) -> DataFrame:
+    """(lang, shard, k0, c0, k1, c1): sorted spread keys of the events of `docs` (`prepared`) and their counts, by fold.
+
+    A key range holds 2^32 / `shards` keys at most, so however large the corpus, a merge ends with a bounded array.
+    """
+    cuts = bounds(shards)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        number = 0
 
-def row_key(doc_id: str | Column, lang: str | Column, text: str | Column) -> Column:
-    """A hash that tells rows apart: of the document's id, language and text, each null or not."""
-    return F.xxhash64(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id.cast("long"), F.coalesce(lang, F.lit("")), text)
+        def flush(lang: str, fold: int, keys: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            keys, counts = np.unique(keys, return_counts=True)
+            at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            rows = [(lang, s, number % salts, fold, packed(keys[a:b], True), packed(counts[a:b].astype(np.uint64))) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "salt", "fold", "keys", "counts"])
 
+        for batch in byte_slices(batches, "text"):
+            langs, folds, texts = batch["lang"].to_pylist(), batch["fold"].to_pylist(), [t.split() for t in as_bytes(batch["text"])]
+            for of, places in grouped(list(zip(langs, folds, strict=True))).items():
+                if of[0] in sent.value:
+                    keys, _ = events_of([texts[i] for i in places], sent.value[of[0]])
+                    held.setdefault(of, []).append(keys)
+                    if sum(map(len, held[of])) >= UNIT_EVENTS:
+                        yield flush(*of, np.concatenate(held.pop(of)))
+        for of, keys in held.items():
+            if sum(map(len, keys)):
+                yield flush(*of, np.concatenate(keys))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last, parts, fresh = ("lang", "shard", "salt", "fold"), None, [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, counts = merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, packed(keys, True), packed(counts)), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [*names, "keys", "counts"])
 
-def document_scores(docs: DataFrame, scores: DataFrame, measure: Callable | None = None, fields: str = "", shard_bytes: int = SHARD_BYTES, order: int = ORDER) -> DataFrame:
-    """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, n_events, loss (mean negative log probability, null without words) the `fields` that `measure(texts, words)` gives, and row (its `row_key`).
+        for batch in batches:
+            for *of, keys, counts in zip(*(batch[n].to_pylist() for n in (*names, "keys", "counts")), strict=True):
+                if of != last and last is not None:
+                    yield out()
+                    parts, fresh = [], 0
+                last = of
+                parts.append((unpacked(keys, np.uint32, True), unpacked(counts, np.uint64)))
+                fresh += len(parts[-1][0])
+                if fresh > max(2 * SHARD_EVENTS, len(parts[0][0])):
+                    parts, fresh = [merged(parts)], 0
+        if last is not None:
+            yield out()
+
+    rows = docs.select("lang", "fold", "text").mapInArrow(count, COUNTS)
+    for of in (("lang", "shard", "salt", "fold"), ("lang", "shard", "fold")) if salts > 1 else (("lang", "shard", "fold"),):
+        rows = rows if "salt" in of else rows.withColumn("salt", F.lit(0))
+        rows = rows.repartition(*of).sortWithinPartitions(*of).mapInArrow(merge, COUNTS)
+    fold = lambda f, c: F.max(F.when(F.col("fold") == f, F.col(c)))
+    return rows.groupBy("lang", "shard").agg(fold(0, "keys").alias("k0"), fold(0, "counts").alias("c0"), fold(1, "keys").alias("k1"), fold(1, "counts").alias("c1"))
+
+
+def discounts(t: list[float]) -> np.ndarray:
+    """Chen and Goodman's discounts of counts 0, 1, 2 and 3 or more, from the numbers of counts 1 to 4; where these are missing, halves of the count."""
+    y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.0
+    d = [i - (i + 1) * y * t[i] / t[i - 1] if t[i - 1] else i / 2 for i in (1, 2, 3)]
+    return np.array([0.0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))])
+
+
+class Lower:
+    """What a fold's model knows but the bigrams: discounts d, and by token the share g left to the lower order, the total t, and the lower order's probability p."""
+
+    def __init__(self, stats: np.ndarray, of_counts: np.ndarray):
+        total, n1, n2, n3, followed = stats.astype(np.float64)
+        self.d = discounts(of_counts.tolist())
+        e = discounts([float((followed == i).sum()) for i in (1, 2, 3, 4)])
+        kinds = [float((followed == 1).sum()), float((followed == 2).sum()), float((followed >= 3).sum())]
+        self.t = total.astype(np.float32)
+        self.g = np.divide(self.d[1] * n1 + self.d[2] * n2 + self.d[3] * n3, total, out=np.ones(TOKENS), where=total > 0).astype(np.float32)
+        size = followed.sum()
+        rest = float(np.dot(e[1:], kinds)) / size if size else 1.0
+        own = (followed - e[np.minimum(followed, 3).astype(np.int64)]) / size if size else np.zeros(TOKENS)
+        self.p = (own + rest / TOKENS).astype(np.float32)
+
+    def log(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of events with these spread keys and counts."""
+        with np.errstate(over="ignore"):
+            key = key * np.uint32(GATHER)
+        before = key >> np.uint32(16)
+        own = np.maximum(count - self.d[np.minimum(count, 3)], 0.0) / np.maximum(self.t[before], 1)
+        return np.log(own + self.g[before].astype(np.float64) * self.p[key & np.uint32(0xFFFF)])
+
+
+def train(model: DataFrame) -> dict[str, tuple[Lower, Lower]]:
+    """By language, the lower orders of the models that score fold 0 and fold 1: each of the other fold, or of both where one is empty.
+
+    Shards send sums by token, added up over slices of the tokens; the driver gets five numbers a token, language and fold.
+    """
 
-    Shards of the sorted score arrays are broadcast one at a time, each of bounded size; a document's loss is a sum
-    over windows, so shards add up. One shard needs one scan of the documents, k shards need k.
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                parts = [(unpacked(r[f"k{f}"], np.uint32, True), unpacked(r[f"c{f}"], np.uint64)) for f in (0, 1) if r[f"k{f}"] is not None]
+                stats, of_counts = np.zeros((3, 5, TOKENS), np.int64), np.zeros((3, 4), np.int64)
+                both = [(0, parts[0]), (1, parts[-1]), (2, merged(parts))] if len(parts) == 2 else [(0 if r["k0"] is not None else 1, parts[0]), (2, parts[0])]
+                for fold, (keys, counts) in both:
+                    with np.errstate(over="ignore"):
+                        keys = keys * np.uint32(GATHER)
+                    before, token = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
+                    stats[fold, 0] = np.bincount(before, counts, TOKENS)
+                    for i, hit in enumerate((counts == 1, counts == 2, counts >= 3), 1):
+                        stats[fold, i] = np.bincount(before[hit], minlength=TOKENS)
+                    stats[fold, 4] = np.bincount(token, minlength=TOKENS)
+                    of_counts[fold] = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5]
+                rows = [(r["lang"], s, packed(np.append(stats[:, :, s * SLICE : (s + 1) * SLICE].ravel(), of_counts.ravel() if not s else []).astype(np.uint64))) for s in range(TOKENS // SLICE)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["lang", "slice", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(unpacked(x, np.uint64) for x in pdf["sums"])
+        return pd.DataFrame([{"lang": pdf["lang"].iloc[0], "slice": pdf["slice"].iloc[0], "sums": packed(total)}])
+
+    schema = "lang string, slice int, sums binary"
+    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for lang, s, data in model.mapInArrow(sums, schema).groupBy("lang", "slice").applyInPandas(add, schema).collect():
+        stats, of_counts = found.setdefault(lang, (np.zeros((3, 5, TOKENS), np.int64), np.zeros((3, 4), np.int64)))
+        x = unpacked(data, np.uint64).astype(np.int64)
+        stats[:, :, s * SLICE : (s + 1) * SLICE] = x[: 15 * SLICE].reshape(3, 5, SLICE)
+        if not s:
+            of_counts += x[15 * SLICE :].reshape(3, 4)
+    out = {}
+    for lang, (stats, of_counts) in found.items():
+        crossed = stats[0, 0].any() and stats[1, 0].any()
+        out[lang] = tuple(Lower(stats[f], of_counts[f]) for f in ((1, 0) if crossed else (2, 2)))
+        for lower in out[lang]:
+            lower.crossed = bool(crossed)
+    return out
+
+
+PROBES = "lang string, shard int, salt int, kind int, fold int, unit long, docs int, parts int, keys binary, places binary, times binary, directory binary"
+TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+NAMES = [x.split()[0] for x in PROBES.split(", ")]
+
+
+def document_scores(docs: DataFrame, used: Column, measure: Callable | None = None, fields: str = "", trained: bool = False, most: int = VOCABULARY, shard_events: int = SHARD_EVENTS) -> DataFrame:
+    """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, loss (mean negative log probability of its events; null without any), the `fields` that `measure(texts, words)` gives, and row (its `row_key`).
+
+    The model reads the documents where `used` holds; each is scored by the fold that it isn't in. With `trained`, rows
+    say whether it does.
     """
     spark = docs.sparkSession
-    arrays, shards = score_shards(scores, shard_bytes)
-    arrays = written(arrays, "arrays")
-    schema = "doc_id long, lang string, n_words long, n_events long, total double, row long"
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text").withColumn("row", row_key("doc_id", "lang", "text"))
-    names = [x.split()[0] for x in fields.split(", ") if x]
-
-    def scan(shard: int) -> DataFrame:
-        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for r in arrays.filter(F.col("shard") == shard).select("lang", "keys", "scores").toLocalIterator():
-            parts.setdefault(r[0], []).append((np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.float64)))
-        held = {}
-        for lang, x in parts.items():
-            keys, score = np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x])
-            at = np.argsort(keys)
-            held[lang] = keys[at], score[at]
-        sent = spark.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = Probe(sent.value, order)
-            for batch in byte_slices(batches, "text"):
-                texts, langs = as_bytes(batch["text"]), batch["lang"].to_pylist()
-                words = [t.split() for t in texts]
-                fresh: dict[str, set[bytes]] = {}
-                for lang, w in zip(langs, words, strict=True):
-                    fresh.setdefault(lang, set()).update(w)
-                for lang, w in fresh.items():
-                    probe.learn(lang, [x for x in w if x not in probe.words.get(lang, ())])
-                cols = [batch["doc_id"], batch["lang"], pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(len, w)) + len(w) for w in words], pa.int64()), pa.array([probe.total(x, w) for x, w in zip(langs, words, strict=True)], pa.float64())]
-                cols += [batch["row"], *(measure(texts, words) if measure and not shard else [])]
-                out = ["doc_id", "lang", "n_words", "n_events", "total", "row", *(names if not shard else [])]
-                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], out)
-
-        return docs.mapInArrow(run, schema + (f", {fields}" if fields and not shard else ""))
-
-    out = scan(0)
-    for s in range(1, shards):
-        more = scan(s).groupBy("row").agg((F.sum("total") / F.count("*")).alias("more"))
-        out = out.join(more, "row").withColumn("total", F.col("total") + F.col("more")).drop("more")
-    return out.select("doc_id", "lang", "n_words", "n_events", F.when(F.col("n_events") > 0, -F.col("total") / F.col("n_events")).alias("loss"), *names, "row")
-
-
-def quantiles(scored: DataFrame, points: dict[str, float], step: float = 0.001) -> DataFrame:
-    """Per language, quantiles of `loss` to a step of `step`, from a histogram that combines before the shuffle: lang, n and a column per point."""
-    bins = scored.filter("loss is not null").groupBy("lang", F.floor(F.col("loss") / step).alias("bin")).agg(F.count("*").alias("k"))
-    cum = bins.selectExpr("lang", "bin", "sum(k) over (partition by lang order by bin) cum", "sum(k) over (partition by lang) n")
-    return cum.groupBy("lang").agg(F.max("n").alias("n"), *[(F.min(F.when(F.col("cum") >= F.col("n") * q, F.col("bin"))) * step).alias(name) for name, q in points.items()])
+    used = F.coalesce(used, F.lit(False))
+    training = prepared(docs.filter(used))
+    vocabulary, events = vocabularies(training, most)
+    shards, salts = max(1, min(SHARDS, math.ceil(events / shard_events))), max(1, math.ceil(events / SHARDS / SALT_EVENTS))
+    sent = spark.sparkContext.broadcast(vocabulary)
+    model = written(count_bigrams(training, sent, shards, salts), "bigrams")
+    lower = spark.sparkContext.broadcast(train(model))
+    cuts = bounds(shards)
+    columns = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), *((x.split()[0], pa.int64()) for x in fields.split(", ") if x), *[("trained", pa.int64())] * trained, ("row", pa.int64())]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(parts: list[tuple[pa.RecordBatch, dict]]) -> pa.RecordBatch:
+            directory = pa.Table.from_batches([p[0] for p in parts])
+            number = xxhash.xxh3_64_intdigest(directory["row"].to_numpy().tobytes()) >> 1
+            salt, rows, base = number % salts, [], 0
+            events: dict[tuple[str, int], list[np.ndarray]] = {}
+            for rows_of, found in parts:
+                for of, (places, keys, counts) in found.items():
+                    events.setdefault(of, []).append(keys.astype(np.uint64) << np.uint64(16) | np.repeat(np.array(places, np.uint64) + np.uint64(base), counts))
+                base += rows_of.num_rows
+            for (lang, fold), keys in events.items():
+                keys, times = np.unique(np.concatenate(keys), return_counts=True)
+                place = (keys & np.uint64(0xFFFF)).astype(np.uint16)
+                keys = (keys >> np.uint64(16)).astype(np.uint32)
+                at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+                rows += [(lang, s, salt, 1, fold, number, base, packed(keys[a:b], True), packed(place[a:b]), packed(times[a:b].astype(np.uint32)), None) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, directory.schema) as stream:
+                stream.write_table(directory)
+            rows.append(("", number % shards, salt, 1, 0, number, base, None, None, None, sink.getvalue().to_pybytes()))
+            rows = [(*r[:7], len(rows), *r[7:]) for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
+
+        held, size, count = [], 0, 0
+        for whole in byte_slices(batches, "text"):
+            for batch in (whole.slice(i, UNIT_DOCS) for i in range(0, whole.num_rows, UNIT_DOCS)):
+                raw = as_bytes(batch["text"])
+                texts = [t.split() for t in raw]
+                found = {}
+                for of, places in grouped(list(zip(batch["lang"].to_pylist(), batch["fold"].to_pylist(), strict=True))).items():
+                    keys, counts = events_of([texts[i] for i in places], sent.value.get(of[0], np.zeros(0, np.uint64)))
+                    if len(keys):
+                        found[of] = places, keys, counts
+                more = measure(raw, texts) if measure else []
+                rows = pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array(list(map(len, texts)), pa.int64()), *more, *[batch[n] for n in ["trained"] * trained], batch["row"]], [n for n, _ in columns])
+                if held and count + batch.num_rows > UNIT_DOCS:
+                    yield unit(held)
+                    held, size, count = [], 0, 0
+                held.append((rows, found))
+                size, count = size + sum(map(len, texts)), count + batch.num_rows
+                if size >= UNIT_EVENTS:
+                    yield unit(held)
+                    held, size, count = [], 0, 0
+        if held:
+            yield unit(held)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+        of, folds = None, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if of != (r["lang"], r["shard"], r["salt"]):
+                    of, folds = (r["lang"], r["shard"], r["salt"]), {}
+                if not r["kind"]:
+                    (k0, c0), (k1, c1) = ((unpacked(r[k], np.uint32, True), unpacked(r[c], np.uint64)) if r[k] is not None else nothing for k, c in (("keys", "places"), ("times", "directory")))
+                    # crossed: a fold is scored by the other one
+                    folds = {0: (k1, c1), 1: (k0, c0)} if lower.value[r["lang"]][0].crossed else dict.fromkeys((0, 1), merged([(k0, c0), (k1, c1)]))
+                    continue
+                total = None
+                if r["keys"] is not None:
+                    keys, places, times = unpacked(r["keys"], np.uint32, True), unpacked(r["places"], np.uint16), unpacked(r["times"], np.uint32)
+                    own, counts = folds.get(r["fold"], nothing)
+                    count = np.zeros(len(keys), np.int64)
+                    if len(own):
+                        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                        hit = own[at] == keys
+                        count[hit] = counts[at[hit]]
+                    log = lower.value[r["lang"]][r["fold"]].log(keys, count) if r["lang"] in lower.value else np.full(len(keys), -math.log(TOKENS))
+                    total = packed(np.bincount(places, times * log, r["docs"]).astype(np.float32).view(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["unit"], r["lang"], r["shard"], r["fold"], r["parts"], total, r["directory"]), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "lang", "shard", "fold", "parts", "total", "directory"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, totals, directory, parts, expected = None, None, [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if parts != expected * len(directory):
+                raise RuntimeError(f"unit {unit}: {parts} parts of {expected}; the documents' order changed while a lost task ran again")
+            for data in directory[:1]:
+                table = pa.ipc.open_stream(data).read_all().combine_chunks()
+                n = table["n_words"].to_numpy()
+                sums = (totals if totals is not None else np.zeros(len(n))) / max(1, len(directory))
+                loss = pa.array(-sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
+                for _ in directory:  # the same rows more than once, in units that don't differ
+                    yield from table.append_column("loss", loss).combine_chunks().to_batches()
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["unit"] != unit:
+                    if unit is not None:
+                        yield from out()
+                    unit, totals, directory, parts = r["unit"], None, [], 0
+                parts, expected = parts + 1, r["parts"]
+                if r["directory"] is not None:
+                    directory.append(r["directory"])
+                else:
+                    x = unpacked(r["total"], np.uint32).view(np.float32).astype(np.float64)
+                    totals = x if totals is None else totals + x
+        if unit is not None:
+            yield from out()
+
+    probes = prepared(docs, *[used.cast("long").alias("trained")] * trained).select("doc_id", "lang", "text", "fold", *["trained"] * trained, "row").mapInArrow(probe, PROBES)
+    none = F.lit(None).cast
+    arrays = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("lang", "shard", "salt", F.lit(0).alias("kind"), F.lit(0).alias("fold"), none("long").alias("unit"), none("int").alias("docs"), none("int").alias("parts"), F.col("k0").alias("keys"), F.col("c0").alias("places"), F.col("k1").alias("times"), F.col("c1").alias("directory"))
+    by = ["lang", "shard", "salt"]
+    answers = arrays.union(probes).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(answer, "unit long, lang string, shard int, fold int, parts int, total binary, directory binary")
+    schema = ", ".join([f"{n} {'string' if t == pa.string() else 'long'}" for n, t in columns] + ["loss double"])
+    out = answers.repartition("unit").sortWithinPartitions("unit", "lang", "shard", "fold").mapInArrow(gather, schema)
+    return out.select("doc_id", "lang", "n_words", "loss", *[(F.col(n) == 1).alias(n) if n == "trained" else n for n, _ in columns[3:]])
+
+
+def quantiles(scored: DataFrame, points: dict[str, float], step: float = 0.001) -> dict[str, dict[str, float]]:
+    """Per language, quantiles of `loss` to a step of `step`, and n, the number of rows, from a histogram of some thousand bins a language."""
+    bins: dict[str, list] = {}
+    for lang, at, n in scored.filter("loss is not null").groupBy("lang", F.floor(F.col("loss") / step).alias("bin")).agg(F.count("*")).collect():
+        bins.setdefault(lang, []).append((at, n))
+    out = {}
+    for lang, rows in bins.items():
+        at, n = np.array(sorted(rows)).T
+        ends = np.cumsum(n)
+        out[lang] = {name: float(at[np.searchsorted(ends, ends[-1] * q)]) * step for name, q in points.items()} | {"n": int(ends[-1])}
+    return out
+
+
+def with_limits(scored: DataFrame, limits: dict[str, dict[str, float]], *names: str) -> DataFrame:
+    """`scored` with the named limits of each row's language, null where it has none."""
+    of = lambda n: F.create_map(*[F.lit(x) for lang, v in limits.items() for x in (lang, v[n])])[F.col("lang")] if limits else F.lit(None).cast("double")
+    return scored.withColumns({n: of(n) for n in names})

@@ -4,14 +4,13 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 
-from quire.llm import kneser_ney as kn
 from quire.llm import queries
 from quire.llm.chat_format import example_texts, format_conversations
 from quire.llm.embedding_dedup import near_duplicates
@@ -80,55 +79,6 @@ def test_rules_keep_clean_text_and_reject_noise(spark):
     assert not kept.pop(100) and all(kept.values())
 
 
-def model_by_hand(texts, order):
-    """Windows' probabilities by recursion over dictionaries."""
-    grams = [Counter() for _ in range(order + 1)]
-    for t in texts:
-        for word in t.encode().split():
-            padded = b"\0" * (order - 2) + b" " + word + b" "
-            for i in range(order - 1, len(padded)):
-                grams[order][padded[i - order + 1 : i + 1]] += 1
-    for n in range(1, order):
-        grams[n] = Counter(g for g in {x[-(n + 1) :] for x in grams[order]} for g in [g[1:]])
-    d = []
-    for n in range(order + 1):
-        t = Counter(grams[n].values())
-        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
-        d.append([min(max(i - (i + 1) * y * t[i + 1] / t[i] if y is not None and t[i] else i / 2, 0.05), i - 0.05) for i in (1, 2, 3)])
-    context = [defaultdict(list) for _ in range(order + 1)]
-    for n in range(1, order + 1):
-        for g, c in grams[n].items():
-            context[n][g[:-1]].append(c)
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        n, lower = len(g), p(g[1:])
-        seen = context[n].get(g[:-1])
-        if not seen:
-            return lower
-        c, off = grams[n].get(g, 0), lambda c: d[n][min(c, 3) - 1]
-        return ((c - off(c)) if c else 0) / sum(seen) + sum(map(off, seen)) / sum(seen) * lower
-
-    return p
-
-
-def test_kneser_ney_same_as_by_hand(spark):
-    r = random.Random(2)
-    texts = [" ".join(r.choice(["an", "ant", "tan", "nat", "banana", "é", "at"]) for _ in range(30)) for _ in range(12)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(50, "zebra ant", "en")], "doc_id long, text string, lang string")
-    windows = kn.count_windows(docs, docs["doc_id"] < 50)
-    scores = kn.score_windows(windows, kn.smooth(windows))
-    p = model_by_hand(texts, kn.ORDER)
-    for row in scores.collect():
-        key = int(row.window).to_bytes(8, "little")[: kn.ORDER][::-1]
-        assert math.isclose(row.score, math.log(p(key)), rel_tol=1e-9), key
-    one = {x.doc_id: x.loss for x in kn.document_scores(docs, scores).collect()}
-    many = {x.doc_id: x.loss for x in kn.document_scores(docs, scores, shard_bytes=256).collect()}
-    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
-    assert one[50] > max(v for k, v in one.items() if k < 50)
-
-
 def test_classifier_edge_cases(spark, odd, none):
     trusted = spark.createDataFrame([(1,), (None,), (1,)], "doc_id long")
     out = classify_quality(odd, trusted).collect()
