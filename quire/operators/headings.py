@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
+from ..functions.text import BLANK, BLANKS, trimmed
 
 # Numerals, markers, keywords, punctuation and titles of headings, and the score that accepts one.
 CHINESE = "〇零一二三四五六七八九十百千两萬万亿億兆壹贰叁肆伍陆柒捌玖拾佰仟廿卅卌○"
@@ -20,19 +20,21 @@ LATIN = r"chapter|chap\.?|ch\.?|episode|ep\.?|act|scene|story"
 LATIN_UPPER = r"Book|Part|Section|Volume|Vol\.?"
 SPECIAL = "^(楔子|序章|序言|引子|终章|尾声|尾记|后记|番外|外传)(.*)$"
 SENTENCE = "[，。,。？！、；]"
-DELIMITER = r"[:：\-—·,，.。!！?？()（）【】《》「」『』\"“”‘’\s]"
+DELIMITER = rf"[:：\-—·,，.。!！?？()（）【】《》「」『』\"“”‘’{BLANKS}]"
+IDEOGRAPH = "[㐀-䶿一-鿿﨎﨏﨑﨓﨔﨟﨡﨣﨤﨧-﨩]"
 SUFFIXES = ("上", "下", "中", "末", "终", "序", "外", "前", "后", "番", "篇", "卷", "章")
 ACCEPTED = 1.8
 LINE_CHARS, FALLBACK_LINES = 100, 2000
 #: An upper marker that more lines carry, and of which a smaller share has chapters after it, is a chapter marker.
 FREQUENT, BEFORE = 50, 0.3
 ANY = "|".join((*UPPER, *PRIMARY))
-BRACKET = r"(?:【[^】]+】\s*)?"
+GAP = f"{BLANK}*"
+BRACKET = f"(?:【[^】]+】{GAP})?"
 
 
 def marked_lines(lines: DataFrame) -> DataFrame:
     """(book_id, line_no, marker, numeral, ordinal) of `lines` (book_id, line_no, line) that start with a number and a marker."""
-    form = rf"(?iu)^{BRACKET}(第\s*)?({ORDINAL})\s*({ANY})"
+    form = rf"(?iu)^{BRACKET}(第{GAP})?({ORDINAL}){GAP}({ANY})"
     line = trimmed(F.col("line"))
     rows = lines.select("book_id", "line_no", line.alias("line")).filter(F.length("line").between(1, LINE_CHARS) & F.col("line").rlike(form))
     return rows.select("book_id", "line_no", F.regexp_extract("line", form, 3).alias("marker"), F.regexp_extract("line", form, 2).alias("numeral"), F.regexp_extract("line", form, 0).contains("第").alias("ordinal"))
@@ -72,9 +74,10 @@ def segments(lines: DataFrame, markers: DataFrame) -> DataFrame:
     """(book_id, line_no, part, segment, composite, upper, primary): lines cut before every heading inside them."""
     rows = lines.join(markers, "book_id", "left").withColumn("upper", F.coalesce("upper", F.array().cast("array<string>"))).withColumn("primary", F.coalesce("primary", F.array().cast("array<string>")))
     own = F.array_join(F.concat("upper", "primary"), "|")
-    form = F.concat(F.lit(rf"(?iu)(?:【[^】\r\n]+】\s*)?第\s*{ORDINAL}\s*(?:"), F.when(own == "", ANY).otherwise(own), F.lit(")"))
+    form = F.concat(F.lit(rf"(?iu)(?:【[^】\r\n]+】{GAP})?第{GAP}{ORDINAL}{GAP}(?:"), F.when(own == "", ANY).otherwise(own), F.lit(")"))
     rows = rows.withColumn("form", form)
-    cut = F.expr(r"if(line rlike form, filter(transform(split(regexp_replace(line, form, '\u0001$0'), '\u0001', -1), x -> trim(x)), x -> x <> ''), array(line))")
+    pieces = F.split(F.expr(r"regexp_replace(line, form, '\u0001$0')"), "\u0001", -1)
+    cut = F.when(F.expr("line rlike form"), F.filter(F.transform(pieces, trimmed), lambda x: x != "")).otherwise(F.array("line"))
     return rows.select("book_id", "line_no", "upper", "primary", cut.alias("cut")).select("book_id", "line_no", "upper", "primary", (F.size("cut") > 1).alias("composite"), F.posexplode("cut").alias("part", "segment"))
 
 
@@ -89,12 +92,12 @@ def confidence(line: str, base: Column, rest: str | None = None, sep: str | None
         return score
     after = F.concat(F.col(sep), F.col(rest))
     tail = trimmed(after)
-    gap = F.length(F.regexp_extract(after, r"^([\s\u3000]+)", 1))
-    lead = F.regexp_extract(after, r"^[\s\u3000]+([\p{P}\p{S}]*)", 1)
+    gap = F.length(F.regexp_extract(after, f"^({BLANK}+)", 1))
+    lead = F.regexp_extract(after, BLANK + r"+([\p{P}\p{S}]*)", 1)
     first = F.substring(tail, 1, 1)
-    begins = F.when(first == "", 0.0).when(first.rlike(DELIMITER), 0.25).when(first.isin(*SUFFIXES), 0.45).when(first.rlike("[A-Za-z0-9]"), 0.25).when(first.rlike("[㐀-䶿一-鿿]"), 0.25).otherwise(-0.6)
+    begins = F.when(first == "", 0.0).when(first.rlike(DELIMITER), 0.25).when(first.isin(*SUFFIXES), 0.45).when(first.rlike("[A-Za-z0-9]"), 0.25).when(first.rlike(IDEOGRAPH), 0.25).otherwise(-0.6)
     size = F.length(tail)
-    inner = F.regexp_count(tail, F.lit(SENTENCE))
+    inner = F.regexp_count(F.regexp_replace(tail, "[！!？?]+$", ""), F.lit(SENTENCE))
     more = F.when(gap >= 2, 1.0).when(gap == 1, 0.8).otherwise(0.0) + F.when((gap > 0) & (lead != ""), 0.2).otherwise(0.0) + begins
     more = more + F.when(size > 60, -1.4).when(size > 44, -0.9).when(size > 32, -0.4).otherwise(0.0) + F.when((inner >= 2) & (size > 24), inner * -0.45).otherwise(0.0)
     return score + F.when(F.length(after) > 0, more).otherwise(0.0)
@@ -103,12 +106,12 @@ def confidence(line: str, base: Column, rest: str | None = None, sep: str | None
 def chapter_candidates(parts: DataFrame) -> DataFrame:
     """`parts` of `segments` with chapter: (rest, sep, base) of the first pattern that a segment fits, null if none does."""
     kinds = F.concat(F.lit("("), F.array_join("primary", "|"), F.lit(")"))
-    end = r"(\s*[:：-]?\s*)(.*)$"
+    end = f"({GAP}[:：-]?{GAP})(.*)$"
     forms = (  # number, kind, separator and rest by group
-        (2.4, F.concat(F.lit(rf"(?iu)^{BRACKET}第\s*({ORDINAL})\s*"), kinds, F.lit(end)), 1, 2),
-        (2.25, F.concat(F.lit(rf"(?iu)^{BRACKET}({ORDINAL})\s*"), kinds, F.lit(end)), 1, 2),
-        (2.1, F.concat(F.lit(rf"(?iu)^{BRACKET}"), kinds, F.lit(rf"\s*({ORDINAL})" + end)), 2, 1),
-        (1.9, F.lit(rf"(?iu)^{BRACKET}({LATIN})\s*(?:\.|:)?\s*(?:No\.?|№|#)?\s*({ORDINAL})" + end), 2, 1),
+        (2.4, F.concat(F.lit(rf"(?iu)^{BRACKET}第{GAP}({ORDINAL}){GAP}"), kinds, F.lit(end)), 1, 2),
+        (2.25, F.concat(F.lit(rf"(?iu)^{BRACKET}({ORDINAL}){GAP}"), kinds, F.lit(end)), 1, 2),
+        (2.1, F.concat(F.lit(rf"(?iu)^{BRACKET}"), kinds, F.lit(rf"{GAP}({ORDINAL})" + end)), 2, 1),
+        (1.9, F.lit(rf"(?iu)^{BRACKET}({LATIN}){GAP}(?:\.|:)?{GAP}(?:No\.?|№|#)?{GAP}({ORDINAL})" + end), 2, 1),
     )
     rows = parts.withColumn("line", trimmed(F.col("segment")))
     found = F.lit(None).cast("struct<rest: string, sep: string, base: double>")
@@ -130,9 +133,9 @@ def chapter_candidates(parts: DataFrame) -> DataFrame:
 def upper_headings(parts: DataFrame) -> DataFrame:
     """`parts` (line, upper, ...) with heading: (title, marker) of a volume or part heading, null if the line is none."""
     kinds = F.concat(F.lit("("), F.array_join("upper", "|"), F.lit(")"))
-    end = r"\s*[:：-]?\s*(.*)$"
-    rows = parts.withColumn("g1", F.concat(F.lit(rf"(?iu)^第\s*({ORDINAL})\s*"), kinds, F.lit(end))).withColumn("g2", F.concat(F.lit("(?iu)^"), kinds, F.lit(rf"\s*({ORDINAL})" + end)))
-    latin = rf"(?iu)^({LATIN_UPPER})\s*({ORDINAL})" + end
+    end = f"{GAP}[:：-]?{GAP}(.*)$"
+    rows = parts.withColumn("g1", F.concat(F.lit(rf"(?iu)^第{GAP}({ORDINAL}){GAP}"), kinds, F.lit(end))).withColumn("g2", F.concat(F.lit("(?iu)^"), kinds, F.lit(rf"{GAP}({ORDINAL})" + end)))
+    latin = rf"(?iu)^({LATIN_UPPER}){GAP}({ORDINAL})" + end
     get = lambda form, g: F.expr(f"regexp_extract(line, {form}, {g})")
     title = lambda head, tail: F.concat_ws(" ", head, F.when(trimmed(tail) != "", trimmed(tail)))
     made = lambda t, m: F.struct(t.alias("title"), m.alias("marker"))

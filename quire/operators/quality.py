@@ -12,8 +12,9 @@ from .headings import PRIMARY, UPPER
 
 # Limits, patterns and words of the checks, and the order in which checks and severities are listed.
 LONG, MARKS, SHOWN = 80, 3, 20
-MERGED = rf"第\s*[\p{{Nd}}〇零一二三四五六七八九十百千]+\s*[{''.join(PRIMARY)}]"
-UPPERS = rf"第\s*\S+?\s*[{''.join(UPPER)}]"
+GAP = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+MERGED = rf"第{GAP}*[\p{{Nd}}〇零一二三四五六七八九十百千]+{GAP}*[{''.join(PRIMARY)}]"
+UPPERS = rf"第{GAP}*[^{GAP[1:-1]}]+?{GAP}*[{''.join(UPPER)}]"
 SUSPICIOUS = ("^[^第\\p{Nd}]*说[^！？。]*。", "^[是这那][^第]*[了着]。", "^[^第]*，[^！？。]{0,10}[。！？]")
 SPECIAL = ("楔子", "序章", "序言", "引子", "终章", "尾声", "尾记", "后记", "番外", "外传", "全文")
 CHECKS = ("merged_heading", "duplicate_title", "long_title", "high_punctuation", "multiple_upper_markers", "reversed_hierarchy", "missing_marker", "suspicious_title")
@@ -31,7 +32,7 @@ def issues(chapters: DataFrame) -> DataFrame:
     markers are looked for from the first ordinal sign on, so neither match starts later.
     """
     t = F.col("title")
-    bare = reduce(lambda x, m: F.regexp_replace(x, rf"第.*?{m}\s+", ""), UPPER, t)
+    bare = reduce(lambda x, m: F.regexp_replace(x, rf"第.*?{m}{GAP}+", ""), UPPER, t)
     marks = F.regexp_count(F.regexp_replace(t, "[！!？?]+$", ""), F.lit("[，。、；]"))
     merged, uppers = F.regexp_count(t, F.lit(MERGED)), F.regexp_count(t, F.lit(UPPERS))
     suspicious = reduce(lambda a, b: a | b, [bare.rlike(p) for p in SUSPICIOUS])

@@ -71,7 +71,7 @@ def test_chapters(spark):
     assert spans(spark, "第九章 始", "前文 第一章 甲 第二章 乙") == [("第九章 始", 1, 2), ("第一章 甲", 3, 3), ("第二章 乙", 4, 4)]
 
 
-@pytest.mark.parametrize(("line", "base", "rest", "sep", "score"), [("第一章 风起", 2.4, "风起", " ", 5.45), ("第二章", 2.4, "", "", 4.4), ("第一卷 少年", 1.6, None, None, 3.6), ("第一章他走进了屋子，看见桌上放着一封信，信封上写着他的名字，他犹豫了一下，还是拆开了。", 2.4, "他走进了屋子，看见桌上放着一封信，信封上写着他的名字，他犹豫了一下，还是拆开了。", "", -5.3), ("楔子", 2.0, None, None, 4.0)])
+@pytest.mark.parametrize(("line", "base", "rest", "sep", "score"), [("第一章 风起", 2.4, "风起", " ", 5.45), ("第二章", 2.4, "", "", 4.4), ("第一卷 少年", 1.6, None, None, 3.6), ("第一章他走进了屋子，看见桌上放着一封信，信封上写着他的名字，他犹豫了一下，还是拆开了。", 2.4, "他走进了屋子，看见桌上放着一封信，信封上写着他的名字，他犹豫了一下，还是拆开了。", "", -5.3), ("第一章 " + "风" * 13 + "，" + "起" * 12 + "！！", 2.4, "风" * 13 + "，" + "起" * 12 + "！！", " ", 3.15), ("第一章 " + "风" * 13 + "，" + "起" * 12 + "！！！", 2.4, "风" * 13 + "，" + "起" * 12 + "！！！", " ", 3.15), ("楔子", 2.0, None, None, 4.0)])
 def test_confidence(spark, line, base, rest, sep, score):
     df = spark.createDataFrame([(line, rest, sep)], "line string, rest string, sep string")
     names = () if rest is None else ("rest", "sep")
@@ -91,6 +91,13 @@ def test_fallback_chapters(spark):
     assert rows(headings.fallback_books(out), "book_id") == [("b",)]
 
 
+def test_wide_blanks(spark):
+    df = spark.createDataFrame([("b", 1, "第\u3000二章 乙"), ("b", 2, "\u3000第三\u00a0章\u3000丙"), ("b", 3, "正文"), ("b", 4, "第四章 甲\u3000第五章 乙")], "book_id string, line_no long, line string")
+    assert [r.title for r in headings.detect_chapters(df).orderBy("chapter").collect()] == ["第\u3000二章 乙", "第三\u00a0章\u3000丙", "第四章 甲", "第五章 乙"]
+    merged = spark.createDataFrame([("b", 1, "第\u3000一\u3000章 第二章")], "book_id string, chapter long, title string")
+    assert rows(quality.issues(merged), "type", "amount") == [("merged_heading", 2)]
+
+
 def test_quality(spark):
     titles = ["第二章 第三章 乙", "第一卷 第二部 丙", "a，b，c，d，e", "第1章 第2卷", None]
     found = rows(quality.issues(spark.createDataFrame([("b", i, t) for i, t in enumerate(titles, 1)], "book_id string, chapter long, title string")).orderBy("chapter", "type"), "chapter", "type", "amount")
