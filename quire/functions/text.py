@@ -81,3 +81,35 @@ def download_names(title: Column) -> Column:
     """(ascii, utf8) file names for a download header."""
     plain = F.concat(F.regexp_replace(title, r"[^\x20-\x7E]", "_"), F.lit(".txt"))
     return F.struct(plain.alias("ascii"), F.replace(F.url_encode(F.concat(title, F.lit(".txt"))), F.lit("+"), F.lit("%20")).alias("utf8"))
+
+
+def one_newline(text: Column) -> Column:
+    """Line ends of all kinds as a newline."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def whole_mib(size: Column) -> Column:
+    """Mebibytes, rounded half up."""
+    return F.floor((size * 2 + 1048576) / 2097152).cast("long")
+
+
+def large_file(size: Column, most: int = 30) -> Column:
+    """Whether a file is worth a warning."""
+    return whole_mib(size) > most
+
+
+def scan_percent(done: Column, total: Column) -> Column:
+    """Per cent of a scan after `done` of `total` files, rounded half up; null where none is shown: not a tenth and not the end."""
+    shown = (done % F.greatest(F.floor(total / 10), F.lit(1)) == 0) | (done == total)
+    return F.when(shown, F.floor((done * 200 + total) / (total * 2)).cast("long"))
+
+
+def place_label(percent_text: Column, start: Column) -> Column:
+    """What is kept as a place's title: per cent, and the start of the text if there is any."""
+    return F.when(start != "", F.concat(percent_text, F.lit("% · "), start, F.lit("..."))).otherwise(F.concat(F.lit("已读 "), percent_text, F.lit("%")))
+
+
+def option(args: Column, name: str, default: str) -> Column:
+    """Value of the last `--name=value` of a list of arguments."""
+    found = F.filter(args, lambda a: F.startswith(a, F.lit(f"--{name}=")))
+    return F.coalesce(F.get(F.split(F.try_element_at(found, F.lit(-1)), "="), F.lit(1)), F.lit(default))

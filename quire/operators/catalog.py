@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The catalogue's columns in order.
@@ -25,6 +25,48 @@ def from_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.get("row", F.lit(i)).cast("int" if c == "totalChapters" else "string").alias(c) for i, c in enumerate(COLUMNS)])
 
 
+DOCUMENT = "generatedAt string, columns array<string>, books array<array<string>>"
+
+
+def decode_documents(documents: DataFrame) -> DataFrame:
+    """Records of catalogue documents (json): each row's fields by the document's own list of columns. Documents that aren't JSON have none."""
+    rows = documents.select(F.from_json("json", DOCUMENT).alias("d")).select("d.generatedAt", "d.columns", F.explode("d.books").alias("row"))
+    of = lambda c: F.get("row", F.array_position("columns", c).cast("int") - 1)
+    return rows.select("generatedAt", *[of(c).cast("int" if c == "totalChapters" else "string").alias(c) for c in COLUMNS])
+
+
+def write_catalog(records: DataFrame, folder: str, generated_at: Column) -> None:
+    """A catalogue as a header (time and columns) and rows of arrays beside it, which all tasks write at once."""
+    spark = records.sparkSession
+    spark.range(1).select(generated_at.alias("generatedAt"), F.array(*map(F.lit, COLUMNS)).alias("columns")).write.mode("overwrite").json(f"{folder}/header")
+    to_rows(records).write.mode("overwrite").json(f"{folder}/rows")
+
+
+def read_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of a written catalogue, by the header's columns, with the time they were generated."""
+    head = spark.read.schema("generatedAt string, columns array<string>").json(f"{folder}/header").first()
+    rows = spark.read.schema("row array<string>").json(f"{folder}/rows")
+    fields = [F.get("row", F.lit(i)).cast("int" if c == "totalChapters" else "string").alias(c) for i, c in enumerate(head.columns)]
+    return rows.select(F.lit(head.generatedAt).alias("generatedAt"), *fields)
+
+
+def manifest_books(documents: DataFrame, fields: str) -> DataFrame:
+    """(book_id, fields) of manifests (json) of the form {"books": {id: record}}."""
+    rows = documents.select(F.explode(F.from_json("json", f"books map<string, struct<{fields}>>")["books"]).alias("book_id", "x"))
+    return rows.select("book_id", "x.*")
+
+
+def named_files(files: DataFrame, ends: str, never: str, name: str = "filename") -> DataFrame:
+    """`files` whose name ends so, but for the one that has the name `never`."""
+    return files.filter(F.col(name).endswith(ends) & (F.col(name) != never))
+
+
+def or_default(json: Column, schema: str, default: Column) -> Column:
+    """The record that `json` holds, or the whole default where it isn't JSON."""
+    found = F.from_json(json, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(json.isNull() | found["_bad"].isNotNull(), default).otherwise(found.dropFields("_bad"))
+
+
 def to_compat(flat: DataFrame) -> DataFrame:
     """Flat book records (id, title, author, parts, totalSize) as (book, chapters) with no chapters."""
     book = F.struct("id", "title", "author", F.lit(0).alias("totalChapters"), "parts", "totalSize")

@@ -93,14 +93,20 @@ def confidence(line: str, base: Column, rest: str | None = None, sep: str | None
     after = F.concat(F.col(sep), F.col(rest))
     tail = trimmed(after)
     gap = F.length(F.regexp_extract(after, f"^({BLANK}+)", 1))
-    lead = F.regexp_extract(after, BLANK + r"+([\p{P}\p{S}]*)", 1)
+    lead = F.regexp_extract(after, "^" + BLANK + r"+([\p{P}\p{S}]*)", 1)
     first = F.substring(tail, 1, 1)
-    begins = F.when(first == "", 0.0).when(first.rlike(DELIMITER), 0.25).when(first.isin(*SUFFIXES), 0.45).when(first.rlike("[A-Za-z0-9]"), 0.25).when(first.rlike(IDEOGRAPH), 0.25).otherwise(-0.6)
     size = F.length(tail)
     inner = F.regexp_count(F.regexp_replace(tail, "[！!？?]+$", ""), F.lit(SENTENCE))
-    more = F.when(gap >= 2, 1.0).when(gap == 1, 0.8).otherwise(0.0) + F.when((gap > 0) & (lead != ""), 0.2).otherwise(0.0) + begins
-    more = more + F.when(size > 60, -1.4).when(size > 44, -0.9).when(size > 32, -0.4).otherwise(0.0) + F.when((inner >= 2) & (size > 24), inner * -0.45).otherwise(0.0)
-    return score + F.when(F.length(after) > 0, more).otherwise(0.0)
+    terms = (
+        F.when(gap >= 2, 1.0).when(gap == 1, 0.8),
+        F.when((gap > 0) & (lead != ""), 0.2),
+        F.when(first == "", 0.0).when(first.rlike(DELIMITER), 0.25).when(first.isin(*SUFFIXES), 0.45).when(first.rlike("[A-Za-z0-9]"), 0.25).when(first.rlike(IDEOGRAPH), 0.25).otherwise(-0.6),
+        F.when(size > 60, -1.4).when(size > 44, -0.9).when(size > 32, -0.4),
+        F.when((inner >= 2) & (size > 24), inner * -0.45),
+    )
+    for term in terms:  # one after the other: the limit is compared with a sum of doubles
+        score = score + F.when(F.length(after) > 0, F.coalesce(term, F.lit(0.0))).otherwise(0.0)
+    return score
 
 
 def chapter_candidates(parts: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,3 +36,36 @@ def books_with_progress(books: DataFrame, saves: DataFrame) -> DataFrame:
     """`books` (book_id, ...) with the readers and the latest save of each; books nobody reads stay."""
     last = saves.groupBy("book_id").agg(F.count_distinct("user_id").alias("readers"), F.max("updated_at").alias("last_read"))
     return books.join(last, "book_id", "left").withColumn("readers", F.coalesce("readers", F.lit(0)))
+
+
+def saved(entries: DataFrame, now: Column) -> DataFrame:
+    """`entries` as they are saved: with the time of saving, whatever time they had."""
+    return entries.withColumn("updated_at", now)
+
+
+def settled(values: DataFrame, key: str, millis: str, delay: int = 250) -> DataFrame:
+    """Of `values` those that no other of the same key follows within `delay` milliseconds."""
+    after = F.lead(millis).over(W.partitionBy(key).orderBy(millis))
+    return values.withColumn("_after", after).filter(F.col("_after").isNull() | (F.col("_after") - F.col(millis) >= delay)).drop("_after")
+
+
+def moved(scrolls: DataFrame, least: int = 100) -> DataFrame:
+    """Of `scrolls` (user_id, book_id, seq, position) those over `least` away from the reader's last kept one in the book, which is 0 at first.
+
+    Rows stream by reader and book in order, so a task holds one kept place, however much a reader scrolls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, 0
+        for batch in batches:
+            kept = []
+            for i, (user, book, at) in enumerate(zip(*(batch[c].to_pylist() for c in ("user_id", "book_id", "position")), strict=True)):
+                if (user, book) != of:
+                    of, last = (user, book), 0
+                if at is not None and abs(at - last) > least:
+                    last = at
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = scrolls.select("user_id", "book_id", "seq", "position")
+    return rows.repartition("user_id", "book_id").sortWithinPartitions("user_id", "book_id", "seq").mapInArrow(run, rows.schema)

@@ -18,6 +18,7 @@ UPPERS = rf"第{GAP}*[^{GAP[1:-1]}]+?{GAP}*[{''.join(UPPER)}]"
 SUSPICIOUS = ("^[^第\\p{Nd}]*说[^！？。]*。", "^[是这那][^第]*[了着]。", "^[^第]*，[^！？。]{0,10}[。！？]")
 SPECIAL = ("楔子", "序章", "序言", "引子", "终章", "尾声", "尾记", "后记", "番外", "外传", "全文")
 CHECKS = ("merged_heading", "duplicate_title", "long_title", "high_punctuation", "multiple_upper_markers", "reversed_hierarchy", "missing_marker", "suspicious_title")
+REPORTED = ("merged_heading", "duplicate_title", "long_title", "high_punctuation", "hierarchy", "missing_marker", "suspicious_title")
 HIGH = ("merged_heading", "duplicate_title", "multiple_upper_markers", "reversed_hierarchy")
 
 
@@ -50,6 +51,23 @@ def duplicate_titles(chapters: DataFrame) -> DataFrame:
     return chapters.filter("title is not null").groupBy("book_id", "title").agg(F.count("*").alias("n"), F.min("chapter").alias("first_chapter")).filter("n > 1")
 
 
+def repeated_chapters(chapters: DataFrame, most: int = 5) -> DataFrame:
+    """(book_id, title, n, chapters): repeated titles with their first `most` chapters, which are all that is listed of them."""
+    by = W.partitionBy("book_id", "title").orderBy("chapter")
+    rows = chapters.filter("title is not null").select("book_id", "title", "chapter", F.row_number().over(by).alias("r"), F.count("*").over(W.partitionBy("book_id", "title")).alias("n"))
+    return rows.filter(f"n > 1 and r <= {most}").groupBy("book_id", "title").agg(F.max("n").alias("n"), F.array_join(F.sort_array(F.collect_list("chapter")), ", ").alias("chapters"))
+
+
+def check_counts(chapters: DataFrame) -> DataFrame:
+    """(book_id, check, n, tier) of every book and check: what each found, and none, few (under 5) or many. A title found n times counts n - 1."""
+    n = F.when(F.col("type") == "duplicate_title", F.col("amount") - 1).otherwise(F.lit(1))
+    check = F.when(F.col("type").isin("multiple_upper_markers", "reversed_hierarchy"), "hierarchy").otherwise(F.col("type"))
+    found = issues(chapters).groupBy("book_id", check.alias("check")).agg(F.sum(n).alias("n"))
+    every = chapters.select("book_id").distinct().select("book_id", F.explode(F.array(*map(F.lit, REPORTED))).alias("check"))
+    rows = every.join(found, ["book_id", "check"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.withColumn("tier", F.when(F.col("n") == 0, "none").when(F.col("n") < 5, "few").otherwise("many"))
+
+
 def first_issues(found: DataFrame, most: int = SHOWN) -> DataFrame:
     """A book's first `most` issues by severity, chapter and check, with place and how many more there are."""
     order = F.array_position(F.array(*map(F.lit, CHECKS)), F.col("type"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoding import charset, decoded
 from ..functions.text import book_name, slug, trimmed
 from ..operators.chunking import PART_BYTES, book_index, chunk_parts, long_enough, part_path
-from ..operators.manifest import plan_changes
+from ..operators.manifest import merge_manifest, obsolete_assets, plan_changes, removed_books
+from ..sources.library import first_text
+from ..sources.snapshots import read_latest, versions, write_next
 
 
 def named(files: DataFrame) -> DataFrame:
@@ -17,14 +21,58 @@ def named(files: DataFrame) -> DataFrame:
     return rows.withColumn("book_id", slug(F.concat_ws("-", "title", "author"))).withColumn("hash", F.sha2("content", 256)).filter("book_id <> ''")
 
 
+MANIFEST = "book_id string, hash string, title string, author string, total_chapters int, assets array<string>"
+PENDING = "filename string, pos long"
+
+
+def decoded_members(members: DataFrame) -> DataFrame:
+    """(filename, text): the first text of each archive that isn't blank, of `members` (filename, member_pos, member_name, is_dir, content)."""
+    rows = members.filter(~F.col("is_dir") & F.lower("member_name").endswith(".txt"))
+    return first_text(rows.withColumn("text", trimmed(decoded("content", charset(F.col("content"))))))
+
+
 def ingest(files: DataFrame, manifest: DataFrame, artifacts: DataFrame, members: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parts, indexes, manifest rows) of the new and changed of `files`, whose first text is in `members` (filename, content)."""
+    """(parts, indexes, manifest rows) of the new and changed of `files`, whose texts are the first ones of their `members`."""
     rows = named(files).drop("content")
     todo = rows.join(plan_changes(rows, manifest, artifacts).filter("status <> 'current'").select("book_id"), "book_id", "left_semi")
-    texts = todo.join(members, "filename").withColumn("text", trimmed(decoded("content", charset(F.col("content")))))
-    books = long_enough(texts)
+    return cut(todo, members, part_bytes)
+
+
+def cut(todo: DataFrame, members: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parts, indexes, manifest rows) of the files `todo` (filename, book_id, hash, title, author)."""
+    books = long_enough(todo.join(decoded_members(members.join(todo.select("filename"), "filename", "left_semi")), "filename"))
     parts = chunk_parts(books, part_bytes, content=True)
-    indexes = book_index(parts)
-    assets = parts.groupBy("book_id").agg(F.sort_array(F.collect_list(part_path())).alias("assets"))
-    rows = books.select("book_id", "hash", "title", "author", F.lit(0).alias("total_chapters")).join(assets, "book_id")
-    return parts, indexes, rows
+    heads = chunk_parts(books, part_bytes)
+    assets = heads.groupBy("book_id").agg(F.sort_array(F.collect_list(part_path())).alias("assets"))
+    rows = books.select(F.col("book_id"), "hash", "title", "author", F.lit(0).alias("total_chapters")).join(assets, "book_id")
+    return parts, book_index(heads), rows
+
+
+def run_batch(files: DataFrame, members: DataFrame, root: str, size: int = 50, part_bytes: int = PART_BYTES) -> dict[str, int]:
+    """One batch of an incremental run whose state lies under `root`; counters of what it did.
+
+    The pending list (files to process, in the order of their names) is made by the first batch and used up by the
+    following ones, a batch that failed half-way included: the next call takes the same files again. Books that can't be
+    used count as failed and aren't tried again. Each batch leaves the next manifest, its parts, and the names of the
+    assets that no manifest names any more; the last one leaves no pending list.
+    """
+    spark = files.sparkSession
+    manifest = read_latest(spark, f"{root}/manifest", MANIFEST)
+    rows = named(files).drop("content")
+    pending = read_latest(spark, f"{root}/pending", PENDING)
+    if pending.isEmpty():
+        made = manifest.select("book_id")
+        status = plan_changes(rows, manifest, made).filter("status <> 'current'").select("book_id")
+        todo = rows.join(status, "book_id", "left_semi").select("filename").repartitionByRange("filename").sortWithinPartitions("filename")
+        pending = write_next(todo.withColumn("pos", F.monotonically_increasing_id()), f"{root}/pending")
+    batch = pending.orderBy("pos").limit(size)  # the batch is the feature
+    parts, _, done = cut(rows.join(batch.select("filename"), "filename", "left_semi"), members, part_bytes)
+    parts.write.mode("overwrite").parquet(f"{root}/parts/batch={len(versions(spark, f'{root}/manifest'))}-{pending.count()}")
+    done = write_next(done.select(manifest.columns), f"{root}/processed")
+    following = write_next(merge_manifest(manifest, done, rows), f"{root}/manifest")
+    gone = removed_books(manifest, following).select("book_id", "assets")
+    write_next(obsolete_assets(manifest, following), f"{root}/obsolete")
+    total, taken = pending.count(), min(size, pending.count())
+    write_next(pending.join(batch.select("filename"), "filename", "left_anti"), f"{root}/pending")
+    kept = done.count()
+    return {"processed": kept, "failed": taken - kept, "remaining": total - taken, "batches": math.ceil((total - taken) / size), "removed": gone.count(), "books": following.count()}

@@ -6,6 +6,7 @@ snapshots are derived from the tables by language, so every row takes part.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,9 +17,9 @@ from pyspark.sql.types import BinaryType
 
 from .functions import encoding, text
 from .operators import catalog, chunking, headings, manifest, progress, quality, reader
-from .plans.ingest import ingest
+from .plans.ingest import ingest, run_batch
 from .sources import library
-from .streaming.progress import keep_most_recent
+from .streaming.progress import keep_most_recent, shared_folder
 
 #: Part size of the queries; the texts are far smaller than a part of the default size.
 PART = 2048
@@ -57,6 +58,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).withColumnRenamed("title", "line")
 
 
+# Lines of seven books with headings of all kinds: the same SQL for both engines.
+BOOK_LINES = """select cast(p_partkey % 7 as bigint) book_id, p_partkey line_no, case when p_partkey % 7 = 3 and p_partkey > 60 then '第' || p_partkey || '卷 ' || p_type else case p_partkey % 23
+    when 0 then '第' || p_size || '卷 ' || p_type when 1 then '第' || p_size || '章 ' || p_name when 2 then p_name || '，' || p_type || '，' || p_name || '。' when 3 then '第' || p_size || '章 第' || p_size || '节 ' || p_name
+    when 4 then '楔子' when 5 then '第一卷 第二部 ' || p_name when 6 then p_size || '章 ' || p_name when 7 then '章' || p_size || '：' || p_name when 8 then '第三　回　' || p_name when 9 then '三回 ' || p_name
+    when 10 then 'Chapter ' || p_size || ': ' || p_name when 11 then 'Book ' || p_size || ' ' || p_name when 12 then '【' || p_name || '】' when 13 then '【' || p_brand || '】 第IV章' || p_name when 14 then '尾声 ' || p_name || '，' || p_type || '，' || p_type || '。'
+    when 15 then '第' || p_size || '章 ' || p_name || '，' || p_type || '！！' when 16 then '第' || p_size || '章上 ' || p_name || '，' || p_type || '，' || p_name || '，' || p_brand || '？' when 17 then '  第七节——' || p_name when 18 then '' when 19 then '第' || p_size || '章' || p_name
+    when 20 then '部十二 ' || p_name when 21 then '第' || p_size || '章　　“' || p_name || '”' else p_name end end line from part"""
+
+
+def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, line_no, line)."""
+    return spark.sql(BOOK_LINES.replace("from part", "from {p}"), p=load(spark, sf_dir, "part"))
+
+
 def chunk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_parts(books(spark, sf_dir), PART)
 
@@ -111,7 +126,7 @@ def plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, old, _ = _snapshot(spark, sf_dir)
-    new = files.filter("lang in ('fr', 'de')")
+    new = files.filter("lang in ('fr', 'de')").withColumn("hash", F.concat(F.lit("v2-"), "hash"))
     return manifest.merge_manifest(old, new.select(old.columns), files).select("book_id", "hash", "lang")
 
 
@@ -194,7 +209,7 @@ def extract_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _archives(spark, sf_dir)
-    members = library.members_of(files).filter("not is_dir and lower(member_name) like '%.txt' and octet_length(content) > 2").select("filename", "content")
+    members = library.members_of(files)
     none = spark.createDataFrame([], "book_id string, hash string")
     return ingest(files, none, none.select("book_id"), members, PART)[2].select("book_id", "title", "author", F.size("assets").cast("long").alias("n_assets"))
 
@@ -256,7 +271,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "events")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     saves = stream.selectExpr("user_id", "get_json_object(props, '$.k') book_id", "ts updated_at", "event_id seq", "value")
-    return keep_most_recent(saves).select("user_id", "book_id", "seq", F.col("place").cast("long").alias("place"))
+    return keep_most_recent(saves, f"{shared_folder(spark)}/quire-progress-{uuid.uuid4().hex}").select("user_id", "book_id", "seq", F.col("place").cast("long").alias("place"))
 
 
 def title_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,16 +304,108 @@ def heading_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headings.hierarchy(lines(spark, sf_dir)).select("book_id", F.array_join("upper", "").alias("upper"), F.array_join("primary", "").alias("primary"))
+    return headings.hierarchy(book_lines(spark, sf_dir)).select("book_id", F.array_join("upper", "").alias("upper"), F.array_join("primary", "").alias("primary"))
 
 
 def heading_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumnRenamed("line", "title")
-    return rows.select("book_id", "line_no", F.round(headings.confidence("title", F.lit(1.6)), 6).alias("score"))
+    """Candidates of chapter headings, and their scores."""
+    own = book_lines(spark, sf_dir)
+    rows = headings.chapter_candidates(headings.segments(own, headings.hierarchy(own))).filter("chapter is not null").select("book_id", "line_no", "part", "line", F.col("chapter.base").alias("base"), F.col("chapter.rest").alias("rest"), F.col("chapter.sep").alias("sep"))
+    return rows.select("book_id", "line_no", F.col("part").cast("long").alias("part"), F.round(headings.confidence("line", F.col("base"), "rest", "sep"), 6).alias("score"))
 
 
 def chapter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headings.detect_chapters(lines(spark, sf_dir)).select("book_id", F.col("chapter").cast("long").alias("chapter"), "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+    return headings.detect_chapters(book_lines(spark, sf_dir)).select("book_id", F.col("chapter").cast("long").alias("chapter"), "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue documents of two layouts, decoded by their headers."""
+    row = lambda names: f"array_sort(collect_list(array({', '.join(names)})))"
+    fields = {"id": "cast(p_partkey as string)", "title": "p_name", "author": "p_brand", "totalChapters": "cast(p_size as string)"}
+    form = lambda names: f"to_json(named_struct('generatedAt', '2025-01-01T00:00:00.000Z', 'columns', array({', '.join(map(repr, names))}), 'books', {row([fields[n] for n in names])}))"
+    documents = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.expr(f"if(crc32(cast(p_brand as binary)) % 2 = 0, {form(list(fields))}, {form(list(fields)[::-1])})").alias("json"))
+    return catalog.decode_documents(documents.select("json").union(spark.sql("select '{broken' json")))
+
+
+def catalog_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue written and read back."""
+    folder = f"{shared_folder(spark)}/quire-catalog-{uuid.uuid4().hex}"
+    catalog.write_catalog(catalog.summaries(_catalog(spark, sf_dir)), folder, F.lit("2025-01-01T00:00:00.000Z"))
+    return catalog.read_catalog(spark, folder)
+
+
+def manifest_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest documents taken apart by book."""
+    books_of = "map_from_entries(collect_list(struct(cast(p_partkey as string), named_struct('hash', sha2(p_name, 256), 'title', p_name, 'assets', array(p_type, p_brand)))))"
+    documents = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.expr(f"to_json(named_struct('books', {books_of}))").alias("json"))
+    return catalog.manifest_books(documents, "hash: string, title: string, assets: array<string>").select("book_id", "hash", "title", F.array_join("assets", "|").alias("assets"))
+
+
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = load(spark, sf_dir, "part").selectExpr("case p_partkey % 4 when 0 then concat('b', p_partkey, '_chapters.json') when 1 then concat('b', p_partkey, '.json') when 2 then 'books_chapters.json' else concat(p_partkey, '_chapters.json.bak') end filename")
+    return catalog.named_files(names, "_chapters.json", "books_chapters.json")
+
+
+def config_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").selectExpr("event_id", "case event_id % 3 when 0 then props when 1 then substring(props, 1, 4) end json")
+    return rows.select("event_id", catalog.or_default(F.col("json"), "k string", F.struct(F.lit("none").alias("k")))["k"].alias("k"))
+
+
+def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of an incremental run's batches until nothing is pending."""
+    files = _archives(spark, sf_dir)
+    members, root = library.members_of(files), f"{shared_folder(spark)}/quire-run-{uuid.uuid4().hex}"
+    size, counters = (files.count() * 2 + 4) // 5, []
+    while not counters or counters[-1]["remaining"]:
+        counters.append({"run": len(counters) + 1} | run_batch(files, members, root, size, PART))
+    return spark.createDataFrame(pd.DataFrame(counters))
+
+
+def fallback_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest without the books whose chapters are fallback ones: here those that aren't English."""
+    own = fallback_chapters(spark, sf_dir).join(books(spark, sf_dir).select("book_id", "lang"), "book_id")
+    named = own.withColumn("title", F.when(F.col("lang") == "en", F.concat(F.lit("第一章 "), "title")).otherwise(F.col("title")))
+    return manifest.without_books(hashed(spark, sf_dir).select("book_id", "hash"), headings.fallback_books(named))
+
+
+def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.check_counts(chapters(spark, sf_dir))
+
+
+def repeated_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeated_chapters(chapters(spark, sf_dir))
+
+
+def scroll_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").selectExpr("user_id", "get_json_object(props, '$.k') book_id", "event_id seq", "event_id * 37 % 1000 position")
+    return progress.moved(rows)
+
+
+def settled_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").selectExpr("user_id", "event_id", "timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz)) ms")
+    return progress.settled(rows, "user_id", "ms", 600_000)
+
+
+def saved_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.saved(_saves(spark, sf_dir), F.timestamp_millis(F.lit(1893456000000))).select("user_id", "book_id", "seq", F.unix_millis("updated_at").alias("updated_ms"))
+
+
+def scalar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = books(spark, sf_dir).selectExpr("book_id", "text", "cast(coalesce(octet_length(text), 0) as bigint) total", "concat('b', book_id, ' é ', author) title")
+    size, done = F.col("total") * 5000, F.col("book_id") % 37 + 1
+    names, args = text.download_names(F.col("title")), F.expr("split(concat('--batch=', book_id, ' --memory=1 --batch=', book_id + 1), ' ')")
+    return rows.select(
+        "book_id", F.sha2(text.one_newline(F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\rend"))), 256).alias("newlines"), text.whole_mib(size).alias("mib"), text.large_file(size, 10).alias("large"),
+        text.scan_percent(done, F.lit(37)).alias("scanned"), text.place_label(F.lit("1.5"), F.when(F.col("book_id") % 2 == 0, F.lit("abc")).otherwise("")).alias("place"), text.option(args, "batch", "50").alias("batch"), text.option(args, "size", "512").alias("size"),
+        text.duration_label(F.col("book_id") * 7).alias("duration"), text.iso_label(F.timestamp_millis(F.col("book_id") * 86399001)).alias("iso"), names["ascii"].alias("ascii_name"), names["utf8"].alias("utf8_name"),
+    )
+
+
+def reader_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's place from a scroll position, and back."""
+    rows = books(spark, sf_dir).selectExpr("book_id", "coalesce(octet_length(text), 0) * 200L total").withColumn("w", reader.restored(F.col("total") / 2, F.col("total")))
+    at = reader.progress_byte(F.col("w"), F.col("book_id") % 700, F.lit(700))
+    return rows.select("book_id", at.alias("place_byte"), F.round(reader.relative_place(at, F.col("w")), 9).alias("share"))
 
 
 def fallback_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +421,8 @@ NAMED = (
     chunk_parts, part_offsets, book_index, whole_texts, read_window, reader_windows, progress_label, content_hash, plan_changes, manifest_merge, removed_books, obsolete_assets, pending_batch, duplicate_ids,
     min_lines, slug_names, parse_meta, charset_ratios, detect_encoding, extract_members, ingest_library, catalog_rows, compat_convert, strip_chapters, search_catalog, catalog_page, progress_valid, progress_mru,
     recent_history, book_progress, stream_progress, title_stats, marker_usage, duplicate_titles, quality_issues, issue_top20, library_summary, heading_scan, heading_hierarchy, heading_score, chapter_spans,
-    fallback_chapters, fallback_books,
+    fallback_chapters, fallback_books, catalog_documents, catalog_written, manifest_books, named_files, config_fallback, ingest_batches, fallback_removed, check_counts, repeated_chapters, scroll_saves,
+    settled_searches, saved_progress, scalar_labels, reader_places,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMED}
 
@@ -328,12 +436,12 @@ cut(book_id, total, n, a, e, more) as (select book_id, total, 0, 0::bigint, 0::b
 parts as (select book_id, n::int part_no, a start_byte, (e - a)::bigint size from cut where n > 0)"""
 P = PARTS.format(size=PART)
 SHELL = "'/books/' || book_id || '/part_' || lpad(part_no::varchar, 3, '0') || '.txt'"
-UPPER_SQL, PRIMARY_SQL = ("(" + " or ".join(f"contains(title, '{m}')" for m in ms) + ")" for ms in (headings.UPPER, headings.PRIMARY))
+UPPER_SQL, PRIMARY_SQL = ("(" + " or ".join(f"contains(title, '{m}')" for m in ms) + ")" for ms in ("卷部册季", "章节回集篇幕话段折品"))
 MERGED_SQL = r"len(regexp_extract_all(title, '第\s*[\d〇零一二三四五六七八九十百千]+\s*[章节回集篇幕话段折品]'))"
 UPPERS_SQL = r"len(regexp_extract_all(title, '第\s*\S+?\s*[卷部册季]'))"
 MARKS_SQL = "len(regexp_extract_all(regexp_replace(title, '[！!？?]+$', ''), '[，。、；]'))"
 BARE_SQL = "title"
-for _m in headings.UPPER:
+for _m in "卷部册季":
     BARE_SQL = rf"regexp_replace({BARE_SQL}, '第.*?{_m}\s+', '', 'g')"
 SUSPECT_SQL = " or ".join(f"regexp_matches(bare, '{p}')" for p in (r"^[^第\d]*说[^！？。]*。", "^[是这那][^第]*[了着]。", "^[^第]*，[^！？。]{0,10}[。！？]"))
 CHAPTERS_SQL = f"ch as (select book_id, row_number() over (partition by book_id order by line_no) chapter, title from ({TITLES}))"
@@ -345,7 +453,71 @@ iss as (select book_id, 'merged_heading' as type, 'high' severity, chapter, titl
     union all select book_id, 'missing_marker', 'medium', chapter, title, 1 from x where not {UPPER_SQL} and not {PRIMARY_SQL} and not regexp_matches(title, '楔子|序章|序言|引子|终章|尾声|尾记|后记|番外|外传|全文')
     union all select book_id, 'suspicious_title', 'medium', chapter, title, 1 from x where {SUSPECT_SQL}
     union all select book_id, 'duplicate_title', 'high', min(chapter), title, count(*) from ch group by book_id, title having count(*) > 1)"""
-HEADS = f"h as (select book_id, line_no, regexp_extract(title, '(?i)^(?:【[^】]+】\\s*)?(?:第\\s*)?(?:[IVXLCDM]+|\\d+|[{headings.CHINESE}]+)\\s*({headings.ANY})', 1) marker from ({TITLES}))"
+HEADS = f"h as (select book_id, line_no, regexp_extract(title, '(?i)^(?:【[^】]+】\\s*)?(?:第\\s*)?(?:[IVXLCDM]+|\\d+|[〇零一二三四五六七八九十百千两萬万亿億兆壹贰叁肆伍陆柒捌玖拾佰仟廿卅卌○]+)\\s*(卷|部|册|季|章|节|回|集|篇|幕|话|段|折|品)', 1) marker from ({TITLES}))"
+# Blanks and numbers as DuckDB's patterns write them.
+SQL_BLANK = r"[ \t\n\x0b\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+SQL_NUMBER = r"(?:[IVXLCDM]+|[ivxlcdm]+|[Ⅰ-Ⅻ]+|[ⅰ-ⅻ]+|[0-9]+|[〇零一二三四五六七八九十百千两萬万亿億兆壹贰叁肆伍陆柒捌玖拾佰仟廿卅卌○]+)"
+
+
+def SQL_TRIM(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')"
+
+
+def _judged(k: int, u: str) -> str:
+    """State of the books' markers after upper marker `u`, the k-th: it moves if frequent and followed by few chapters."""
+    after = f"(select count(*) from hit h join cnt c on c.book_id = h.book_id and list_contains(s.prim, c.marker) and h.line_no < c.final where h.book_id = s.book_id and h.marker = '{u}')"
+    n = f"(select max(n) from cnt c where c.book_id = s.book_id and c.marker = '{u}')"
+    return f"t{k} as (select *, coalesce({n} > 50 and {after} / {n} < 0.3, false) moves from s{k - 1} s), s{k} as (select book_id, case when moves then list_filter(up, lambda x: x <> '{u}') else up end up, case when moves then list_append(prim, '{u}') else prim end prim from t{k})"
+
+
+_END = "({B}*[:：-]?{B}*)(.*)$"
+FORMS_SQL = {  # number, kind, separator and rest by group
+    2.4: ("'(?i)^(?:【[^】]+】{B}*)?第{B}*({N}){B}*(' || p || ')" + _END + "'", 1, 2),
+    2.25: ("'(?i)^(?:【[^】]+】{B}*)?({N}){B}*(' || p || ')" + _END + "'", 1, 2),
+    2.1: ("'(?i)^(?:【[^】]+】{B}*)?(' || p || '){B}*({N})" + _END + "'", 2, 1),
+    1.9: (r"'(?i)^(?:【[^】]+】{B}*)?(chapter|chap\.?|ch\.?|episode|ep\.?|act|scene|story){B}*(?:\.|:)?{B}*(?:No\.?|№|#)?{B}*({N})" + _END + "'", 2, 1),
+}
+FLAT_SCORE_SQL = "case when length(line) <= 18 then 1.2e0 when length(line) <= 34 then 0.8e0 when length(line) <= 48 then 0.2e0 else -1.5e0 end + case when marks = 0 then 0.8e0 when marks = 1 and contains(line, '：') then 0.1e0 else marks * -1.1e0 end"
+
+
+def _fits(k: int, base: float) -> str:
+    form, number, kind = FORMS_SQL[base]
+    return f"f{k} as (select *, regexp_extract(line, {form}, {number}) num{k}, {SQL_TRIM(f'regexp_extract(line, {form}, {kind})')} kind{k}, regexp_extract(line, {form}, 3) sep{k}, regexp_extract(line, {form}, 4) rest{k}, len(prim) > 0 and regexp_matches(line, {form}) hit{k} from f{k - 1})"
+
+
+def _taken(k: int) -> str:
+    chinese = "[〇零一二三四五六七八九十百千两萬万亿億兆壹贰叁肆伍陆柒捌玖拾佰仟廿卅卌○]"
+    loose = f"not contains(string_split(line, kind{k})[1], '第') and not regexp_matches(num{k}, '(?i)[0-9０-９IVXLCDMⅰ-ⅻ]')"
+    return f"hit{k} and not ({loose} and (regexp_matches(num{k}, '^{chinese}+$') or (sep{k} = '' and regexp_matches(left({SQL_TRIM(f'rest{k}')}, 1), '^[0-9A-Za-z_一-鿿]$'))))"
+
+
+_FIRST = "case " + " ".join(f"when {_taken(k)} then {k}" for k in range(1, 5)) + " end"
+_OF = lambda name: "case form " + " ".join(f"when {k} then {name}{k}" for k in range(1, 5)) + " end"
+_UP = "'(?i)^第{B}*({N}){B}*(' || u || '){B}*[:：-]?{B}*(.*)$'", "'(?i)^(' || u || '){B}*({N}){B}*[:：-]?{B}*(.*)$'", r"'(?i)^(Book|Part|Section|Volume|Vol\.?){B}*({N}){B}*[:：-]?{B}*(.*)$'"
+_GET = lambda i, g: f"regexp_extract(line, {_UP[i]}, {g})"
+_TAIL = lambda i: f"case when {SQL_TRIM(_GET(i, 3))} <> '' then ' ' || {SQL_TRIM(_GET(i, 3))} else '' end"
+CANDIDATES_SQL = ",\n".join([
+    f"lines as ({BOOK_LINES})",
+    f"hit as (select book_id, line_no, regexp_extract(t, form, 1) marker from (select *, {SQL_TRIM('line')} t, '(?i)^(?:【[^】]+】{{B}}*)?(?:第{{B}}*)?{{N}}{{B}}*(卷|部|册|季|章|节|回|集|篇|幕|话|段|折|品)' form from lines) where length(t) between 1 and 100 and regexp_matches(t, form))",
+    "cnt as (select book_id, marker, count(*) n, max(line_no) final from hit group by all)",
+    "s0 as (select book_id, list_filter(['卷', '部', '册', '季'], lambda x: list_contains(list(marker), x)) up, list_filter(['章', '节', '回', '集', '篇', '幕', '话', '段', '折', '品'], lambda x: list_contains(list(marker), x)) prim from cnt group by book_id)",
+    *(_judged(k, u) for k, u in enumerate("卷部册季", 1)),
+    "own as (select l.book_id, line_no, line, coalesce(up, []) up, coalesce(prim, []) prim, case when len(coalesce(up || prim, [])) > 0 then array_to_string(up || prim, '|') else '卷|部|册|季|章|节|回|集|篇|幕|话|段|折|品' end anyone from lines l left join s4 using (book_id))",
+    "parted as (select *, '(?i)(?:【[^】\\r\\n]+】{B}*)?第{B}*{N}{B}*(?:' || anyone || ')' form from own)",
+    f"cut as (select book_id, line_no, up, prim, case when regexp_matches(line, form) then list_filter(list_transform(string_split(regexp_replace(line, form, chr(1) || '\\0', 'g'), chr(1)), lambda x: {SQL_TRIM('x')}), lambda x: x <> '') else [line] end cut from parted)",
+    f"f0 as (select book_id, line_no, up, prim, array_to_string(prim, '|') p, array_to_string(up, '|') u, len(cut) > 1 composite, {SQL_TRIM('unnest(cut)')} line, generate_subscripts(cut, 1) - 1 part from cut)",
+    *(_fits(k, base) for k, base in enumerate(FORMS_SQL, 1)),
+    f"picked as (select *, {_FIRST} form from f4)",
+    f"parts as (select book_id, line_no, part, up, prim, u, line, {_OF('rest')} rest, {_OF('sep')} sep, composite and {SQL_TRIM(_OF('rest'))} = '' bare, case form when 1 then 2.4e0 when 2 then 2.25e0 when 3 then 2.1e0 when 4 then 1.9e0 end base from picked)",
+    f"kept as (select * replace (case when not bare then base end as base), sep || rest after, {SQL_TRIM('sep || rest')} tail, len(regexp_extract_all(regexp_replace(line, '[！!？?]+$', ''), '[，。,。？！、；]')) marks from parts)",
+    f"gaps as (select *, length(regexp_extract(after, '^({{B}}+)', 1)) gap, regexp_extract(after, '^{{B}}+([\\p{{P}}\\p{{S}}]*)', 1) lead, left(tail, 1) c, length(tail) n, len(regexp_extract_all(regexp_replace(tail, '[！!？?]+$', ''), '[，。,。？！、；]')) inside from kept)",
+    f"""scored as (select *, case when after = '' then base + {FLAT_SCORE_SQL} else base + {FLAT_SCORE_SQL} + case when gap >= 2 then 1e0 when gap = 1 then 0.8e0 else 0e0 end + case when gap > 0 and lead <> '' then 0.2e0 else 0e0 end
+      + case when c = '' then 0e0 when regexp_matches(c, '[:：\\-—·,，.。!！?？()（）【】《》「」『』"“”‘’]|{{B}}') then 0.25e0 when contains('上下中末终序外前后番篇卷章', c) then 0.45e0 when regexp_matches(c, '[A-Za-z0-9㐀-䶿一-鿿]') then 0.25e0 else -0.6e0 end
+      + case when n > 60 then -1.4e0 when n > 44 then -0.9e0 when n > 32 then -0.4e0 else 0e0 end + case when inside >= 2 and n > 24 then inside * -0.45e0 else 0e0 end end score,
+      case when len(up) > 0 and regexp_matches(line, {_UP[0]}) then '第' || {_GET(0, 1)} || {_GET(0, 2)} || {_TAIL(0)} when len(up) > 0 and regexp_matches(line, {_UP[1]}) then {_GET(1, 1)} || {_GET(1, 2)} || {_TAIL(1)}
+           when regexp_matches(line, {_UP[2]}) then {_GET(2, 1)} || ' ' || {_GET(2, 2)} || {_TAIL(2)} when regexp_matches(line, '^【(.+?)】$') then line end head,
+      case when len(up) > 0 and regexp_matches(line, {_UP[0]}) then {_GET(0, 2)} when len(up) > 0 and regexp_matches(line, {_UP[1]}) then {_GET(1, 1)} when regexp_matches(line, {_UP[2]}) then lower({_GET(2, 1)}) when regexp_matches(line, '^【(.+?)】$') then 'bracket' end mark from gaps)""",
+]).replace("{B}", SQL_BLANK).replace("{N}", SQL_NUMBER)
 SNAP = """f as (select doc_id book_id, lang, sha256(text) hash from documents),
 o as (select book_id, lang, case lang when 'de' then 'old' else hash end hash from f where lang <> 'fr'), m as (select * from o union all select -book_id - 1, lang, hash from f where lang = 'es')"""
 SAVES = "s as (select user_id, props->>'$.k' book_id, ts, event_id from events), l as (select user_id, book_id, max(ts) ts, max_by(event_id, (ts, event_id)) seq from s group by all), r as (select *, row_number() over (partition by user_id order by ts desc, seq desc) place from l)"
@@ -369,7 +541,7 @@ n as (select *, case when total > 0 then (p * 2000 + total) // (total * 2) else
 select book_id, k // 10 || '.' || k % 10 percent, coalesce(left(b, 20), '') preview, j // 10 || '.' || j % 10 mib from n""",
     "content_hash": "select doc_id book_id, sha256(text) hash from documents",
     "plan_changes": f"with {SNAP} select f.book_id, case when m.hash is null then 'new' when m.hash <> f.hash then 'changed' when f.lang = 'es' then 'missing_index' else 'current' end status from f left join m using (book_id)",
-    "manifest_merge": "select doc_id book_id, sha256(text) hash, lang from documents",
+    "manifest_merge": "select doc_id book_id, case when lang in ('fr', 'de') then 'v2-' else '' end || sha256(text) hash, lang from documents",
     "removed_books": f"with {SNAP} select book_id, hash from m where book_id not in (select book_id from f)",
     "obsolete_assets": f"with {PARTS.format(size=PART)}, c as (select book_id, part_no from parts) select book_id, {SHELL} asset from c where (book_id, part_no) not in (select (book_id, part_no) from (with {PARTS.format(size=2 * PART)} select book_id, part_no from parts))",
     "pending_batch": "select doc_id book_id, (row_number() over (order by doc_id) + 49) // 50 batch from documents",
@@ -399,16 +571,47 @@ select book_id, title, author from t where (len(list_filter(a, lambda x: contain
     "book_progress": "with s as (select props->>'$.k' book_id, user_id, ts from events) select p_partkey::varchar book_id, count(distinct user_id) readers, epoch_us(max(ts)) // 1000 last_ms from part left join s on book_id = p_partkey::varchar group by p_partkey",
     "title_stats": f"""with {CHAPTERS_SQL}, a as (select book_id, count(*) total, avg(length(title)) avg_len, min(length(title))::int min_len, max(length(title))::int max_len, count(*) filter ({UPPER_SQL}) with_prefix from ch group by book_id)
 select *, (with_prefix * 2000 + total) // (total * 2) // 10 || '.' || (with_prefix * 2000 + total) // (total * 2) % 10 || '%' prefix_ratio from a""",
-    "marker_usage": f"with {CHAPTERS_SQL}, m as (select unnest(string_split('{headings.ANY}', '|')) marker) select book_id, marker, count(*) n from ch join m on contains(title, marker) group by all",
+    "marker_usage": f"with {CHAPTERS_SQL}, m as (select unnest(string_split('卷|部|册|季|章|节|回|集|篇|幕|话|段|折|品', '|')) marker) select book_id, marker, count(*) n from ch join m on contains(title, marker) group by all",
     "duplicate_titles": f"with {CHAPTERS_SQL} select book_id, title, count(*) n, min(chapter) first_chapter from ch group by book_id, title having count(*) > 1",
     "quality_issues": f"with {ISSUES_SQL} select * from iss",
-    "issue_top20": f"""with {ISSUES_SQL}, p as (select *, row_number() over (partition by book_id order by severity = 'medium', chapter, list_position({list(quality.CHECKS)}, type), title) place, greatest(count(*) over (partition by book_id) - 20, 0) more from iss)
+    "issue_top20": f"""with {ISSUES_SQL}, p as (select *, row_number() over (partition by book_id order by severity = 'medium', chapter, list_position(['merged_heading', 'duplicate_title', 'long_title', 'high_punctuation', 'multiple_upper_markers', 'reversed_hierarchy', 'missing_marker', 'suspicious_title'], type), title) place, greatest(count(*) over (partition by book_id) - 20, 0) more from iss)
 select book_id, type, chapter, title, place, more from p where place <= 20""",
     "library_summary": f"with {ISSUES_SQL}, t as (select count(distinct book_id) books, count(*) chapters, (select count(*) from iss) issues from ch) select *, round((1 - issues / greatest(chapters, 1)) * 100, 6) quality, case when issues = 0 then 'good' when issues < 10 then 'fair' else 'poor' end verdict from t",
     "heading_scan": f"with {HEADS} select book_id, marker, count(*) n, min(line_no) first_line, max(line_no) last_line from h where marker <> '' group by all",
-    "heading_score": f"""with t as (select book_id, line_no, title, length(title) n, len(regexp_extract_all(title, '[，。,。？！、；]')) k from ({TITLES}))
-select book_id, line_no, round(1.6 + case when n <= 18 then 1.2 when n <= 34 then 0.8 when n <= 48 then 0.2 else -1.5 end + case when k = 0 then 0.8 when k = 1 and contains(title, '：') then 0.1 else k * -1.1 end, 6)::double score from t""",
+    "heading_hierarchy": f"with {CANDIDATES_SQL} select book_id, array_to_string(up, '') as upper, array_to_string(prim, '') as primary from s4",
+    "heading_score": f"with {CANDIDATES_SQL} select book_id, line_no, part, round(score, 6) score from scored where base is not null",
+    "chapter_spans": f"""with {CANDIDATES_SQL}, heads as (select *, {FLAT_SCORE_SQL} flat from scored),
+m as (select *, base is null and mark is not null and 1.6e0 + flat >= 1.8e0 is_upper, case when base is not null then score >= 1.8e0 else mark is null and regexp_matches(line, '^(楔子|序章|序言|引子|终章|尾声|尾记|后记|番外|外传)') and 2e0 + flat >= 1.8e0 end is_chapter,
+     row_number() over (partition by book_id order by line_no, part) idx, count(*) over (partition by book_id) total from heads),
+c as (select *, last_value(case when is_upper then head end ignore nulls) over w up_head, last_value(case when is_upper then mark end ignore nulls) over w up_mark from m
+      window w as (partition by book_id order by idx rows between unbounded preceding and 1 preceding))
+select book_id, row_number() over o chapter, {SQL_TRIM('case when list_contains(up, up_mark) and not list_contains(prim, up_mark) then up_head || chr(32) || line else line end')} title, idx start_line, coalesce(lead(idx) over o - 1, total) end_line
+from c where is_chapter window o as (partition by book_id order by idx)""",
     "fallback_chapters": """with t as (select doc_id book_id, len(string_split(text, chr(10))) n from documents where text is not null), c as (select book_id, n, unnest(range(1, n + 1, 20)) a from t)
 select book_id, ((a - 1) // 20 + 1)::bigint chapter, '第' || ((a - 1) // 20 + 1) || '章 第' || a || '-' || least(a + 19, n) || '行' title, a::bigint start_line, least(a + 19, n)::bigint end_line from c""",
     "fallback_books": "select doc_id book_id from documents where text is not null",
+    "catalog_documents": "select '2025-01-01T00:00:00.000Z' \"generatedAt\", p_partkey::varchar id, p_name title, p_brand author, p_size \"totalChapters\" from part",
+    "catalog_written": "select '2025-01-01T00:00:00.000Z' \"generatedAt\", p_partkey::varchar id, p_name title, p_brand author, 0::int \"totalChapters\" from part",
+    "manifest_books": "select p_partkey::varchar book_id, sha256(p_name) hash, p_name title, p_type || '|' || p_brand assets from part",
+    "named_files": "select 'b' || p_partkey || '_chapters.json' filename from part where p_partkey % 4 = 0",
+    "config_fallback": "select event_id, case when event_id % 3 = 0 then props->>'$.k' else 'none' end k from events",
+    "ingest_batches": """with t as (select '《b' || doc_id || '》作者：' || source || '.rar' filename, len(string_split(regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), chr(10))) >= 10 good from documents),
+n as (select *, row_number() over (order by filename) pos, count(*) over () total from t), r as (select (pos - 1) // ((total * 2 + 4) // 5) + 1 run, any_value(total) total, any_value((total * 2 + 4) // 5) size, count(*) filter (good) processed, count(*) filter (not coalesce(good, false)) failed from n group by 1)
+select run, processed, failed, greatest(total - run * size, 0) remaining, (greatest(total - run * size, 0) + size - 1) // size batches, 0::bigint removed, (sum(processed) over (order by run))::bigint books from r""",
+    "fallback_removed": "select doc_id book_id, sha256(text) hash from documents where lang = 'en' or text is null",
+    "check_counts": f"""with {ISSUES_SQL}, c as (select unnest(['merged_heading', 'duplicate_title', 'long_title', 'high_punctuation', 'hierarchy', 'missing_marker', 'suspicious_title']) as "check"),
+n as (select book_id, case when type in ('multiple_upper_markers', 'reversed_hierarchy') then 'hierarchy' else type end as "check", sum(case when type = 'duplicate_title' then amount - 1 else 1 end)::bigint n from iss group by all)
+select b.book_id, c."check", coalesce(n, 0)::bigint n, case when coalesce(n, 0) = 0 then 'none' when n < 5 then 'few' else 'many' end tier from (select distinct book_id from ch) b cross join c left join n on n.book_id = b.book_id and n."check" = c."check\"""",
+    "repeated_chapters": f"with {CHAPTERS_SQL}, l as (select book_id, title, count(*) n, list(chapter order by chapter) x from ch group by all having count(*) > 1) select book_id, title, n, array_to_string(x[1:5], ', ') chapters from l",
+    "scroll_saves": """with recursive s as (select user_id, props->>'$.k' book_id, event_id seq, event_id * 37 % 1000 position, row_number() over (partition by user_id, props->>'$.k' order by event_id) r from events),
+w as (select user_id, book_id, seq, position, r, position > 100 kept, case when position > 100 then position else 0 end final from s where r = 1
+      union all select s.user_id, s.book_id, s.seq, s.position, s.r, abs(s.position - w.final) > 100, case when abs(s.position - w.final) > 100 then s.position else w.final end from w join s on s.user_id = w.user_id and s.book_id = w.book_id and s.r = w.r + 1)
+select user_id, book_id, seq, position from w where kept""",
+    "settled_searches": "with t as (select user_id, event_id, epoch_us(ts) // 1000 ms from events), n as (select *, lead(ms) over (partition by user_id order by ms) after from t) select user_id, event_id, ms from n where after is null or after - ms >= 600000",
+    "saved_progress": "select user_id, props->>'$.k' book_id, event_id seq, 1893456000000 updated_ms from events",
+    "scalar_labels": """with t as (select doc_id book_id, text, coalesce(strlen(text), 0)::bigint * 5000 size, 'b' || doc_id || ' é ' || source title, doc_id % 37 + 1 done from documents)
+select book_id, sha256(text || chr(10) || 'end') newlines, (size * 2 + 1048576) // 2097152 mib, (size * 2 + 1048576) // 2097152 > 10 large, case when done % 3 = 0 or done = 37 then (done * 200 + 37) // 74 end scanned, case when book_id % 2 = 0 then '1.5% · abc...' else '已读 1.5%' end place,
+  (book_id + 1)::varchar batch, '512' size, (book_id * 7 // 60) || 'm ' || (book_id * 7 % 60) || 's' duration, strftime(make_timestamp(book_id * 86399001000), '%Y-%m-%dT%H:%M:%S.%gZ') iso, replace(title, 'é', '_') || '.txt' ascii_name, url_encode(title || '.txt') utf8_name from t""",
+    "reader_places": """with t as (select doc_id book_id, coalesce(strlen(text), 0)::bigint * 200 total from documents), w as (select *, case when total > 0 then greatest(total / 2 - 100000, 0)::bigint else 0 end s, case when total > 0 then trunc(least(total / 2 + 100000, total))::bigint else 0 end e from t),
+a as (select *, floor(s + (e - s) * (book_id % 700) / 700)::bigint place_byte from w) select book_id, place_byte, case when place_byte > 0 and place_byte >= s and e > s then round((place_byte - s) / (e - s), 9) end share from a""",
 }

@@ -65,9 +65,9 @@ def read_json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path) if there else spark.createDataFrame([], schema)
 
 
-def write_parts(parts: DataFrame, folder: str) -> None:
-    """Parts with their contents as a table by book, written by all tasks at once."""
-    parts.write.mode("overwrite").partitionBy("book_id").parquet(folder)
+def write_parts(parts: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Parts with their contents as a table of buckets by book, so that a book is read from one folder and a library of many books has few."""
+    parts.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def write_json(rows: DataFrame, folder: str) -> None:

@@ -1,0 +1,41 @@
+"""Tables that a run replaces as a whole: numbered versions in a folder, of which the last complete one counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions under `root`, in order."""
+    fs, path = _folder(spark, root)
+    if not fs.exists(path):
+        return []
+    found = [x.getPath() for x in fs.listStatus(path)]
+    return sorted(int(p.getName()[1:]) for p in found if p.getName()[:1] == "v" and p.getName()[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_latest(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The last version, or an empty table."""
+    found = versions(spark, root)
+    return spark.read.schema(schema).parquet(f"{root}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def write_next(df: DataFrame, root: str, keep: int = 2) -> DataFrame:
+    """Write `df`, which may come from the versions before, as the next one, and drop all but the last `keep`."""
+    spark = df.sparkSession
+    found = versions(spark, root)
+    path = f"{root}/v{found[-1] + 1 if found else 0}"
+    df.write.mode("overwrite").parquet(path)
+    for old in found[: max(0, len(found) + 1 - keep)]:
+        remove_version(spark, root, old)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_version(spark: SparkSession, root: str, number: int) -> None:
+    fs, path = _folder(spark, f"{root}/v{number}")
+    fs.delete(path, True)

@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.progress import KEPT, most_recent
+from ..sources.snapshots import remove_version, versions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")).rstrip("/")
+    """The folder that driver and executors share; one of our own where all tasks run in this process (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or tempfile.mkdtemp(prefix="quire-")).rstrip("/")
 
 
-def keep_most_recent(saves: DataFrame, most: int = KEPT) -> DataFrame:
+def keep_most_recent(saves: DataFrame, root: str, most: int = KEPT) -> DataFrame:
     """Runs the stream `saves` (user_id, book_id, updated_at, seq, ...) as far as it has input and returns the table.
 
-    Each micro-batch joins the table with its own most recent books and writes the next version by the batch's number, so
-    a batch that is repeated after a loss writes the same version again.
+    State and table lie under `root`; another run with the same root goes on from there. Each micro-batch joins the last
+    version below its own number with its most recent books and writes the version of its number, so a batch that is
+    repeated after a loss reads and writes the same versions again.
     """
     spark = saves.sparkSession
-    root = f"{shared_folder(spark)}/quire-progress-{uuid.uuid4().hex}"
     columns = saves.columns
-    done: list[str] = []
+    schema = most_recent(spark.createDataFrame([], saves.schema), most).schema
+    table = f"{root.rstrip('/')}/table"
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = batch.sparkSession.read.parquet(done[-1]).select(*columns).unionByName(batch) if done else batch
-        most_recent(held, most).write.mode("overwrite").parquet(path := f"{root}/v{number}")
-        if path not in done:
-            done.append(path)
+        below = [v for v in versions(spark, table) if v < number]
+        held = spark.read.schema(schema).parquet(f"{table}/v{below[-1]}").select(*columns).unionByName(batch) if below else batch
+        most_recent(held, most).write.mode("overwrite").parquet(f"{table}/v{number}")
+        for old in below[:-2]:
+            remove_version(spark, table, old)
 
-    query = saves.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query = saves.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root.rstrip('/')}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(done[-1]) if done else most_recent(spark.createDataFrame([], saves.schema), most)
+    found = versions(spark, table)
+    return spark.read.schema(schema).parquet(f"{table}/v{found[-1]}") if found else spark.createDataFrame([], schema)
