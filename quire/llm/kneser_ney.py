@@ -36,7 +36,9 @@ TOKENS = FIRST + VOCABULARY
 #: Languages with a vocabulary of their own, the largest ones; all others share none and get the empty model's score.
 LANGUAGES = 64
 #: Words that a task counts at a time, and events that it packs at a time.
-MEMO_WORDS, UNIT_EVENTS, UNIT_DOCS = 400_000, 2_000_000, 60_000
+MEMO_WORDS, UNIT_EVENTS, UNIT_DOCS = 250_000, 1_000_000, 60_000
+#: Bytes of text that are split into words at a time; word objects take several times as much.
+TEXT_BYTES = 3 << 20
 #: Events of a shard on average, shards at most, and events of a shard that one task answers.
 SHARD_EVENTS, SHARDS, SALT_EVENTS = 4_000_000, 256, 64_000_000
 #: Tokens of the lower order that one row holds.
@@ -129,13 +131,14 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY) -> tuple[dict[str, np.
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1), pa.string()), pa.array(np.append(h, 0)), pa.array(np.append(np.fromiter(words.values(), np.int64, len(words)), total.pop(lang)))], ["lang", "h", "n"])
 
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", TEXT_BYTES):
             for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 words = text.split()
                 total[lang] += len(words)
                 seen.setdefault(lang, Counter()).update(set(words))
-            for lang in [k for k, w in seen.items() if len(w) > MEMO_WORDS]:
-                yield flush(lang, seen.pop(lang))
+            if sum(map(len, seen.values())) > MEMO_WORDS:
+                for lang in list(seen):
+                    yield flush(lang, seen.pop(lang))
         for lang, words in seen.items():
             yield flush(lang, words)
 
@@ -201,7 +204,7 @@ def count_bigrams(docs: DataFrame, sent, shards: int, salts: int) -> DataFrame:
             rows = [(lang, s, number % salts, fold, packed(keys[a:b], True), packed(counts[a:b].astype(np.uint64))) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "salt", "fold", "keys", "counts"])
 
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", TEXT_BYTES):
             langs, folds, texts = batch["lang"].to_pylist(), batch["fold"].to_pylist(), [t.split() for t in as_bytes(batch["text"])]
             for of, places in grouped(list(zip(langs, folds, strict=True))).items():
                 if of[0] in sent.value:
@@ -363,7 +366,7 @@ def document_scores(docs: DataFrame, used: Column, measure: Callable | None = No
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
         held, size, count = [], 0, 0
-        for whole in byte_slices(batches, "text"):
+        for whole in byte_slices(batches, "text", TEXT_BYTES):
             for batch in (whole.slice(i, UNIT_DOCS) for i in range(0, whole.num_rows, UNIT_DOCS)):
                 raw = as_bytes(batch["text"])
                 texts = [t.split() for t in raw]
