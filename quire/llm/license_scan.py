@@ -1,9 +1,9 @@
 """License scans: a logistic regression over sparse word n-grams names the licence family of a paragraph; a comparison
 with the family's templates confirms it.
 
-Training, scoring and comparison are DataFrame operations. The model's features are word n-grams with an anchor, a word
-that licence notices hardly do without; a paragraph without anchors has no features and is of no family, so scoring
-looks only at paragraphs with one, which changes no result.
+Training, scoring and comparison are DataFrame operations. The model's features are runs of three and four words, and
+shorter ones with an anchor, a word that every paragraph of the templates has; scoring looks only at paragraphs with an
+anchor.
 """
 
 from __future__ import annotations
@@ -17,22 +17,67 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-# Common notices of licence families, in lower case.
+# Common notices of licence families, in lower case, and the paragraphs of their standard texts.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "agpl-3.0": ("licensed under the gnu affero general public license, version 3.", "this program is free software under the terms of the gnu affero general public license as published by the free software foundation."),
-    "apache-2.0": ("licensed under the apache license, version 2.0.", "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license.", "released under the apache 2.0 license."),
-    "bsd": ("released under the bsd license.", "licensed under the bsd 3-clause license.", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    "agpl-3.0": (
+        "licensed under the gnu affero general public license, version 3.",
+        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version.",
+        "you should have received a copy of the gnu affero general public license along with this program. if not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "apache-2.0": (
+        "licensed under the apache license, version 2.0.",
+        "released under the apache 2.0 license.",
+        'licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0',
+        'unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language governing permissions and limitations under the license.',
+    ),
+    "bsd": (
+        "released under the bsd license.",
+        "licensed under the bsd 3-clause license.",
+        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'this software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.',
+    ),
     "cc-by": ("licensed under cc by 4.0.", "this work is licensed under a creative commons attribution 4.0 international license."),
     "cc-by-nc": ("licensed under cc by-nc 4.0.", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license."),
     "cc-by-sa": ("licensed under cc by-sa 4.0.", "this work is licensed under a creative commons attribution-sharealike 4.0 international license."),
-    "cc0": ("released under cc0 1.0 universal.", "to the extent possible under law, the author has waived all copyright and related rights to this work under cc0."),
-    "gpl-2.0": ("this work is licensed under the gnu general public license, version 2.", "this program is free software under the terms of the gnu general public license version 2 as published by the free software foundation."),
-    "gpl-3.0": ("this work is licensed under the gnu general public license, version 3.", "this program is free software under the terms of the gnu general public license version 3 as published by the free software foundation."),
-    "isc": ("released under the isc license.", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, under the isc license."),
-    "lgpl": ("licensed under the gnu lesser general public license, version 3.", "this library is free software under the terms of the gnu lesser general public license as published by the free software foundation."),
-    "mit": ("released under the mit license.", "licensed under the mit license.", "permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the software without restriction, under the mit license."),
-    "mpl-2.0": ("licensed under the mozilla public license, version 2.0.", "this source code form is subject to the terms of the mozilla public license, v. 2.0."),
-    "unlicense": ("this is free and unencumbered software released into the public domain under the unlicense.",),
+    "cc0": ("released under cc0 1.0 universal.", "to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under cc0."),
+    "gpl-2.0": (
+        "this work is licensed under the gnu general public license, version 2.",
+        "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version.",
+        "you should have received a copy of the gnu general public license along with this program; if not, write to the free software foundation, inc., 51 franklin street, fifth floor, boston, ma 02110-1301 usa.",
+    ),
+    "gpl-3.0": (
+        "this work is licensed under the gnu general public license, version 3.",
+        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version.",
+        "you should have received a copy of the gnu general public license along with this program. if not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "isc": (
+        "released under the isc license.",
+        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'the software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.',
+    ),
+    "lgpl": (
+        "licensed under the gnu lesser general public license, version 3.",
+        "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version.",
+        "you should have received a copy of the gnu lesser general public license along with this library.",
+    ),
+    "mit": (
+        "released under the mit license.",
+        "licensed under the mit license.",
+        'permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions:',
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software.",
+        'the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+    ),
+    "mpl-2.0": (
+        "licensed under the mozilla public license, version 2.0.",
+        "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/.",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain.",
+        "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means, under the unlicense.",
+    ),
 }
 # Sentences with anchors that name no family.
 UNKNOWN = (
@@ -45,19 +90,22 @@ UNKNOWN = (
     "use of this license key is subject to the terms of sale.", "copyright law differs by country.", "licensed dealers only.", "licensed under a secret agreement between the two firms.",
     "the software is licensed, not sold.", "this document is licensed to the buyer.", "she was licensed to practise in 1990.", "lesser known works are under copyright.",
     "use of the material is subject to permission of the rights holder.", "ask the museum for permission to print the picture.", "the house of commons passed a copyright act.", "the license of the bar was renewed for three years.",
-    "no license is granted by implication.", "licensed from the studio for one season.", "a fishing license costs ten coins.", "the apache river runs through the public lands.",
+    "no license is granted by implication.", "the museum shows copies of old books with permission of the author.", "software is written by people and used by people.", "the warranty of this car ends after three years.", "she sold copies of the book without fee.",
+    "the following conditions must be met before the merger.", "this work is the result of many years.", "the program is free to visitors of the fair.", "you should have received a letter by now.", "the rights of the people are limited by law.", "licensed from the studio for one season.", "a fishing license costs ten coins.", "the apache river runs through the public lands.",
 )
 # What stands around a notice in files.
 BEFORE = ("", "this file is part of the project. ", "copyright 2020 the authors. ", "notice: ")
 AFTER = ("", " see the license file for details.", " all other rights are reserved.")
 # Strings of which a licence notice holds one at least.
-ANCHORS = ("licens", "licenc", "copyright", "apache", "gnu", "gpl", "mozilla", "unencumbered", "redistribution", "permission", "commons", "cc0", "cc by")
+ANCHORS = ("licens", "licenc", "copyright", "apache", "gnu", "gpl", "mozilla", "unencumbered", "redistribut", "permission", "commons", "cc0", "cc by", "warrant", "free to copy")
 #: A template's word pairs that a paragraph must have for its family to be confirmed.
 OVERLAP = 0.7
 #: Share of held sentences of no family that may pass for a notice; the comparison with templates still holds them back.
 ACCEPTED = 0.05
 #: Rows of training and calibration data at most; all come from the tables above.
 TRAINING_ROWS = 20_000
+#: A line of more code points is a paragraph of its own; shorter ones between lines without letters make one together.
+LONG_LINE = 120
 
 
 def anchored(text: Column) -> Column:
@@ -74,9 +122,19 @@ def tokens(text: Column) -> Column:
 
 
 def grams(words: Column, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> Column:
-    """Distinct runs of so many words, of those that hold an anchor."""
-    runs = F.concat(*[F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes])
-    return F.array_distinct(F.filter(runs, anchored))
+    """Distinct runs of so many words: all of three words or more, and those of fewer that hold an anchor."""
+
+    def runs(n: int) -> Column:
+        found = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return found if n > 2 else F.filter(found, anchored)
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def paragraphs(text: Column) -> Column:
+    """Paragraphs of a text. Comment marks don't matter, as words leave them out; lines of marks alone part paragraphs."""
+    alone = F.regexp_replace(text, rf"(?dm)^(.{{{LONG_LINE + 1},}})$", "\n\n$1\n\n")
+    return F.split(alone, r"\n(?:[^\p{L}\p{N}\n]*\n)+", -1)
 
 
 def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
@@ -88,11 +146,11 @@ def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession) -> DataFrame:
-    """(family, text, held): notices and other sentences as they stand in files; a fifth is held out for calibration."""
+    """(family, text, held): notices and other sentences as they stand in files. A third of the notices and sentences, with all that may stand around them, is held out for calibration."""
     notes = values(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [("unknown", t) for t in UNKNOWN], "family, note")
     around = values(spark, [(b, a) for b in BEFORE for a in AFTER], "before, after")
-    rows = notes.crossJoin(F.broadcast(around)).select("family", F.concat("before", "note", "after").alias("text")).limit(TRAINING_ROWS)
-    return rows.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
+    rows = notes.withColumn("held", F.pmod(F.xxhash64("note"), F.lit(3)) == 0).crossJoin(F.broadcast(around))  # the constants above
+    return rows.select("family", F.concat("before", "note", "after").alias("text"), "held").limit(TRAINING_ROWS)
 
 
 class Model:
@@ -109,30 +167,33 @@ def softmax(logits: list[float], scale: float) -> list[float]:
 
 
 def train(spark: SparkSession) -> Model:
-    """Fit on the training rows, then calibrate on the held ones: a scale of the logits that makes their true classes
-    likeliest, and the probability of any family that all but ACCEPTED of the held sentences of no family stay under.
+    """Fit without the held notices, then calibrate on them: a scale of the logits that makes their true classes likeliest,
+    and the probability of any family that all but ACCEPTED of the held sentences of no family stay under. The weights
+    are those of a second fit on all rows.
     """
     rows = training_rows(spark).select("family", "held", grams(tokens(F.col("text"))).alias("grams")).coalesce(1).cache()
     classes = ["unknown", *sorted(TEMPLATES)]
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.filter("not held"))
+    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows)
     index = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    data = vectors.transform(rows).withColumn("label", index.cast("double")).select("label", "held", "features")
-    fitted = LogisticRegression(family="multinomial", maxIter=80, regParam=0.0005, elasticNetParam=0.2).fit(data.filter("not held"))
-    held = [(int(r[0]), list(r[1].toArray())) for r in fitted.transform(data.filter("held")).select("label", "rawPrediction").collect()]
-    rows.unpersist()
+    data = vectors.transform(rows).withColumn("label", index.cast("double")).select("label", "held", "features").cache()
+    regression = LogisticRegression(family="multinomial", maxIter=80, regParam=0.0005, elasticNetParam=0.2)
+    held = [(int(r[0]), list(r[1].toArray())) for r in regression.fit(data.filter("not held")).transform(data.filter("held")).select("label", "rawPrediction").collect()]
     scale = min((s / 4 for s in range(1, 41)), key=lambda s: -sum(math.log(max(softmax(x, s)[y], 1e-12)) for y, x in held))
     wrong = sorted(1 - softmax(x, scale)[0] for y, x in held if not y)
     limit = max(0.5, wrong[int(len(wrong) * (1 - ACCEPTED))]) if wrong else 0.5
+    fitted = regression.fit(data)
+    rows.unpersist()
+    data.unpersist()
     matrix = fitted.coefficientMatrix.toArray()
     weights = [(g, *map(float, matrix[:, i])) for i, g in enumerate(vectors.vocabulary) if abs(matrix[:, i]).max() > 0]
-    return Model(classes, weights, [float(x) for x in fitted.interceptVector], scale, limit)
+    return Model(classes, weights, [float(x) for x in fitted.interceptVector], scale, min(limit, 0.9))
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per paragraph of `docs` (doc_id, text) that the model takes for a licence notice: doc_id, paragraph (line
+    """One row per paragraph of `docs` (doc_id, text) that the model takes for a licence notice: doc_id, paragraph (its
     number from 0), family, probability (calibrated, of any family), overlap (of the family's nearest template), confirmed.
 
-    Paragraphs are lines. Whole texts are scanned. A paragraph is of its likeliest family if the probability of any
+    Paragraphs: see `paragraphs`. Whole texts are scanned. A paragraph is of its likeliest family if the probability of any
     family is over the model's limit, else of none and left out. Null or empty text: no rows. Null doc_id: kept as null. Repeated
     rows: each gives its rows. Other columns are ignored. Empty tables give an empty result.
     """
@@ -141,7 +202,7 @@ def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     names = [f"w{i}" for i in range(len(model.classes))]
     weights = F.broadcast(values(spark, model.weights, ", ".join(["gram", *names])))  # bounded: n-grams of the tables above
     rows = docs.select(F.col("doc_id").cast("long"), "text").filter(anchored(F.lower("text"))).withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).filter(anchored(F.lower("line")))
+    lines = rows.select("doc_id", "row", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line")).filter(anchored(F.lower("line")))
     lines = written(lines.withColumn("words", tokens(F.col("line"))), "paragraphs")
     hits = lines.select("row", "paragraph", F.explode(grams(F.col("words"))).alias("gram")).join(weights, "gram")
     sums = hits.groupBy("row", "paragraph").agg(*[F.sum(n).alias(n) for n in names])
