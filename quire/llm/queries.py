@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import format_conversations, read_back
+from .chat_format import expand, format_conversations, read_back
 from .common import load
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_join
@@ -53,7 +53,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("select -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
-    return read_back(format_conversations(turns.unionByName(own)))
+    return read_back(expand(format_conversations(turns.unionByName(own))))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and SQL, and their defined edge cases."""
 
+import hashlib
 import math
 import random
 import re
@@ -10,9 +11,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import queries
-from quire.llm.chat_format import example_texts, format_conversations
+from quire.llm.chat_format import example_texts, expand, format_conversations, read_back
 from quire.llm.embedding_dedup import near_duplicates
 from quire.llm.license_scan import scan_licenses
 from quire.llm.line_dedup import PerfectHash, dedup_lines
@@ -197,13 +199,30 @@ def test_sentencepiece_chunks_and_round_trip(spark, odd, none):
 def test_chat_examples(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "<|user|>[INST]\\l"), (1, 2, "assistant", "</s>a"), (1, 3, None, None), (1, 4, "assistant", "b"), (1, 5, "user", "last"), (2, 0, "user", "q"), (None, None, "assistant", "x")]
     out = format_conversations(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, pos int"))
-    texts = {(r.conv_id, r.example): (r.prompt, r.completion) for r in example_texts(out).collect()}
+    spelt = example_texts(out).collect()
+    texts = {(r.conv_id, r.example): (r.text[: r.mask_start], r.text[r.mask_start : r.mask_start + r.mask_chars]) if r.mask_start is not None else (r.text, None) for r in spelt}
+    assert all(r.text == texts[r.conv_id, r.example][0] + texts[r.conv_id, r.example][1] + "</s>" for r in spelt if r.mask_start is not None)
+    rows_of = {(r.conv_id, r.example): r for r in expand(out).collect()}
+    assert rows_of.keys() == texts.keys() and all(len(r.text) == rows_of[r.conv_id, r.example].chars and rows_of[r.conv_id, r.example].completion == texts[r.conv_id, r.example][1] for r in spelt)
     assert texts[1, 1][0].endswith("<|assistant|>") and texts[1, 1][1] == "\\l/s>a"
     assert texts[1, 2][0].startswith(texts[1, 1][0] + texts[1, 1][1]) and texts[1, 2][1] == "b"
     assert texts[1, 3][1] is None and texts[2, 1][1] is None and texts[None, 1] == ("<|assistant|>", "x")
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_ties_repeats_and_long_texts(spark):
+    """Equal turn numbers go by role and text, repeated rows are turns, and a mask moved by one character would show."""
+    rows = [(1, 1, "user", "q"), (1, 1, "assistant", "z"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, None, "system", "s"), (2, 1, "assistant", "<|x|>\\[é]" * 20000), (2, 2, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in read_back(expand(format_conversations(table))).collect()}
+    hashed = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert (found[1].n_turns, found[1].loss_chars, found[1].loss_sha256) == (5, 3, hashed("aaz"))
+    assert found[1].turns_sha256 == hashed("system\ns\nassistant\na\nassistant\na\nassistant\nz\nuser\nq\n")
+    assert (found[2].n_turns, found[2].loss_chars, found[2].loss_sha256) == (2, 180000, hashed("<|x|>\\[é]" * 20000))
+    wrong = expand(format_conversations(table)).withColumn("completion", F.substr("conversation", (F.col("mask_start") + 2).cast("int"), F.col("mask_chars").cast("int")))
+    assert {r.conv_id: r.loss_sha256 for r in read_back(wrong).collect()}[2] != found[2].loss_sha256
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
