@@ -73,7 +73,7 @@ def start(nodes: DataFrame, dim: int, count: int, seed: int) -> DataFrame:
             last = code[-NEXT:], node[-NEXT:], x[-NEXT:]
             yield pairs_batch(a, b, sim)
 
-    rows = nodes.select("node", "vector").mapInArrow(bands, "band int, code long, along double, node long, vector array<float>")
+    rows = nodes.select("node", "vector").mapInArrow(bands, f"band int, code long, along double, node long, vector {dict(nodes.dtypes)['vector']}")
     return rows.repartitionByRange("band", "code", "along", "node").sortWithinPartitions("band", "code", "along", "node").mapInArrow(link, "a long, b long, sim double").filter("a <> b")
 
 
@@ -220,7 +220,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rounds: int = 2
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; vectors of different
     lengths don't link. Null vec_id: no component, null kept. Other columns are ignored. Empty tables give an empty result.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("vector")).distinct()
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # no number loses digits
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("vector")).distinct()
     fine = "vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vector, x -> x <> 0)"
     valid = rows.filter(fine)
     nodes = written(valid.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")), "nodes")

@@ -31,6 +31,8 @@ MEMO_UNITS = 300_000
 #: Code points from which a document is giant, and those of its chunks.
 GIANT = 60_000
 CHUNK = 20_000
+#: Chunks whose matrices one task combines.
+BLOCK = 64
 LOW = float("-inf")
 #: Characters from which a text is merged by a heap, and beyond which it is not remembered.
 LONG = 200
@@ -231,11 +233,25 @@ def normalised(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
+def product(pdf: pd.DataFrame, states: int) -> pd.DataFrame:
+    """Max-plus product of the matrices of a block of chunks, in order: the block's own transfer matrix."""
+    pdf = pdf.sort_values("k", ignore_index=True)
+    whole = None
+    for m in pdf["matrix"]:
+        m = np.frombuffer(m).reshape(states, states)
+        whole = m if whole is None else (whole[:, :, None] + m[None]).max(1)
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "k": [int(pdf["block"].iloc[0])], "matrix": [whole.tobytes()]})
+
+
 def scan(pdf: pd.DataFrame, states: int) -> pd.DataFrame:
-    """Best scores of the entry states of a document's chunks, from their matrices."""
+    """Best scores of the entry states of chunks or blocks, from their matrices and, if there is a column `entry`, the scores at the first one."""
     pdf = pdf.sort_values("k", ignore_index=True)
-    now, out = np.full(states, LOW), []
-    now[0] = 0
+    out = []
+    if "entry" in pdf:
+        now = np.frombuffer(pdf["entry"].iloc[0]).copy()
+    else:
+        now = np.full(states, LOW)
+        now[0] = 0
     for m in pdf["matrix"]:
         out.append(now.tobytes())
         through = now[:, None] + np.frombuffer(m).reshape(states, states)
@@ -245,6 +261,14 @@ def scan(pdf: pd.DataFrame, states: int) -> pd.DataFrame:
     return pdf[["row", "k"]].assign(entry=out)
 
 
+def entry_scores(matrices: DataFrame, states: int) -> DataFrame:
+    """(row, k, entry) of chunks (row, k, matrix). The matrices of each block of chunks are combined on their own, a scan over the blocks' products gives their first scores, and from there blocks are scanned side by side."""
+    rows = written(matrices.withColumn("block", F.floor(F.col("k") / BLOCK).cast("int")), "matrices")
+    products = rows.groupBy("row", "block").applyInPandas(lambda pdf: product(pdf, states), "row long, k int, matrix binary")
+    first = products.groupBy("row").applyInPandas(lambda pdf: scan(pdf, states), "row long, k int, entry binary").withColumnRenamed("k", "block")
+    return rows.join(first, ["row", "block"]).groupBy("row", "block").applyInPandas(lambda pdf: scan(pdf, states), "row long, k int, entry binary")
+
+
 def choose(pdf: pd.DataFrame) -> pd.DataFrame:
     """Exit state of each of a document's chunks, from the last one backwards."""
     pdf = pdf.sort_values("k", ascending=False, ignore_index=True)
@@ -308,9 +332,16 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
     small = rows.filter(F.length("text") <= giant).mapInArrow(whole, "doc_id long, ids binary")
     states, merges = model_of(path).longest, model_of(path).merges
     large = rows.filter(F.length("text") > giant).select("doc_id", F.concat(F.lit(BLANK), F.translate("text", " ", BLANK)).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    large = large.select("doc_id", "row", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {chunk} as int))")).alias("k"))
-    behind = F.expr(f"if(k = 0, '', substring(text, k * {chunk}, 1))").alias("behind")
-    large = written(large.select("doc_id", "row", "k", behind, F.expr(f"substring(text, k * {chunk} + 1, {chunk})").alias("body"), F.expr(f"substring(text, (k + 1) * {chunk} + 1, {states - 1})").alias("ahead")).repartition(F.col("row"), F.col("k")), "chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            for doc, row, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+                at = list(range(0, len(text), chunk))
+                for few in (at[i : i + 200] for i in range(0, len(at), 200)):
+                    cols = [pa.array([doc] * len(few), pa.int64()), pa.array([row] * len(few), pa.int64()), pa.array([i // chunk for i in few], pa.int32()), *(pa.array([text[max(0, i + a) : max(0, i + b)] for i in few], pa.string()) for a, b in ((-1, 0), (0, chunk), (chunk, chunk + states - 1)))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "k", "behind", "body", "ahead"])
+
+    large = written(large.mapInArrow(cut, "doc_id long, row long, k int, behind string, body string, ahead string").repartition(F.col("row"), F.col("k")), "chunks")
 
     if merges:
         return small.union(merge_chunks(large, path))
@@ -328,7 +359,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", folder: str | No
             cols = [batch["doc_id"], batch["row"], batch["k"], pa.array([[x[0] if x else -1 for x in f] for f in found], pa.list_(pa.int32())), pa.array([[x[1] if x else None for x in f] for f in found], pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "k", "froms", "ids"])
 
-    entries = large.select("row", "k", "body", "ahead").mapInArrow(matrices, "row long, k int, matrix binary").groupBy("row").applyInPandas(lambda pdf: scan(pdf, states), "row long, k int, entry binary")
+    entries = entry_scores(large.select("row", "k", "body", "ahead").mapInArrow(matrices, "row long, k int, matrix binary"), states)
     traced = written(large.join(entries, ["row", "k"]).mapInArrow(chunks, "doc_id long, row long, k int, froms array<int>, ids array<binary>"), "traced")
     exits = traced.select("row", "k", "froms").groupBy("row").applyInPandas(choose, "row long, k int, exit int")
     joined = traced.join(exits, ["row", "k"]).select("doc_id", "row", "k", F.expr("try_element_at(ids, exit + 1)").alias("ids"))
