@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,11 +42,15 @@ def plausible(counts: Column) -> Column:
     return F.when((counts["n"] < 100) | (counts["broken"] * 20 > counts["n"]), False).otherwise((counts["ideographs"] * 10 > counts["n"]) | (counts["common"] * 2 > counts["n"]))
 
 
+IDEOGRAPHS, COMMON = re.compile("[一-龥]+"), re.compile("[a-zA-Z0-9 \\t\\n\\r.,!?;:\"'()《》【】\u3000]+")
+
+
 def _fits(text: str) -> bool:
     n = len(text)
     if n < 100 or text.count("\ufffd") * 20 > n:
         return False
-    return sum("一" <= c <= "龥" for c in text) * 10 > n or sum(c.isascii() and (c.isalnum() or c in " \t\n\r.,!?;:\"'()") or c in "《》【】\u3000" for c in text) * 2 > n
+    count = lambda form: sum(map(len, form.findall(text)))
+    return count(IDEOGRAPHS) * 10 > n or count(COMMON) * 2 > n
 
 
 @F.pandas_udf(StringType())
@@ -71,4 +76,6 @@ def decoded(content: pd.Series, charset: pd.Series) -> pd.Series:
 
 
 def charset(content: Column) -> Column:
-    return F.coalesce(marked_charset(content), detected_charset(content))
+    """Character set of bytes, by their mark or by detection, which reads unmarked bytes alone."""
+    mark = marked_charset(content)
+    return F.coalesce(mark, detected_charset(F.when(mark.isNull(), content)))

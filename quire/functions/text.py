@@ -28,8 +28,9 @@ def unmarked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def slug(text: Column) -> Column:
-    """Ids of names: runs of other characters than ASCII letters, digits and common ideographs become one hyphen. ASCII texts need no Python."""
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), unmarked(text)).otherwise(text)
+    """Ids of names: runs of other characters than ASCII letters, digits and common ideographs become one hyphen. Of ASCII texts Python gets a null."""
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    plain = F.coalesce(unmarked(odd), text)
     return F.lower(F.regexp_replace(F.regexp_replace(plain, "[^a-zA-Z0-9一-龥]+", "-"), "^-+|-+$", ""))
 
 
