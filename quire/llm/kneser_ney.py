@@ -18,11 +18,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -116,7 +117,15 @@ def grouped(keys: list) -> dict:
     return out
 
 
-def vocabularies(docs: DataFrame, most: int = VOCABULARY) -> tuple[dict[str, np.ndarray], int]:
+def fitting(fit: Callable | None, *columns: list) -> list[list]:
+    """Columns, of which the last holds texts, but for the rows whose text isn't fit for training."""
+    if fit is None:
+        return list(columns)
+    chosen = fit(columns[-1])
+    return [list(compress(c, chosen)) for c in columns]
+
+
+def vocabularies(docs: DataFrame, most: int = VOCABULARY, fit: Callable | None = None) -> tuple[dict[str, np.ndarray], int]:
     """The vocabulary of each language of `docs` (lang, text), and the number of all words.
 
     Words of two documents or more are in it, from the most frequent on, as long as all with the same number of documents
@@ -132,7 +141,7 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY) -> tuple[dict[str, np.
             return pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1), pa.string()), pa.array(np.append(h, 0)), pa.array(np.append(np.fromiter(words.values(), np.int64, len(words)), total.pop(lang)))], ["lang", "h", "n"])
 
         for batch in byte_slices(batches, "text", TEXT_BYTES):
-            for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), strict=True):
+            for lang, text in zip(*fitting(fit, batch["lang"].to_pylist(), as_bytes(batch["text"])), strict=True):
                 words = text.split()
                 total[lang] += len(words)
                 seen.setdefault(lang, Counter()).update(set(words))
@@ -185,7 +194,7 @@ def bounds(shards: int) -> np.ndarray:
 COUNTS = "lang string, shard int, salt int, fold int, keys binary, counts binary"
 
 
-def count_bigrams(docs: DataFrame, sent, shards: int, salts: int) -> DataFrame:
+def count_bigrams(docs: DataFrame, sent, shards: int, salts: int, fit: Callable | None = None) -> DataFrame:
     """(lang, shard, k0, c0, k1, c1): sorted spread keys of the events of `docs` (`prepared`) and their counts, by fold.
 
     A key range holds 2^32 / `shards` keys at most, so however large the corpus, a merge ends with a bounded array.
@@ -205,7 +214,8 @@ def count_bigrams(docs: DataFrame, sent, shards: int, salts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "salt", "fold", "keys", "counts"])
 
         for batch in byte_slices(batches, "text", TEXT_BYTES):
-            langs, folds, texts = batch["lang"].to_pylist(), batch["fold"].to_pylist(), [t.split() for t in as_bytes(batch["text"])]
+            langs, folds, texts = fitting(fit, batch["lang"].to_pylist(), batch["fold"].to_pylist(), as_bytes(batch["text"]))
+            texts = [t.split() for t in texts]
             for of, places in grouped(list(zip(langs, folds, strict=True))).items():
                 if of[0] in sent.value:
                     keys, _ = events_of([texts[i] for i in places], sent.value[of[0]])
@@ -325,19 +335,19 @@ TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()
 NAMES = [x.split()[0] for x in PROBES.split(", ")]
 
 
-def document_scores(docs: DataFrame, used: Column, measure: Callable | None = None, fields: str = "", trained: bool = False, most: int = VOCABULARY, shard_events: int = SHARD_EVENTS) -> DataFrame:
+def document_scores(docs: DataFrame, used: Column, measure: Callable | None = None, fields: str = "", trained: bool = False, fit: Callable | None = None, most: int = VOCABULARY, shard_events: int = SHARD_EVENTS) -> DataFrame:
     """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, loss (mean negative log probability of its events; null without any), the `fields` that `measure(texts, words)` gives, and row (its `row_key`).
 
-    The model reads the documents where `used` holds; each is scored by the fold that it isn't in. With `trained`, rows
-    say whether it does.
+    The model reads the documents where `used` holds and whose text is fit by `fit(texts)`, if given; each is scored by
+    the fold that it isn't in. With `trained`, rows say whether the model reads them.
     """
     spark = docs.sparkSession
     used = F.coalesce(used, F.lit(False))
     training = prepared(docs.filter(used))
-    vocabulary, events = vocabularies(training, most)
+    vocabulary, events = vocabularies(training, most, fit)
     shards, salts = max(1, min(SHARDS, math.ceil(events / shard_events))), max(1, math.ceil(events / SHARDS / SALT_EVENTS))
     sent = spark.sparkContext.broadcast(vocabulary)
-    model = written(count_bigrams(training, sent, shards, salts), "bigrams")
+    model = written(count_bigrams(training, sent, shards, salts, fit), "bigrams")
     lower = spark.sparkContext.broadcast(train(model))
     cuts = bounds(shards)
     columns = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), *((x.split()[0], pa.int64()) for x in fields.split(", ") if x), *[("trained", pa.int64())] * trained, ("row", pa.int64())]
@@ -376,7 +386,9 @@ def document_scores(docs: DataFrame, used: Column, measure: Callable | None = No
                     if len(keys):
                         found[of] = places, keys, counts
                 more = measure(raw, texts) if measure else []
-                rows = pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array(list(map(len, texts)), pa.int64()), *more, *[batch[n] for n in ["trained"] * trained], batch["row"]], [n for n, _ in columns])
+                if trained:
+                    more = [*more, batch["trained"] if fit is None else pc.multiply(batch["trained"], pa.array(fit(raw)).cast(pa.int64()))]
+                rows = pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array(list(map(len, texts)), pa.int64()), *more, batch["row"]], [n for n, _ in columns])
                 if held and count + batch.num_rows > UNIT_DOCS:
                     yield unit(held)
                     held, size, count = [], 0, 0
