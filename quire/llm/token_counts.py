@@ -24,6 +24,8 @@ SEPARATOR = 50256
 BLOCK_IDS = 1 << 18
 #: Blocks that one window of the lower level of the scan holds.
 SUPER = 1024
+#: Bytes of a token file that is read as a whole.
+WHOLE = 256 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -71,24 +73,37 @@ def token_files(docs: DataFrame, ranks: str, block_ids: int = BLOCK_IDS, separat
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file long, block long, ids binary, names array<long>"), "token-files")
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of the flat token files under `path`: file, block, ids. Ranges are read by the tasks; a file may be larger than memory."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS, whole: int = WHOLE) -> DataFrame:
+    """Blocks of the flat token files under `path`: file, block, ids.
+
+    Files of up to `whole` bytes are opened by Spark, from any store that it reads, and cut in the task. Tasks read ranges
+    of larger ones, which may exceed memory; their store must be one that Arrow knows.
+    """
+    files = spark.read.format("binaryFile").load(path)
     size = width * block_ids
-    ranges = files.select(F.xxhash64("path").alias("file"), "path", F.explode(F.expr(f"sequence(0L, greatest((length - 1) div {size}, 0))")).alias("block")).repartition(F.col("file"), F.col("block"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "content"):
+            for file, content in zip(batch["file"].to_pylist(), batch["content"], strict=True):
+                data = content.as_buffer()
+                for block in range(max(1, -(-len(data) // size))):
+                    part = data[block * size : (block + 1) * size] if len(data) else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([bytes(part)], pa.binary())], ["file", "block", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         for batch in batches:
-            out = []
             for r in batch.to_pylist():
                 store, inner = FileSystem.from_uri(r["path"])
                 with store.open_input_file(inner) as f:
-                    out.append(f.read_at(size, r["block"] * size))
-            yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], pa.array(out, pa.binary())], ["file", "block", "ids"])
+                    out = f.read_at(size, r["block"] * size)
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]]), pa.array([r["block"]]), pa.array([out], pa.binary())], ["file", "block", "ids"])
 
-    return ranges.mapInArrow(run, "file long, block long, ids binary")
+    schema = "file long, block long, ids binary"
+    small = files.filter(F.col("length") <= whole).select(F.xxhash64("path").alias("file"), "content").mapInArrow(cut, schema)
+    large = files.select("path", "length").filter(F.col("length") > whole).select(F.xxhash64("path").alias("file"), "path", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("block"))
+    return small.union(large.repartition(F.col("file"), F.col("block")).mapInArrow(run, schema))
 
 
 def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2, names: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from quire.llm.packing import best_fit_packing
 from quire.llm.quality_classifier import classify_quality, trusted_ids
 from quire.llm.quality_rules import apply_rules
 from quire.llm.sentencepiece_scan import decode, encode
-from quire.llm.token_counts import count_tokens, separator_scan
+from quire.llm.token_counts import count_tokens, read_token_files, separator_scan
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,6 +210,20 @@ def test_chat_examples(spark):
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_flat_token_files(spark, tmp_path):
+    """Files of ids without an index, cut in blocks that documents span, whole and by ranges; an empty file, and one that ends open."""
+    r = np.random.default_rng(3)
+    want = []
+    for name, docs, tail in (("a.bin", [5, 0, 40, 1, 300], 0), ("b.bin", [7], 3), ("c.bin", [], 0)):
+        ids = np.concatenate([*(x for n in docs for x in (r.integers(0, 50000, n), [50256])), r.integers(0, 50000, tail)]).astype("<u2") if docs else np.zeros(0, "<u2")
+        (tmp_path / name).write_bytes(ids.tobytes())
+        starts = np.cumsum([0, *(n + 1 for n in docs)]).tolist()
+        want += [(int(s), n, True) for s, n in zip(starts, docs, strict=False)] + [(starts[-1], tail, False)] * bool(tail)
+    for whole in (1 << 20, 0):
+        out = separator_scan(read_token_files(spark, f"file://{tmp_path}", block_ids=16, whole=whole))
+        assert sorted((x.start, x.n_tokens, x.closed) for x in out.collect()) == sorted(want)
+
+
 def test_chat_ties_repeats_and_long_texts(spark):
     """Equal turn numbers go by role and text, repeated rows are turns, and a mask moved by one character would show."""
     rows = [(1, 1, "user", "q"), (1, 1, "assistant", "z"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, None, "system", "s"), (2, 1, "assistant", "<|x|>\\[é]" * 20000), (2, 2, None, None)]
