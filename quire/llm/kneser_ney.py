@@ -339,7 +339,8 @@ def document_scores(docs: DataFrame, used: Column, measure: Callable | None = No
     """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, loss (mean negative log probability of its events; null without any), the `fields` that `measure(texts, words)` gives, and row (its `row_key`).
 
     The model reads the documents where `used` holds and whose text is fit by `fit(texts)`, if given; each is scored by
-    the fold that it isn't in. With `trained`, rows say whether the model reads them.
+    the fold that it isn't in. With `trained`, rows say whether the model reads them. Tables that the result reads, and
+    that may be forgotten once it is written, are its `_uses`.
     """
     spark = docs.sparkSession
     used = F.coalesce(used, F.lit(False))
@@ -461,7 +462,9 @@ def document_scores(docs: DataFrame, used: Column, measure: Callable | None = No
     answers = arrays.union(probes).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(answer, "unit long, lang string, shard int, fold int, parts int, total binary, directory binary")
     schema = ", ".join([f"{n} {'string' if t == pa.string() else 'long'}" for n, t in columns] + ["loss double"])
     out = answers.repartition("unit").sortWithinPartitions("unit", "lang", "shard", "fold").mapInArrow(gather, schema)
-    return out.select("doc_id", "lang", "n_words", "loss", *[(F.col(n) == 1).alias(n) if n == "trained" else n for n, _ in columns[3:]])
+    out = out.select("doc_id", "lang", "n_words", "loss", *[(F.col(n) == 1).alias(n) if n == "trained" else n for n, _ in columns[3:]])
+    out._uses = (model,)
+    return out
 
 
 def quantiles(scored: DataFrame, points: dict[str, float], step: float = 0.001) -> dict[str, dict[str, float]]:
