@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .headings import PRIMARY, UPPER
 
 # Limits, patterns and words of the checks, and the order in which checks and severities are listed.
-LONG, MARKS, SHOWN = 80, 3, 20
+LONG, MARKS, SHOWN, CUT = 80, 3, 20, 60
 GAP = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 MERGED = rf"第{GAP}*[\p{{Nd}}〇零一二三四五六七八九十百千]+{GAP}*[{''.join(PRIMARY)}]"
 UPPERS = rf"第{GAP}*[^{GAP[1:-1]}]+?{GAP}*[{''.join(UPPER)}]"
@@ -69,10 +69,11 @@ def check_counts(chapters: DataFrame) -> DataFrame:
 
 
 def first_issues(found: DataFrame, most: int = SHOWN) -> DataFrame:
-    """A book's first `most` issues by severity, chapter and check, with place and how many more there are."""
+    """A book's first `most` issues by severity, chapter and check, with place, how many more there are, and the title as shown: of a long one its first CUT characters."""
     order = F.array_position(F.array(*map(F.lit, CHECKS)), F.col("type"))
     by = W.partitionBy("book_id").orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), "chapter", order, "title")
     rows = found.withColumn("place", F.row_number().over(by)).withColumn("more", F.greatest(F.count("*").over(W.partitionBy("book_id")) - most, F.lit(0)))
+    rows = rows.withColumn("shown", F.when(F.col("type") == "long_title", F.concat(F.substring("title", 1, CUT), F.lit("..."))).otherwise(F.col("title")))
     return rows.filter(F.col("place") <= most)
 
 

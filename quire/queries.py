@@ -41,7 +41,7 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLES = """select p_brand book_id, p_partkey line_no, case p_size % 8
     when 0 then '第' || p_size || '卷 ' || p_type when 1 then '第' || p_size || '章 ' || p_name when 2 then p_name || '，' || p_type || '，' || p_name || '。'
     when 3 then '第' || p_size || '章 第' || p_size || '节 ' || p_name when 4 then '楔子' when 5 then '第一卷 第二部 ' || p_name
-    when 6 then p_name || '，a，b，c，d，e' else '第' || p_size || '章' end title from part"""
+    when 6 then p_name || '，a，b，c，d，e' when 7 then repeat(p_name || ' ', 1 + p_size % 9) || '章' else '第' || p_size || '章' end title from part"""
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.first_issues(quality.issues(chapters(spark, sf_dir))).select("book_id", "type", "chapter", "title", F.col("place").cast("long").alias("place"), F.col("more").cast("long").alias("more"))
+    return quality.first_issues(quality.issues(chapters(spark, sf_dir))).select("book_id", "type", "chapter", "title", "shown", F.col("place").cast("long").alias("place"), F.col("more").cast("long").alias("more"))
 
 
 def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,7 +575,7 @@ select *, (with_prefix * 2000 + total) // (total * 2) // 10 || '.' || (with_pref
     "duplicate_titles": f"with {CHAPTERS_SQL} select book_id, title, count(*) n, min(chapter) first_chapter from ch group by book_id, title having count(*) > 1",
     "quality_issues": f"with {ISSUES_SQL} select * from iss",
     "issue_top20": f"""with {ISSUES_SQL}, p as (select *, row_number() over (partition by book_id order by severity = 'medium', chapter, list_position(['merged_heading', 'duplicate_title', 'long_title', 'high_punctuation', 'multiple_upper_markers', 'reversed_hierarchy', 'missing_marker', 'suspicious_title'], type), title) place, greatest(count(*) over (partition by book_id) - 20, 0) more from iss)
-select book_id, type, chapter, title, place, more from p where place <= 20""",
+select book_id, type, chapter, title, case when type = 'long_title' then left(title, 60) || '...' else title end shown, place, more from p where place <= 20""",
     "library_summary": f"with {ISSUES_SQL}, t as (select count(distinct book_id) books, count(*) chapters, (select count(*) from iss) issues from ch) select *, round((1 - issues / greatest(chapters, 1)) * 100, 6) quality, case when issues = 0 then 'good' when issues < 10 then 'fair' else 'poor' end verdict from t",
     "heading_scan": f"with {HEADS} select book_id, marker, count(*) n, min(line_no) first_line, max(line_no) last_line from h where marker <> '' group by all",
     "heading_hierarchy": f"with {CANDIDATES_SQL} select book_id, array_to_string(up, '') as upper, array_to_string(prim, '') as primary from s4",
