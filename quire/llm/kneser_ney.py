@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram models of words, counted by Spark and kept in sharded sorted arrays.
 
-A word is a run `[^\\x20\\x09-\\x0D]+`. Words in the vocabulary of a language, the sorted 64-bit hashes of the words that
+A word is a run `[^\\x20\\x09-\\x0D]+`. Words in the vocabulary of a language, the sorted hashes of the words that
 most documents hold, are tokens of their own; all others are one of some 200 tokens by shape (letters, digits, symbols,
 capitals, length). An event is a token after the one before it, or after the start of the document, so it crosses the
 ends of words, and its key packs both tokens into 32 bits: no keys collide, and sorted keys pack into one or two bytes.
@@ -34,6 +34,8 @@ from .common import as_bytes, byte_slices, forget, written
 #: Tokens of a language: its start, shapes from 1, and up to so many words from FIRST.
 FIRST, VOCABULARY = 256, 65_280
 TOKENS = FIRST + VOCABULARY
+#: Bits of the hashes of words: a word outside a vocabulary passes for one in it with a chance of 65,280 in 2^48.
+WORD_BITS = 48
 #: Languages with a vocabulary of their own, the largest ones; all others share none and get the empty model's score.
 LANGUAGES = 64
 #: Words that a task counts at a time, and events that it packs at a time.
@@ -63,7 +65,7 @@ def shape(word: bytes) -> int:
 def tokens_of(texts: list[list[bytes]], vocabulary: np.ndarray) -> np.ndarray:
     """Tokens of all words of the texts, one after the other."""
     distinct = list(set(chain.from_iterable(texts)))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) >> np.uint64(64 - WORD_BITS)
     at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
     known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(distinct), bool)
     at += FIRST
@@ -132,13 +134,20 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY, fit: Callable | None =
     (from 64 on rounded to a sixteenth of a power of two) fit. It is bounded by LANGUAGES times `most` hashes.
     """
 
+    cuts = np.array([s << (WORD_BITS - 6) for s in range(1, 64)], np.uint64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
         total: Counter = Counter()
 
         def flush(lang: str, words: Counter) -> pa.RecordBatch:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1), pa.string()), pa.array(np.append(h, 0)), pa.array(np.append(np.fromiter(words.values(), np.int64, len(words)), total.pop(lang)))], ["lang", "h", "n"])
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - WORD_BITS)
+            order = np.argsort(h)
+            h, n = h[order], np.fromiter(words.values(), np.uint64, len(words))[order]
+            at = [0, *np.searchsorted(h, cuts).tolist(), len(h)]
+            rows = [(lang, s, packed(h[a:b], True), packed(n[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+            rows.append((lang, -1, packed(np.zeros(1, np.uint64), True), packed(np.array([total.pop(lang)], np.uint64))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "keys", "counts"])
 
         for batch in byte_slices(batches, "text", TEXT_BYTES):
             for lang, text in zip(*fitting(fit, batch["lang"].to_pylist(), as_bytes(batch["text"])), strict=True):
@@ -151,10 +160,15 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY, fit: Callable | None =
         for lang, words in seen.items():
             yield flush(lang, words)
 
-    rows = docs.select("lang", "text").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    rows = written(rows.filter("n > 1 or h = 0"), "words")
-    totals = {r[0]: r[1] for r in rows.filter("h = 0").orderBy(F.desc("n"), "lang").select("lang", "n").limit(LANGUAGES).collect()}
-    words = rows.filter(F.col("lang").isin(*totals) & (F.col("h") != 0)) if totals else rows.limit(0)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lang, shard), keys, counts in merged_rows(batches, ("lang", "shard"), np.uint64):
+            often = (counts > 1) | (shard < 0)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * int(often.sum()), pa.string()), pa.array([shard] * int(often.sum()), pa.int32()), pa.array(keys[often].view(np.int64)), pa.array(counts[often].view(np.int64))], ["lang", "shard", "h", "n"])
+
+    rows = docs.select("lang", "text").mapInArrow(count, "lang string, shard int, keys binary, counts binary").repartition("lang", "shard").sortWithinPartitions("lang", "shard")
+    rows = written(rows.mapInArrow(merge, "lang string, shard int, h long, n long"), "words")
+    totals = {r[0]: r[1] for r in rows.filter("shard < 0").orderBy(F.desc("n"), "lang").select("lang", "n").limit(LANGUAGES).collect()}
+    words = rows.filter(F.col("lang").isin(*totals) & (F.col("shard") >= 0)) if totals else rows.limit(0)
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long") - 32)  # 64 documents: step 64
     steps: dict[str, list] = {}
     for lang, at, n in words.groupBy("lang", step.alias("step")).count().orderBy(F.desc("step")).collect():
@@ -186,6 +200,23 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def merged_rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], kind: type) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Of rows (names, keys, counts) that come sorted by `names`: each group's distinct keys and sums of counts. A group is merged as it comes, so it takes the room of its distinct keys."""
+    last, parts, fresh = None, [], 0
+    for batch in batches:
+        for *of, keys, counts in zip(*(batch[n].to_pylist() for n in (*names, "keys", "counts")), strict=True):
+            if of != last and last is not None:
+                yield tuple(last), *merged(parts)
+                parts, fresh = [], 0
+            last = of
+            parts.append((unpacked(keys, kind, True), unpacked(counts, np.uint64)))
+            fresh += len(parts[-1][0])
+            if fresh > max(2 * SHARD_EVENTS, len(parts[0][0])):
+                parts, fresh = [merged(parts)], 0
+    if last is not None:
+        yield tuple(last), *merged(parts)
+
+
 def bounds(shards: int) -> np.ndarray:
     """First spread key of each shard but the first one."""
     return np.array([-(-(s << 32) // shards) for s in range(1, shards)], np.uint64)
@@ -227,31 +258,28 @@ def count_bigrams(docs: DataFrame, sent, shards: int, salts: int, fit: Callable
                 yield flush(*of, np.concatenate(keys))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last, parts, fresh = ("lang", "shard", "salt", "fold"), None, [], 0
+        for of, keys, counts in merged_rows(batches, ("lang", "shard", "salt", "fold"), np.uint32):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*of, packed(keys, True), packed(counts)), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "shard", "salt", "fold", "keys", "counts"])
 
-        def out() -> pa.RecordBatch:
-            keys, counts = merged(parts)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, packed(keys, True), packed(counts)), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [*names, "keys", "counts"])
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, folds = None, {}
 
-        for batch in batches:
-            for *of, keys, counts in zip(*(batch[n].to_pylist() for n in (*names, "keys", "counts")), strict=True):
-                if of != last and last is not None:
-                    yield out()
-                    parts, fresh = [], 0
-                last = of
-                parts.append((unpacked(keys, np.uint32, True), unpacked(counts, np.uint64)))
-                fresh += len(parts[-1][0])
-                if fresh > max(2 * SHARD_EVENTS, len(parts[0][0])):
-                    parts, fresh = [merged(parts)], 0
+        def out() -> pa.RecordBatch:
+            cells = [x for f in (0, 1) for x in folds.get(f, (None, None))]
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([last[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], ["lang", "shard", "k0", "c0", "k1", "c1"])
+
+        for (lang, shard, fold), keys, counts in merged_rows(batches, ("lang", "shard", "fold"), np.uint32):
+            if last is not None and last != (lang, shard):
+                yield out()
+                folds = {}
+            last, folds[fold] = (lang, shard), (packed(keys, True), packed(counts))
         if last is not None:
             yield out()
 
     rows = docs.select("lang", "fold", "text").mapInArrow(count, COUNTS)
-    for of in (("lang", "shard", "salt", "fold"), ("lang", "shard", "fold")) if salts > 1 else (("lang", "shard", "fold"),):
-        rows = rows if "salt" in of else rows.withColumn("salt", F.lit(0))
-        rows = rows.repartition(*of).sortWithinPartitions(*of).mapInArrow(merge, COUNTS)
-    fold = lambda f, c: F.max(F.when(F.col("fold") == f, F.col(c)))
-    return rows.groupBy("lang", "shard").agg(fold(0, "keys").alias("k0"), fold(0, "counts").alias("c0"), fold(1, "keys").alias("k1"), fold(1, "counts").alias("c1"))
+    if salts > 1:
+        rows = rows.repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "fold").mapInArrow(merge, COUNTS)
+    return rows.repartition("lang", "shard").sortWithinPartitions("lang", "shard", "fold").mapInArrow(beside, "lang string, shard int, k0 binary, c0 binary, k1 binary, c1 binary")
 
 
 def discounts(t: list[float]) -> np.ndarray:
