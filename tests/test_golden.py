@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import encoding, text
 from quire.operators import catalog, chunking, headings, manifest, progress, quality, reader
-from quire.sources import library
+from quire.plans.ingest import run_batch
+from quire.sources import library, snapshots
+from quire.streaming.progress import keep_most_recent
 
 
 def rows(df, *names):
@@ -160,3 +162,42 @@ def test_missing_json(spark, tmp_path):
     assert library.read_json_or_empty(spark, f"file://{tmp_path}/none.json", "a string").count() == 0
     (tmp_path / "one.json").write_text('{"a": "x"}')
     assert library.read_json_or_empty(spark, f"file://{tmp_path}/one.json", "a string").first().a == "x"
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    schema = "user_id string, book_id string, updated_at long, seq long"
+    save = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/saves")
+    run = lambda: rows(keep_most_recent(spark.readStream.schema(schema).parquet(f"{tmp_path}/saves"), f"{tmp_path}/state", 2).orderBy("place"), "book_id", "seq")
+    save([("u", "A", 1, 1), ("u", "B", 2, 2)])
+    assert run() == [("B", 2), ("A", 1)]
+    assert run() == [("B", 2), ("A", 1)]
+    save([("u", "C", 3, 3), ("u", "A", 4, 4)])
+    assert run() == [("A", 4), ("C", 3)]
+
+
+def test_versions_and_batches_that_go_on(spark, tmp_path):
+    assert snapshots.read_latest(spark, f"{tmp_path}/none", "a string").count() == 0
+    for i in range(4):
+        held = snapshots.read_latest(spark, f"{tmp_path}/t", "a int")
+        snapshots.write_next(held.union(spark.createDataFrame([(i,)], "a int")), f"{tmp_path}/t")
+    (tmp_path / "t" / "v9").mkdir()  # a version that was never completed
+    assert snapshots.versions(spark, f"{tmp_path}/t") == [2, 3]
+    assert rows(snapshots.read_latest(spark, f"{tmp_path}/t", "a int").orderBy("a"), "a") == [(0,), (1,), (2,), (3,)]
+    text = "\n".join("zeile" for _ in range(12)).encode()
+    files = spark.createDataFrame([(f"b{i}.rar", bytes([i])) for i in range(5)], "filename string, content binary")
+    members = spark.createDataFrame([(f"b{i}.rar", p, n, False, c) for i in range(5) for p, (n, c) in enumerate([("x.txt", b" "), ("y.TXT", text if i != 3 else b"kurz"), ("z.txt", b"later")])], "filename string, member_pos int, member_name string, is_dir boolean, content binary")
+    first = run_batch(files, members, f"{tmp_path}/run", 2)
+    assert (first["processed"], first["failed"], first["remaining"], first["batches"]) == (2, 0, 3, 2)
+    second, third = (run_batch(files, members, f"{tmp_path}/run", 2) for _ in range(2))
+    assert (second["processed"], second["failed"], second["remaining"]) == (1, 1, 1) and (third["books"], third["remaining"]) == (4, 0)
+    fewer = run_batch(files.filter("filename <> 'b0.rar'"), members, f"{tmp_path}/run", 2)
+    assert (fewer["removed"], fewer["books"]) == (1, 3)
+    gone = snapshots.read_latest(spark, f"{tmp_path}/run/obsolete", "book_id string, asset string")
+    assert rows(gone, "asset") == [("/books/b0-佚名/part_001.txt",)]
+
+
+def test_lenient_text(spark):
+    data = "﻿汉字ab".encode()
+    df = spark.createDataFrame([(data,), (data[:5],), (data[4:],)], "c binary")
+    found = [r[0] for r in df.select(reader.lenient_text(F.col("c"))).collect()]
+    assert found[0] == "汉字ab" and set(found[1]) == {"�"} and found[2].endswith("字ab")
