@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroid_clustering import cluster_vectors
 from .chat_format import expand, format_conversations, read_back
 from .common import load
 from .embedding_dedup import near_duplicates
@@ -14,9 +15,11 @@ from .jaccard_join import jaccard_join
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import best_fit_packing
+from .pii import digest, find_pii
 from .quality_classifier import classify_quality, trusted_ids
 from .quality_rules import apply_rules
 from .sentencepiece_scan import decode, encode
+from .source_divergence import divergence
 from .token_counts import count_tokens
 
 
@@ -64,6 +67,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(load(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(load(spark, sf_dir, "documents"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_pii(load(spark, sf_dir, "documents")))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -75,9 +90,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_pii": op12_pii,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+def _centroids_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds written out: c0, a0, c1, ... are centroids and assignments."""
+    far = "list_sum(list_transform(generate_series(1, 64), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    steps = [f"""v as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) q from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = 64)""",
+        f"c0 as materialized (select row_number() over (order by h, q) - 1 c, q from (select sha256('3:' || vec_id) h, q from v order by h, q limit {k}))"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select r, arg_min(c, (d, c)) c, min(d) d from (select v.r, c.c, {far}::bigint d from v cross join c{i} c) group by r)")
+        if i < rounds:
+            means = f"select c, list(m order by i) q from (select c, i, floor_div(sum(x), count(*)) m from (select a.c, unnest(v.q) x, generate_subscripts(v.q, 1) i from v join a{i} a using (r)) group by c, i) group by c"
+            steps.append(f"c{i + 1} as materialized (select c{i}.c, coalesce(n.q, c{i}.q) q from c{i} left join ({means}) n using (c))")
+    return f"""with {', '.join(steps)}
+select vec_id, a.c::int as cluster, d as distance, (sum(d) over (partition by a.c))::bigint cluster_inertia, (sum(d) over ())::bigint inertia, sha256(array_to_string(z.q, ',')) centroid_sha256
+from v join a{rounds} a using (r) join c{rounds} z on z.c = a.c""".replace("floor_div(sum(x), count(*))", "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint")
+
+
+_SHARE = "(1 + (1000000000 * ({0} + 1)::hugeint) // ({1}))"
 ORACLE: dict[str, str] = {
+    "op11_source_divergence": f"""
+with d as (select row_number() over () r, coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+t as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term from d),
+kept as (select lang, term, count(*) n from t group by all having count(distinct r) >= 3),
+groups as (select distinct lang, source from d),
+used as (select lang, source, term, count(*) n from t join kept using (lang, term) group by all),
+cells as (select g.lang, g.source, k.term, k.n lang_n, coalesce(u.n, 0) n, sum(coalesce(u.n, 0)) over (partition by g.lang, g.source) + count(*) over (partition by g.lang, g.source) m from groups g join kept k using (lang) left join used u using (lang, source, term)),
+langs as (select lang, sum(n) + count(*) m from kept group by lang),
+p as (select c.lang, source, term, n, {_SHARE.format("n", "c.m")} p, {_SHARE.format("lang_n", "l.m")} q from cells c join langs l using (lang)),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+          left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (select lang, source, 'term' part, term item, ((p - q) * (p - q) // q)::bigint as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 200
+""",
+    "op13_centroid_clustering": _centroids_sql(),
     "op8_chat_formatting": """
 with turns as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
                union all select -1, turn, role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) t(turn, role)),
