@@ -47,7 +47,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), (count, docs) in held.items():
             k = len(count)
-            columns = [pa.array([lang] * k), pa.array([source] * k), pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([docs[t] for t in count], pa.int64())]
+            columns = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(list(count), pa.binary()).cast(pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([docs[t] for t in count], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         held.clear()
 
