@@ -36,7 +36,7 @@ FIRST, VOCABULARY = 256, 65_280
 TOKENS = FIRST + VOCABULARY
 #: Bits of the hashes of words: a word outside a vocabulary passes for one in it with a chance of 65,280 in 2^48.
 WORD_BITS = 48
-#: Languages with a vocabulary of their own, the largest ones; all others share none and get the empty model's score.
+#: Languages whose vocabularies and lower orders are held at a time; where there are more, others follow in further passes.
 LANGUAGES = 64
 #: Words that a task counts at a time, and events that it packs at a time.
 MEMO_WORDS, UNIT_EVENTS, UNIT_DOCS = 250_000, 1_000_000, 60_000
@@ -131,7 +131,8 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY, fit: Callable | None =
     """The vocabulary of each language of `docs` (lang, text), and the number of all words.
 
     Words of two documents or more are in it, from the most frequent on, as long as all with the same number of documents
-    (from 64 on rounded to a sixteenth of a power of two) fit. It is bounded by LANGUAGES times `most` hashes.
+    (from 64 on rounded to a sixteenth of a power of two) fit: `most` hashes a language. `document_scores` asks for at
+    most LANGUAGES languages at a time.
     """
 
     cuts = np.array([s << (WORD_BITS - 6) for s in range(1, 64)], np.uint64)
@@ -167,7 +168,7 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY, fit: Callable | None =
 
     rows = docs.select("lang", "text").mapInArrow(count, "lang string, shard int, keys binary, counts binary").repartition("lang", "shard").sortWithinPartitions("lang", "shard")
     rows = written(rows.mapInArrow(merge, "lang string, shard int, h long, n long"), "words")
-    totals = {r[0]: r[1] for r in rows.filter("shard < 0").orderBy(F.desc("n"), "lang").select("lang", "n").limit(LANGUAGES).collect()}
+    totals = {r[0]: r[1] for r in rows.filter("shard < 0").select("lang", "n").collect()}
     words = rows.filter(F.col("lang").isin(*totals) & (F.col("shard") >= 0)) if totals else rows.limit(0)
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long") - 32)  # 64 documents: step 64
     steps: dict[str, list] = {}
@@ -367,11 +368,27 @@ def document_scores(docs: DataFrame, used: Column, measure: Callable | None = No
     """One row per row of `docs` (doc_id, lang, text): doc_id, lang, n_words, loss (mean negative log probability of its events; null without any), the `fields` that `measure(texts, words)` gives, and row (its `row_key`).
 
     The model reads the documents where `used` holds and whose text is fit by `fit(texts)`, if given; each is scored by
-    the fold that it isn't in. With `trained`, rows say whether the model reads them. Tables that the result reads, and
-    that may be forgotten once it is written, are its `_uses`.
+    the fold that it isn't in. With `trained`, rows say whether the model reads them. Every language of the training
+    documents has a model of its own, LANGUAGES of them in a pass over these languages' documents. Tables that the result
+    reads, and that may be forgotten once it is written, are its `_uses`.
     """
+    used, lang = F.coalesce(used, F.lit(False)), F.coalesce("lang", F.lit(""))
+    langs = sorted(r[0] for r in docs.filter(used).select(lang).distinct().collect())  # languages are few: each takes a model
+    if len(langs) <= LANGUAGES:
+        return language_scores(docs, used, measure, fields, trained, fit, most, shard_events)
+    groups = [langs[i : i + LANGUAGES] for i in range(0, len(langs), LANGUAGES)]
+    passes = [lang.isin(g) for g in groups] + [~lang.isin(langs)]
+    parts = [language_scores(docs.filter(x), used, measure, fields, trained, fit, most, shard_events) for x in passes]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    out._uses = tuple(x for part in parts for x in part._uses)
+    return out
+
+
+def language_scores(docs: DataFrame, used: Column, measure: Callable | None, fields: str, trained: bool, fit: Callable | None, most: int, shard_events: int) -> DataFrame:
+    """`document_scores` of documents of few languages."""
     spark = docs.sparkSession
-    used = F.coalesce(used, F.lit(False))
     training = prepared(docs.filter(used))
     vocabulary, events = vocabularies(training, most, fit)
     shards, salts = max(1, min(SHARDS, math.ceil(events / shard_events))), max(1, math.ceil(events / SHARDS / SALT_EVENTS))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import math
 import os
 import string
@@ -26,13 +27,25 @@ MEMO_WORDS = 300_000
 GROUP = 20_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MARKS = string.punctuation.encode()
+# What a tokenizer file says if its words can be encoded one by one.
+FORM = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 
 
 class Encoder:
     """Ids of words by a tokenizer file that writes words in lower case and parts letters from marks.
 
     A word is its core, in lower case, and the ASCII marks that follow the core's last letter, which the tokenizer never
-    joins. Cores are few, so a worker remembers their ids from task to task, in two generations.
+    joins. Cores are few, so a worker remembers their ids from task to task, in two generations. Words that may hold one of
+    the file's added tokens, which are looked for before anything else, are encoded as they stand. A file of another form
+    isn't `by_words`: its texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -40,14 +53,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"].lower().encode() for t in said["added_tokens"]]
+        self.by_words = all(said[k] == v for k, v in FORM.items()) and said["model"]["type"] == "BPE" and not said["model"].get("dropout") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]] for t in said["added_tokens"])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def words(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each word, little-endian unsigned 32-bit."""
-        parts, young, old, missing = {}, self.young, self.old, []
+        parts, young, old, missing, raw = {}, self.young, self.old, [], []
         for word in words:
             low = word.lower()
+            if any(x in low for x in self.added):
+                raw.append(word)
+                continue
             core = low.rstrip(MARKS)
             parts[word] = low, core if core[-1:].isalnum() or core.decode("utf-8", "replace").lower()[-1:].isalpha() else low
         for x in {part for low, core in parts.values() for part in (core, low[len(core) :])}:
@@ -59,11 +78,16 @@ class Encoder:
         if missing:
             found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in missing], add_special_tokens=False)
             young.update((x, array("I", e.ids).tobytes()) for x, e in zip(missing, found, strict=True))
-        out = {word: young[core] + young[low[len(core) :]] for word, (low, core) in parts.items()}
+        out = {x: self.whole(x) for x in raw}
+        out |= {word: young[core] + young[low[len(core) :]] for word, (low, core) in parts.items()}
         if len(young) > MEMO_WORDS:
             self.young, self.old = {}, young
         return out
 
+    def whole(self, text: bytes) -> bytes:
+        """Ids of a text as the library gives them."""
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
 
 @functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
@@ -73,14 +97,18 @@ def encoder_of(path: str) -> Encoder:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """Pieces of at most `capacity` ids of every row of `docs` (doc_id, text): ids of the tokenizer file, then id 0.
 
-    The tokenizer drops ASCII blanks and never joins what they part, so a text's ids are those of its runs without them.
+    The tokenizer drops ASCII blanks and never joins what they part, so a text's ids are those of its runs without them;
+    texts are encoded whole by a file that isn't of this form.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in byte_slices(batches, "text"):
-            texts = [t.split() for t in as_bytes(batch["text"])]
-            ids_of = encoder.words(set(chain.from_iterable(texts))).__getitem__
+            if encoder.by_words:
+                texts = [t.split() for t in as_bytes(batch["text"])]
+                ids_of = encoder.words(set(chain.from_iterable(texts))).__getitem__
+            else:
+                texts, ids_of = [[t] for t in as_bytes(batch["text"])], encoder.whole
             rows = []
             for doc, words in zip(batch["doc_id"].to_pylist(), texts, strict=True):
                 ids = b"".join(map(ids_of, words)) + b"\0\0\0\0"

@@ -62,6 +62,7 @@ def test_ids_of_odd_words(spark, monkeypatch):
     texts = [
         "it's I'm \"Don't!\" 'S x'. é. É, é. Å,, 12a. _x_. o'clock's. …. a…. Σ. ΑΣ, İ. ﬁ. 3. ³. Ⅷ, ½. b, ($5)(a)'s) --- 's' CAN'T. x̀́!? 日本。 日本. _ -a- a_b_ ǅ.",
         "a.'s b,'t q'll. z'", "THE&&& the*** thE!! | a b. c d,", " ".join(f"W{i}." for i in range(200)), "x" * 3000 + " " + "," * 3000,
+        "<|endoftext|>", "a<|endoftext|>b. <|ENDOFTEXT|> <|EndOfText|>, x<|startoftext|><|endoftext|>... <|endoftext|", "é<|endoftext|>é. <|endoftext|>'s <|end oftext|> <|endoftext|>!?",
     ]
     encoder = pk.Encoder(tokenizer_path("word_bpe_49k.json"))
     for _ in range(2):
@@ -70,3 +71,20 @@ def test_ids_of_odd_words(spark, monkeypatch):
             ids = encoder.words(set(words))
             found = np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4").tolist()
             assert found == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_files_of_another_form_are_encoded_whole(spark, tmp_path):
+    import json
+    import zlib
+
+    said = json.loads(pk.Encoder(tokenizer_path("word_bpe_49k.json")).tokenizer.to_str())
+    said["normalizer"]["normalizers"].pop()  # words keep their capitals
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    other = pk.Encoder(str(tmp_path / "other.json"))
+    assert not other.by_words and pk.Encoder(tokenizer_path("word_bpe_49k.json")).by_words
+    texts = ["It's a Test, IS it?", "", "ABC<|endoftext|> x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.length, r.ids_crc32) for r in pk.token_pieces(rows, str(tmp_path / "other.json"), 2048).collect()}
+    for i, text in enumerate(texts):
+        ids = [*other.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert found[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
