@@ -67,10 +67,21 @@ def or_default(json: Column, schema: str, default: Column) -> Column:
     return F.when(json.isNull() | found["_bad"].isNotNull(), default).otherwise(found.dropFields("_bad"))
 
 
-def to_compat(flat: DataFrame) -> DataFrame:
-    """Flat book records (id, title, author, parts, totalSize) as (book, chapters) with no chapters."""
+def to_compat(flat: DataFrame, *more: str) -> DataFrame:
+    """Flat book records (id, title, author, parts, totalSize) as (book, chapters) with no chapters, after the columns `more`."""
     book = F.struct("id", "title", "author", F.lit(0).alias("totalChapters"), "parts", "totalSize")
-    return flat.select(book.alias("book"), F.array().cast("array<string>").alias("chapters"))
+    return flat.select(*more, book.alias("book"), F.array().cast("array<string>").alias("chapters"))
+
+
+BOOK = "id string, title string, author string, totalChapters int, parts array<struct<path: string, size: bigint>>, totalSize bigint"
+
+
+def convert_documents(documents: DataFrame) -> DataFrame:
+    """(filename, json) of those `documents` (filename, json) that hold a flat record, in the nested form; nested ones, and what isn't JSON, are left alone."""
+    form = f"{BOOK}, book struct<id: string>, chapters array<string>"
+    rows = documents.select("filename", F.from_json("json", form).alias("x")).filter("x.id is not null and not (x.book is not null and x.chapters is not null)")
+    nested = to_compat(rows.select("filename", "x.*"), "filename")
+    return nested.select("filename", F.to_json(F.struct("book", "chapters")).alias("json"))
 
 
 def strip_chapters(indexes: DataFrame) -> DataFrame:

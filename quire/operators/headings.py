@@ -5,9 +5,11 @@ Every step is columns over lines. A book's own markers make its patterns, which
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from ..functions.text import BLANK, BLANKS, trimmed
 
@@ -45,6 +47,56 @@ def marker_counts(lines: DataFrame) -> DataFrame:
     return marked_lines(lines).groupBy("book_id", "marker").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
+#: Lines of a segment of positions.
+SEGMENT = 1 << 16
+
+
+@F.pandas_udf(BinaryType())
+def packed(positions: pd.Series) -> pd.Series:
+    """Rising whole numbers as their differences, seven bits a byte, the high bit set but in a number's last byte."""
+
+    def pack(rising) -> bytes:
+        out, before = bytearray(), 0
+        for x in rising.tolist():
+            step, before = x - before, x
+            while step > 127:
+                out.append(step & 127 | 128)
+                step >>= 7
+            out.append(step)
+        return bytes(out)
+
+    return positions.map(pack)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def unpacked(data: pd.Series) -> pd.Series:
+    def unpack(packed: bytes) -> list[int]:
+        out, at, step, shift = [], 0, 0, 0
+        for b in packed:
+            step |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                at += step
+                out.append(at)
+                step = shift = 0
+        return out
+
+    return data.map(unpack)
+
+
+def marker_positions(lines: DataFrame) -> DataFrame:
+    """(book_id, marker, segment, n, positions): the lines of each marker in order, packed by `packed` within segments of SEGMENT lines, counted from the segment's start, so a book of any length has bounded rows."""
+    rows = marked_lines(lines).withColumn("segment", F.floor(F.col("line_no") / SEGMENT).cast("long"))
+    listed = rows.groupBy("book_id", "marker", "segment").agg(F.sort_array(F.collect_list(F.col("line_no") - F.col("segment") * SEGMENT)).alias("at"))
+    return listed.select("book_id", "marker", "segment", F.size("at").cast("long").alias("n"), packed("at").alias("positions"))
+
+
+def positions_of(postings: DataFrame) -> DataFrame:
+    """(book_id, marker, line_no) of packed positions."""
+    rows = postings.select("book_id", "marker", "segment", F.explode(unpacked("positions")).alias("at"))
+    return rows.select("book_id", "marker", (F.col("segment") * SEGMENT + F.col("at")).alias("line_no"))
+
+
 def hierarchy(lines: DataFrame) -> DataFrame:
     """(book_id, upper, primary): markers of each book of `lines` that has any.
 

@@ -67,8 +67,3 @@ def without_books(manifest: DataFrame, books: DataFrame) -> DataFrame:
     """`manifest` but for the given books (book_id), such as those whose chapters are all fallback ones."""
     return manifest.join(books.select("book_id").distinct(), "book_id", "left_anti")
 
-
-def run_counters(outcome: DataFrame, size: int = 50) -> DataFrame:
-    """(processed, failed, remaining, batches) of `outcome` (status: processed, failed, or none yet): batches are those still to come."""
-    rest = F.count_if(~F.coalesce("status", F.lit("")).isin("processed", "failed"))
-    return outcome.agg(F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"), rest.alias("remaining"), F.ceil(rest / size).cast("long").alias("batches"))

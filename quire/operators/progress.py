@@ -33,19 +33,25 @@ def most_recent(saves: DataFrame, most: int = KEPT) -> DataFrame:
 
 
 def books_with_progress(books: DataFrame, saves: DataFrame) -> DataFrame:
-    """`books` (book_id, ...) with the readers and the latest save of each; books nobody reads stay."""
-    last = saves.groupBy("book_id").agg(F.count_distinct("user_id").alias("readers"), F.max("updated_at").alias("last_read"))
+    """`books` (book_id, ...) with the number of readers and the latest entry of each, a struct of the save's columns; books nobody reads stay."""
+    rest = [c for c in saves.columns if c != "book_id"]
+    last = saves.groupBy("book_id").agg(F.count_distinct("user_id").alias("readers"), F.max_by(F.struct(*rest), F.struct("updated_at", "seq")).alias("entry"))
     return books.join(last, "book_id", "left").withColumn("readers", F.coalesce("readers", F.lit(0)))
 
 
+def entries_of(asked: DataFrame, saves: DataFrame) -> DataFrame:
+    """For each of `asked` (user_id, book_id) the reader's latest save of the book, all its columns; nulls where there is none."""
+    return asked.join(latest(saves), ["user_id", "book_id"], "left")
+
+
 def saved(entries: DataFrame, now: Column) -> DataFrame:
     """`entries` as they are saved: with the time of saving, whatever time they had."""
     return entries.withColumn("updated_at", now)
 
 
-def settled(values: DataFrame, key: str, millis: str, delay: int = 250) -> DataFrame:
-    """Of `values` those that no other of the same key follows within `delay` milliseconds."""
-    after = F.lead(millis).over(W.partitionBy(key).orderBy(millis))
+def settled(values: DataFrame, key: str, millis: str, then: str, delay: int = 250) -> DataFrame:
+    """Of `values` those that no other of the same key follows within `delay` milliseconds; of equal times the greater `then` is later."""
+    after = F.lead(millis).over(W.partitionBy(key).orderBy(millis, then))
     return values.withColumn("_after", after).filter(F.col("_after").isNull() | (F.col("_after") - F.col(millis) >= delay)).drop("_after")
 
 

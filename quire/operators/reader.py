@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import joined
+
 # Bytes of a step of the window, and the steps that it holds.
 STEP, STEPS = 100_000, 3
 
@@ -21,7 +23,7 @@ def read_windows(windows: DataFrame, parts: DataFrame) -> DataFrame:
     hits = w.join(p, (F.col("b") == F.col("book_id")) & (F.col("s") < F.col("end_byte")) & (F.col("e") > F.col("start_byte")))
     piece = F.expr("substring(content, cast(greatest(s - start_byte, 0) + 1 as int), cast(least(e, end_byte) - greatest(s, start_byte) as int))")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("part_no", piece.alias("x")))), lambda x: x["x"])
-    out = hits.groupBy("window_id", "b", "s", "length").agg(F.count("*").alias("n_parts"), F.aggregate(listed, F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    out = hits.groupBy("window_id", "b", "s", "length").agg(F.count("*").alias("n_parts"), joined(listed).alias("content"))
     return out.select("window_id", F.col("b").alias("book_id"), F.col("s").alias("start_byte"), "length", "n_parts", "content")
 
 

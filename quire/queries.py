@@ -12,14 +12,16 @@ from collections.abc import Callable
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .functions import encoding, text
-from .operators import catalog, chunking, headings, manifest, progress, quality, reader
-from .plans.ingest import ingest, run_batch
+from .operators import asof, catalog, chunking, headings, manifest, progress, quality, reader
+from .plans.ingest import ingest, ingest_stream, live_indexes, live_parts, manifest_of, run_batch, sweep, unreferenced
 from .sources import library
-from .streaming.progress import keep_most_recent, shared_folder
+from .operators.search_index import SearchIndex
+from .streaming.progress import emit_moved, keep_most_recent, settle, shared_folder
 
 #: Part size of the queries; the texts are far smaller than a part of the default size.
 PART = 2048
@@ -190,28 +192,90 @@ def _zipped(batches):
         out = []
         for t in batch["text"].to_pylist():
             with zipfile.ZipFile(held := io.BytesIO(), "w") as z:
-                z.writestr("book/", b"")
-                z.writestr("a.txt", b" \n")
-                z.writestr("book/b.TXT", (t or "").encode())
+                for name, data in (("book/", b""), ("a.txt", b" \n"), ("book/b c?.TXT", (t or "").encode()), ("..", b""), ("x\\a.txt", b"")):
+                    z.writestr(zipfile.ZipInfo(name), data)  # without the time, so that the same text gives the same file
             out.append(held.getvalue())
         yield pa.RecordBatch.from_arrays([batch["filename"], pa.array(out, pa.binary())], ["filename", "content"])
 
 
+def _archived(rows: DataFrame) -> DataFrame:
+    """(filename, content) of books (book_id, text, author)."""
+    named = rows.select(F.concat(F.lit("《b"), F.col("book_id").cast("string"), F.lit("》作者："), "author", F.lit(".rar")).alias("filename"), "text")
+    return named.mapInArrow(_zipped, "filename string, content binary")
+
+
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = books(spark, sf_dir).select(F.concat(F.lit("《b"), F.col("book_id").cast("string"), F.lit("》作者："), "author", F.lit(".rar")).alias("filename"), "text")
-    return rows.mapInArrow(_zipped, "filename string, content binary")
+    return _archived(books(spark, sf_dir))
 
 
 def extract_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = library.safe_names(library.members_of(_archives(spark, sf_dir))).withColumn("text", encoding.decoded("content", encoding.charset(F.col("content"))))
-    return library.first_text(found).select("filename", F.sha2("text", 256).alias("sha256"))
+    """The text of each archive, and the safe names of its members."""
+    found = library.safe_names(library.members_of(_archives(spark, sf_dir))).withColumn("text", encoding.decoded("content", encoding.charset(F.col("content")))).cache()
+    names = found.groupBy("filename").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("member_pos", "safe_name"))), lambda x: x["safe_name"]), " ").alias("names"))
+    return library.first_text(found).join(names, "filename").select("filename", F.sha2("text", 256).alias("sha256"), "names")
 
 
 def ingest_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _archives(spark, sf_dir)
-    members = library.members_of(files)
-    none = spark.createDataFrame([], "book_id string, hash string")
-    return ingest(files, none, none.select("book_id"), members, PART)[2].select("book_id", "title", "author", F.size("assets").cast("long").alias("n_assets"))
+    """A first run over all archives in one batch: the manifest that it leaves."""
+    root = f"{shared_folder(spark)}/quire-library-{uuid.uuid4().hex}"
+    run_batch(_archives(spark, sf_dir), root, None, PART)
+    return manifest_of(spark, root).select("book_id", "title", "author", (F.size("assets") - 1).cast("long").alias("n_assets"))
+
+
+def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexes of all archives by one plan that stores nothing."""
+    files, none = _archives(spark, sf_dir), spark.createDataFrame([], "book_id string, hash string")
+    indexes = ingest(files, none, none.select("book_id"), library.members_of(files), PART)[1]
+    return indexes.select("book.id", "book.title", "book.author", F.size("book.parts").cast("long").alias("n_parts"), F.col("book.totalSize").alias("total_size"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Archives of three runs: without French; all, with German texts that have grown; without Spanish."""
+    own = books(spark, sf_dir)
+    grown = own.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("\nnew line\nlast line"))).otherwise(F.col("text")))
+    return [own.filter("lang <> 'fr'"), grown, grown.filter("lang <> 'es'")]
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    """What a library holds of each book: parts, index and manifest, and how much that none of these needs."""
+    parts = live_parts(spark, root)
+    texts = chunking.whole_texts(parts).select("book_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
+    counts = parts.groupBy("book_id").agg(F.count("*").alias("n_parts"))
+    indexes = live_indexes(spark, root).select(F.col("book.id").alias("book_id"), F.array_join(F.transform("book.parts", lambda p: F.concat_ws(":", p["path"], p["size"].cast("string"))), " ").alias("parts"), F.col("book.totalSize").alias("total_size"))
+    own = manifest_of(spark, root).select("book_id", "title", "author", F.array_join("assets", " ").alias("assets"))
+    return own.join(texts, "book_id", "full").join(counts, "book_id", "full").join(indexes, "book_id", "full").withColumn("unreferenced", F.lit(unreferenced(spark, root).count()))
+
+
+def ingest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of two batches each with additions, changes and removals, then a sweep: all that is stored."""
+    root = f"{shared_folder(spark)}/quire-library-{uuid.uuid4().hex}"
+    for rows in _runs(spark, sf_dir):
+        files, left = _archived(rows), True
+        size = rows.count() // 2 + 1
+        while left:
+            left = run_batch(files, root, size, PART)["remaining"]
+    sweep(spark, root, grace=1)
+    return _stored(spark, root)
+
+
+def ingest_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that arrive in files of a folder, taken up as a stream of micro-batches: all that is stored."""
+    root = f"{shared_folder(spark)}/quire-library-{uuid.uuid4().hex}"
+    for i, rows in enumerate(_runs(spark, sf_dir)[:2]):
+        _archived(rows).repartition(3).write.mode("append").parquet(f"{root}-arrivals")
+    stream = spark.readStream.schema("filename string, content binary").option("maxFilesPerTrigger", 2).parquet(f"{root}-arrivals")
+    ingest_stream(stream, root, PART)
+    sweep(spark, root, grace=1)
+    return _stored(spark, root)
+
+
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows read from the stored parts of a library."""
+    root = f"{shared_folder(spark)}/quire-library-{uuid.uuid4().hex}"
+    run_batch(_archives(spark, sf_dir), root, None, PART)
+    sizes = live_indexes(spark, root).select(F.col("book.id").alias("book_id"), F.col("book.totalSize").alias("total"))
+    windows = sizes.select(F.col("book_id").alias("window_id"), "book_id", (F.octet_length("book_id") * 7919 % F.col("total")).cast("long").alias("start_byte"), F.lit(3000).cast("long").alias("length"))
+    return reader.read_windows(windows, live_parts(spark, root)).select("book_id", "start_byte", F.lower(F.hex("content")).alias("bytes"))
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +328,13 @@ def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) book_id")
-    return progress.books_with_progress(own, _saves(spark, sf_dir)).select("book_id", "readers", F.expr("timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(last_read as timestamp_ntz))").alias("last_ms"))
+    return progress.books_with_progress(own, _saves(spark, sf_dir)).select("book_id", "readers", F.expr("timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(entry.updated_at as timestamp_ntz))").alias("last_ms"), F.col("entry.user_id").alias("reader"), F.col("entry.seq").alias("seq"))
+
+
+def progress_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest entries of readers in books, of which every second book's name is one that nobody reads."""
+    asked = _saves(spark, sf_dir).select("user_id", F.when(F.col("seq") % 2 == 0, F.col("book_id")).otherwise(F.concat("book_id", F.lit("?"))).alias("book_id")).distinct()
+    return progress.entries_of(asked, _saves(spark, sf_dir)).select("user_id", "book_id", "seq", F.round("value", 6).alias("value"))
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,10 +424,10 @@ def config_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of an incremental run's batches until nothing is pending."""
     files = _archives(spark, sf_dir)
-    members, root = library.members_of(files), f"{shared_folder(spark)}/quire-run-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/quire-run-{uuid.uuid4().hex}"
     size, counters = (files.count() * 2 + 4) // 5, []
     while not counters or counters[-1]["remaining"]:
-        counters.append({"run": len(counters) + 1} | run_batch(files, members, root, size, PART))
+        counters.append({"run": len(counters) + 1} | run_batch(files, root, size, PART))
     return spark.createDataFrame(pd.DataFrame(counters))
 
 
@@ -383,7 +453,79 @@ def scroll_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").selectExpr("user_id", "event_id", "timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz)) ms")
-    return progress.settled(rows, "user_id", "ms", 600_000)
+    return progress.settled(rows, "user_id", "ms", "event_id", 600_000)
+
+
+def _in_turn(spark: SparkSession, rows: list[DataFrame], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream `run` makes of `rows` that arrive one table after the other: a folder of files as its sink."""
+    root = f"{shared_folder(spark)}/quire-stream-{uuid.uuid4().hex}"
+    schema = rows[0].schema
+    for table in rows:
+        table.write.mode("append").parquet(f"{root}/in")
+        out = run(spark.readStream.schema(schema).parquet(f"{root}/in"))
+        out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def stream_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places worth saving, with the last kept ones as state between two micro-batches."""
+    rows = load(spark, sf_dir, "events").selectExpr("user_id", "get_json_object(props, '$.k') book_id", "event_id seq", "event_id * 37 % 1000 position")
+    middle = rows.agg(F.expr("cast(percentile_approx(seq, 0.5) as long)")).first()[0] or 0
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _in_turn(spark, [rows.filter(F.col("seq") <= middle), rows.filter(F.col("seq") > middle)], emit_moved)
+    finally:
+        spark.conf.set(name, before)
+
+
+def stream_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled values as session windows of an event-time stream in two halves; two late ticks close all windows."""
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.expr("timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))").alias("ms")).withColumn("at", F.timestamp_millis("ms"))
+    middle, end = rows.agg(F.expr("percentile_approx(ms, 0.5)"), F.max("ms")).first()
+    ticks = [spark.sql(f"select cast(null as {dict(rows.dtypes)['user_id']}) user_id, cast(-1 as bigint) event_id, ms, timestamp_millis(ms) at from values ({(end or 0) + i * 3_600_000}L) as t(ms)") for i in (1, 2)]
+    out = _in_turn(spark, [rows.filter(F.col("ms") <= (middle or 0)), rows.filter(F.col("ms") > (middle or 0)), *ticks], lambda x: settle(x, "user_id", "at", F.col("event_id"), "600 seconds"))
+    return out.filter("user_id is not null").select("user_id", "event_id", "ms")
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches of `search_catalog` by an index, after an update that renames books and removes others."""
+    index = SearchIndex(spark, f"{shared_folder(spark)}/quire-index-{uuid.uuid4().hex}")
+    own = _catalog(spark, sf_dir).selectExpr("book_id id", "title", "author", "pos")
+    old = own.withColumn("title", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("red widget "), "title")).otherwise(F.col("title"))).select("id", "title", "author")
+    gone = own.selectExpr("concat('x', id) id", "title", "author")
+    index.update(old.union(gone))
+    index.update(own.filter(F.col("pos") % 3 == 0).select("id", "title", "author"), gone.select("id"))
+    return index.search(" Red wid ").unionByName(index.search("BRAND 2")).distinct().select(F.col("id").alias("book_id"), "title", "author")
+
+
+def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next line start at or after several places of each document."""
+    own = books(spark, sf_dir).filter("octet_length(text) > 0")
+    line_ends = own.select("book_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    starts = line_ends.select("book_id", F.sum(F.octet_length("line") + 1).over(W.partitionBy("book_id").orderBy("n")).cast("long").alias("at"))
+    targets = own.select("book_id", F.explode(F.expr("transform(sequence(0, 6), i -> cast(i as bigint) * (octet_length(text) + 1) div 5 + i % 2)")).alias("at")).distinct()
+    return asof.next_starts(targets, starts, "book_id", "at", f"{shared_folder(spark)}/quire-asof-{uuid.uuid4().hex}")
+
+
+def marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each marker, packed and unpacked."""
+    found = headings.positions_of(headings.marker_positions(book_lines(spark, sf_dir)))
+    return found.groupBy("book_id", "marker").agg(F.array_join(F.transform(F.sort_array(F.collect_list("line_no")), lambda x: x.cast("string")), " ").alias("positions"))
+
+
+def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat book documents made nested; every third is nested already, every seventh no JSON."""
+    form = "named_struct('id', cast(p_partkey as string), 'title', p_name, 'author', p_brand, 'parts', array(named_struct('path', p_type, 'size', cast(p_size as bigint))), 'totalSize', cast(p_size as bigint))"
+    documents = load(spark, sf_dir, "part").selectExpr("concat(p_partkey, '.json') filename", f"case when p_partkey % 7 = 0 then '{{broken' when p_partkey % 3 = 0 then to_json(named_struct('book', {form}, 'chapters', array('x'))) else to_json({form}) end json")
+    return catalog.convert_documents(documents)
+
+
+def settings_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings given in part over default ones."""
+    rows = load(spark, sf_dir, "events").selectExpr("event_id", "named_struct('fontSize', if(event_id % 2 = 0, cast(event_id % 30 as double), null), 'fontFamily', get_json_object(props, '$.k')) given")
+    found = catalog.overlay(F.col("given"), F.struct(F.lit(18.0).alias("fontSize"), F.lit("serif").alias("fontFamily")), ["fontSize", "fontFamily"])
+    return rows.select("event_id", found["fontSize"].alias("font_size"), found["fontFamily"].alias("font_family"))
 
 
 def saved_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,10 +561,10 @@ def fallback_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMED = (
     chunk_parts, part_offsets, book_index, whole_texts, read_window, reader_windows, progress_label, content_hash, plan_changes, manifest_merge, removed_books, obsolete_assets, pending_batch, duplicate_ids,
-    min_lines, slug_names, parse_meta, charset_ratios, detect_encoding, extract_members, ingest_library, catalog_rows, compat_convert, strip_chapters, search_catalog, catalog_page, progress_valid, progress_mru,
+    min_lines, slug_names, parse_meta, charset_ratios, detect_encoding, extract_members, ingest_library, ingest_plan, ingest_store, ingest_arrivals, stored_windows, catalog_rows, compat_convert, strip_chapters, search_catalog, catalog_page, progress_valid, progress_mru,
     recent_history, book_progress, stream_progress, title_stats, marker_usage, duplicate_titles, quality_issues, issue_top20, library_summary, heading_scan, heading_hierarchy, heading_score, chapter_spans,
     fallback_chapters, fallback_books, catalog_documents, catalog_written, manifest_books, named_files, config_fallback, ingest_batches, fallback_removed, check_counts, repeated_chapters, scroll_saves,
-    settled_searches, saved_progress, scalar_labels, reader_places,
+    settled_searches, saved_progress, scalar_labels, reader_places, progress_lookup, stream_scrolls, stream_searches, search_index, asof_forward, marker_positions, convert_documents, settings_overlay,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMED}
 
@@ -525,6 +667,23 @@ MRU = f"with {SAVES} select user_id, book_id, seq, place from r where place <= 2
 CELLS = "string_split_regex(lower({}), '[^a-z0-9]+')"
 SLUG = "lower(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9一-龥]+', '-', 'g'), '^-+|-+$', '', 'g'))"
 
+SCROLLS = """with recursive s as (select user_id, props->>'$.k' book_id, event_id seq, event_id * 37 % 1000 position, row_number() over (partition by user_id, props->>'$.k' order by event_id) r from events),
+w as (select user_id, book_id, seq, position, r, position > 100 kept, case when position > 100 then position else 0 end final from s where r = 1
+      union all select s.user_id, s.book_id, s.seq, s.position, s.r, abs(s.position - w.final) > 100, case when abs(s.position - w.final) > 100 then s.position else w.final end from w join s on s.user_id = w.user_id and s.book_id = w.book_id and s.r = w.r + 1)
+select user_id, book_id, seq, position from w where kept"""
+SETTLED = "with t as (select user_id, event_id, epoch_us(ts) // 1000 ms from events), n as (select *, lead(ms) over (partition by user_id order by ms, event_id) after from t) select user_id, event_id, ms from n where after is null or after - ms >= 600000"
+FOUND = f"""with t as (select p_partkey::varchar book_id, p_name title, p_brand author, {CELLS.format('p_name')} a, {CELLS.format('p_brand')} b from part)
+select book_id, title, author from t where (len(list_filter(a, lambda x: contains(x, 'red'))) > 0 and len(list_filter(a, lambda x: contains(x, 'wid'))) > 0) or (len(list_filter(b, lambda x: starts_with(x, 'red'))) > 0 and len(list_filter(b, lambda x: starts_with(x, 'wid'))) > 0)
+   or (len(list_filter(a, lambda x: contains(x, 'brand'))) > 0 and len(list_filter(a, lambda x: contains(x, '2'))) > 0) or (len(list_filter(b, lambda x: starts_with(x, 'brand'))) > 0 and len(list_filter(b, lambda x: starts_with(x, '2'))) > 0)"""
+# Books of archives that are long enough, their parts, and what a library holds of them.
+_STORED_SQL = f"""docs as (select doc_id, source, lang, {{text}} text from documents),
+whole as (select doc_id, source, regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') text from docs where {{where}}),
+books as (select doc_id, {SLUG.format("'b' || doc_id || '-' || source")} book_id, 'b' || doc_id title, source author, text from whole where len(string_split(text, chr(10))) >= 10),
+{P.removeprefix('recursive ').replace('select doc_id book_id, text', 'select book_id, text').replace('from documents where', 'from books where')},
+counts as (select book_id, count(*) n_parts, sum(size)::bigint total_size, string_agg({SHELL} || ':' || size, ' ' order by part_no) parts, string_agg({SHELL}, ' ' order by part_no) paths from parts group by book_id)"""
+_GROWN_SQL = "case when lang = 'de' then text || chr(10) || 'new line' || chr(10) || 'last line' else text end"
+_STORED_ROWS_SQL = "select book_id, title, author, '/data/' || book_id || '_chapters.json ' || paths assets, sha256(text) sha256, strlen(text)::bigint n_bytes, n_parts, counts.parts, total_size, 0::bigint unreferenced from books join counts using (book_id)"
+
 ORACLE: dict[str, str] = {
     "chunk_parts": f"with {P} select * from parts",
     "part_offsets": f"with {P} select book_id, part_no, size, (sum(size) over w)::bigint end_byte, (sum(size) over w - size)::bigint start_byte from parts window w as (partition by book_id order by part_no)",
@@ -553,22 +712,24 @@ select book_id, k // 10 || '.' || k % 10 percent, coalesce(left(b, 20), '') prev
     len(regexp_extract_all(text, '[a-zA-Z0-9 \\t\\n\\r.,!?;:"''()《》【】　]')) common from documents)
 select book_id, n, broken::bigint broken, ideographs::bigint ideographs, common::bigint common, case when n < 100 or broken * 20 > n then false else ideographs * 10 > n or common * 2 > n end plausible from c""",
     "detect_encoding": "select doc_id book_id, case lang when 'de' then 'utf-16le' when 'es' then 'utf-16be' else 'utf-8' end charset, sha256(coalesce(text, '')) sha256 from documents",
-    "extract_members": "select '《b' || doc_id || '》作者：' || source || '.rar' filename, sha256(text) sha256 from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
-    "ingest_library": f"""with recursive documents2 as (select doc_id, source, regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') text from documents),
-{P.removeprefix('recursive ').replace('from documents where', 'from documents2 where')} select {SLUG.format("'b' || doc_id || '-' || source")} book_id, 'b' || doc_id title, source author, count(*) n_assets
-from documents2 join parts on book_id = doc_id where len(string_split(text, chr(10))) >= 10 group by doc_id, source""",
+    "extract_members": "select '《b' || doc_id || '》作者：' || source || '.rar' filename, sha256(text) sha256, 'book a.txt b_c_.TXT entry_3 a.txt_1' names from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
+    "ingest_library": f"""with recursive {_STORED_SQL.format(text='text', where='true')} select book_id, title, author, n_parts n_assets from books join counts using (book_id)""",
+    "ingest_plan": f"""with recursive {_STORED_SQL.format(text='text', where='true')} select book_id id, title, author, n_parts, total_size from books join counts using (book_id)""",
+    "ingest_store": f"""with recursive {_STORED_SQL.format(text=_GROWN_SQL, where="lang <> 'es'")} {_STORED_ROWS_SQL}""",
+    "ingest_arrivals": f"""with recursive {_STORED_SQL.format(text=_GROWN_SQL, where='true')} {_STORED_ROWS_SQL}""",
+    "stored_windows": f"""with recursive {_STORED_SQL.format(text='text', where='true')}, w as (select book_id, text, strlen(book_id) * 7919 % total_size s from books join counts using (book_id))
+select book_id, s::bigint start_byte, lower(hex(array_slice(encode(text), s + 1, s + 3000))) bytes from w where s < strlen(text)""",
     "catalog_rows": "select p_partkey::varchar id, p_name title, p_brand author, 0::int \"totalChapters\" from part",
     "compat_convert": f"with {P} select d.doc_id::varchar id, d.lang title, d.source author, 0::int \"totalChapters\", count(*) n_parts, sum(size)::bigint \"totalSize\", 0::bigint n_chapters from documents d join parts on book_id = doc_id group by all",
     "strip_chapters": "select doc_id::varchar id, 0::bigint n_chapters from documents where lang = 'en' and strlen(text) > 0",
-    "search_catalog": f"""with t as (select p_partkey::varchar book_id, p_name title, p_brand author, {CELLS.format('p_name')} a, {CELLS.format('p_brand')} b from part)
-select book_id, title, author from t where (len(list_filter(a, lambda x: contains(x, 'red'))) > 0 and len(list_filter(a, lambda x: contains(x, 'wid'))) > 0) or (len(list_filter(b, lambda x: starts_with(x, 'red'))) > 0 and len(list_filter(b, lambda x: starts_with(x, 'wid'))) > 0)
-   or (len(list_filter(a, lambda x: contains(x, 'brand'))) > 0 and len(list_filter(a, lambda x: contains(x, '2'))) > 0) or (len(list_filter(b, lambda x: starts_with(x, 'brand'))) > 0 and len(list_filter(b, lambda x: starts_with(x, '2'))) > 0)""",
+    "search_catalog": FOUND,
     "catalog_page": f"select p_partkey::varchar book_id, p_name title from part where len(list_filter({CELLS.format('p_name')}, lambda x: contains(x, 'bolt'))) > 0 or len(list_filter({CELLS.format('p_brand')}, lambda x: starts_with(x, 'bolt'))) > 0 order by p_partkey limit 100",
     "progress_valid": "select user_id, event_id seq, props->>'$.k' book_id, event_type chapter_id, case when value > 50 then 1893456000000 else epoch_us(ts) // 1000 end updated_ms from events where event_type <> 'error'",
     "progress_mru": MRU,
     "stream_progress": MRU,
     "recent_history": f"with {SAVES} select user_id, book_id, strftime(ts, '%Y/%m/%d %H:%M') as label from r where place <= 5",
-    "book_progress": "with s as (select props->>'$.k' book_id, user_id, ts from events) select p_partkey::varchar book_id, count(distinct user_id) readers, epoch_us(max(ts)) // 1000 last_ms from part left join s on book_id = p_partkey::varchar group by p_partkey",
+    "book_progress": "with s as (select props->>'$.k' book_id, user_id, ts, event_id from events) select p_partkey::varchar book_id, count(distinct user_id) readers, epoch_us(max(ts)) // 1000 last_ms, max_by(user_id, (ts, event_id)) reader, max_by(event_id, (ts, event_id)) seq from part left join s on book_id = p_partkey::varchar group by p_partkey",
+    "progress_lookup": "with s as (select user_id, props->>'$.k' book_id, ts, event_id, value from events), a as (select distinct user_id, case when event_id % 2 = 0 then book_id else book_id || '?' end book_id from s), l as (select user_id, book_id, max_by(event_id, (ts, event_id)) seq, round(max_by(value, (ts, event_id)), 6) as value from s group by all) select user_id, book_id, seq, value from a left join l using (user_id, book_id)",
     "title_stats": f"""with {CHAPTERS_SQL}, a as (select book_id, count(*) total, avg(length(title)) avg_len, min(length(title))::int min_len, max(length(title))::int max_len, count(*) filter ({UPPER_SQL}) with_prefix from ch group by book_id)
 select *, (with_prefix * 2000 + total) // (total * 2) // 10 || '.' || (with_prefix * 2000 + total) // (total * 2) % 10 || '%' prefix_ratio from a""",
     "marker_usage": f"with {CHAPTERS_SQL}, m as (select unnest(string_split('卷|部|册|季|章|节|回|集|篇|幕|话|段|折|品', '|')) marker) select book_id, marker, count(*) n from ch join m on contains(title, marker) group by all",
@@ -603,11 +764,17 @@ select run, processed, failed, greatest(total - run * size, 0) remaining, (great
 n as (select book_id, case when type in ('multiple_upper_markers', 'reversed_hierarchy') then 'hierarchy' else type end as "check", sum(case when type = 'duplicate_title' then amount - 1 else 1 end)::bigint n from iss group by all)
 select b.book_id, c."check", coalesce(n, 0)::bigint n, case when coalesce(n, 0) = 0 then 'none' when n < 5 then 'few' else 'many' end tier from (select distinct book_id from ch) b cross join c left join n on n.book_id = b.book_id and n."check" = c."check\"""",
     "repeated_chapters": f"with {CHAPTERS_SQL}, l as (select book_id, title, count(*) n, list(chapter order by chapter) x from ch group by all having count(*) > 1) select book_id, title, n, array_to_string(x[1:5], ', ') chapters from l",
-    "scroll_saves": """with recursive s as (select user_id, props->>'$.k' book_id, event_id seq, event_id * 37 % 1000 position, row_number() over (partition by user_id, props->>'$.k' order by event_id) r from events),
-w as (select user_id, book_id, seq, position, r, position > 100 kept, case when position > 100 then position else 0 end final from s where r = 1
-      union all select s.user_id, s.book_id, s.seq, s.position, s.r, abs(s.position - w.final) > 100, case when abs(s.position - w.final) > 100 then s.position else w.final end from w join s on s.user_id = w.user_id and s.book_id = w.book_id and s.r = w.r + 1)
-select user_id, book_id, seq, position from w where kept""",
-    "settled_searches": "with t as (select user_id, event_id, epoch_us(ts) // 1000 ms from events), n as (select *, lead(ms) over (partition by user_id order by ms) after from t) select user_id, event_id, ms from n where after is null or after - ms >= 600000",
+    "scroll_saves": SCROLLS,
+    "settled_searches": SETTLED,
+    "stream_searches": SETTLED,
+    "stream_scrolls": SCROLLS,
+    "search_index": FOUND,
+    "asof_forward": """with t as (select doc_id book_id, text from documents where strlen(text) > 0), l as (select book_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from t),
+s as (select book_id, (sum(strlen(line) + 1) over (partition by book_id order by n))::bigint s from l), a as (select distinct book_id, (i * (strlen(text) + 1) // 5 + i % 2)::bigint as at from t, range(7) r(i))
+select a.book_id, a.at, min(s) as next from a left join s on s.book_id = a.book_id and s >= a.at group by all""",
+    "marker_positions": f"with {CANDIDATES_SQL} select book_id, marker, string_agg(line_no::varchar, ' ' order by line_no) positions from hit group by all",
+    "convert_documents": """select p_partkey || '.json' filename, '{"book":{"id":"' || p_partkey || '","title":"' || p_name || '","author":"' || p_brand || '","totalChapters":0,"parts":[{"path":"' || p_type || '","size":' || p_size || '}],"totalSize":' || p_size || '},"chapters":[]}' json from part where p_partkey % 7 <> 0 and p_partkey % 3 <> 0""",
+    "settings_overlay": "select event_id, case when event_id % 2 = 0 then (event_id % 30)::double else 18 end font_size, coalesce(props->>'$.k', 'serif') font_family from events",
     "saved_progress": "select user_id, props->>'$.k' book_id, event_id seq, 1893456000000 updated_ms from events",
     "scalar_labels": """with t as (select doc_id book_id, text, coalesce(strlen(text), 0)::bigint * 5000 size, 'b' || doc_id || ' é ' || source title, doc_id % 37 + 1 done from documents)
 select book_id, sha256(text || chr(10) || 'end') newlines, (size * 2 + 1048576) // 2097152 mib, (size * 2 + 1048576) // 2097152 > 10 large, case when done % 3 = 0 or done = 37 then (done * 200 + 37) // 74 end scanned, case when book_id % 2 = 0 then '1.5% · abc...' else '已读 1.5%' end place,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -16,9 +17,12 @@ from ..functions.text import trimmed
 Members = Iterator[tuple[str, bool, bytes]]
 
 
-def scan_archives(spark: SparkSession, folder: str, glob: str = "*.[rR][aA][rR]") -> DataFrame:
-    """(filename, length, content) of a folder's archives."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+def scan_archives(spark: SparkSession, folder: str, glob: str = "*.[rR][aA][rR]", names: list[str] | None = None) -> DataFrame:
+    """(filename, length, content) of a folder's archives; with `names`, of these alone, so that no other is opened."""
+    if names == []:
+        return spark.createDataFrame([], "filename string, length bigint, content binary")
+    places = folder if names is None else [f"{folder.rstrip('/')}/{re.sub(r'([][{}*?])', chr(92) * 2 + r'1', n)}" for n in names]  # names are no patterns
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(places)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 
 
@@ -45,8 +49,11 @@ def members_of(archives: DataFrame, extract: Callable[[bytes], Members] = zip_me
 
 
 def safe_names(members: DataFrame) -> DataFrame:
-    """`members` with safe_name: no odd characters or dots-only steps, and _1, _2, ... after repeated names of one archive."""
-    base = F.array_join(F.filter(F.split(F.regexp_replace("member_name", r'[<>:"|?*\\]', "_"), "/"), lambda x: ~x.isin("", ".", "..")), "/")
+    """`members` (filename, member_pos from 0, member_name, ...) with safe_name: the last step of the path that isn't blank or dots,
+    runs of odd characters as one `_`; entry_N for the N-th member where nothing is left; _1, _2, ... after repeated names of an archive.
+    """
+    steps = F.filter(F.split(F.replace("member_name", F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", ".", ".."))
+    base = F.regexp_replace(F.coalesce(F.try_element_at(steps, F.lit(-1)), F.concat(F.lit("entry_"), F.col("member_pos").cast("string"))), r"[^a-zA-Z0-9一-龥._-]+", "_")
     rows = members.withColumn("_base", base)
     again = F.row_number().over(W.partitionBy("filename", "_base").orderBy("member_pos")) - 1
     return rows.withColumn("safe_name", F.when(again > 0, F.concat("_base", F.lit("_"), again.cast("string"))).otherwise(F.col("_base"))).drop("_base")
@@ -63,12 +70,3 @@ def read_json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     return spark.read.schema(schema).option("multiLine", True).json(path) if there else spark.createDataFrame([], schema)
-
-
-def write_parts(parts: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Parts with their contents as a table of buckets by book, so that a book is read from one folder and a library of many books has few."""
-    parts.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
-
-
-def write_json(rows: DataFrame, folder: str) -> None:
-    rows.write.mode("overwrite").json(folder)

@@ -1,14 +1,21 @@
-"""Reading progress as a stream: saves arrive in files, the most recently used books are kept up to date."""
+"""Reading progress as streams: the most recently used books, places worth saving, and searches that have settled."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.progress import KEPT, most_recent
-from ..sources.snapshots import remove_version, versions
+from ..sources.store import Store
+
+#: Buckets of readers.
+BUCKETS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,23 +29,96 @@ def shared_folder(spark: SparkSession) -> str:
 def keep_most_recent(saves: DataFrame, root: str, most: int = KEPT) -> DataFrame:
     """Runs the stream `saves` (user_id, book_id, updated_at, seq, ...) as far as it has input and returns the table.
 
-    State and table lie under `root`; another run with the same root goes on from there. Each micro-batch joins the last
-    version below its own number with its most recent books and writes the version of its number, so a batch that is
-    repeated after a loss reads and writes the same versions again.
+    State and table lie under `root`; another run with the same root goes on from there. The table is bucketed by reader:
+    a micro-batch joins the buckets of its readers with their most recent books and writes these buckets alone, then a
+    commit record says which commit wrote each bucket last. A micro-batch that is repeated after a loss is skipped if it
+    was committed, and written anew if it wasn't. What no record names any more goes with the commit after next.
     """
     spark = saves.sparkSession
     columns = saves.columns
     schema = most_recent(spark.createDataFrame([], saves.schema), most).schema
-    table = f"{root.rstrip('/')}/table"
+    store = Store(spark, root)
+
+    def held(record: dict, buckets: set[int] | None = None) -> DataFrame:
+        places = [f"{store.place('table', n)}/bucket={b}" for b, n in record.get("buckets", {}).items() if buckets is None or int(b) in buckets]
+        return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        below = [v for v in versions(spark, table) if v < number]
-        held = spark.read.schema(schema).parquet(f"{table}/v{below[-1]}").select(*columns).unionByName(batch) if below else batch
-        most_recent(held, most).write.mode("overwrite").parquet(f"{table}/v{number}")
-        for old in below[:-2]:
-            remove_version(spark, table, old)
+    def merge(batch: DataFrame, epoch: int) -> None:
+        last = store.last()
+        if last.get("epoch", -1) >= epoch:
+            return
+        number, bucket = last["number"] + 1, F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int")
+        rows = store.write(batch, "arrived", number)
+        touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # BUCKETS at most
+        following = most_recent(held(last, touched).select(*columns).unionByName(rows), most).withColumn("bucket", bucket)
+        store.write(following, "table", number, "bucket")
+        store.commit(number, {"epoch": epoch, "buckets": last.get("buckets", {}) | {str(b): number for b in touched}})
+        store.forget(2)
+        named = {str(n) for k in store.numbers() for n in store.record(k)["buckets"].values()}
+        store.remove([f"arrived/{number}", *[f"table/{n}" for n in store.children("table") if n not in named]])
 
     query = saves.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root.rstrip('/')}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = versions(spark, table)
-    return spark.read.schema(schema).parquet(f"{table}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+    return held(store.last())
+
+
+def clear(spark: SparkSession, root: str) -> None:
+    """Forget all saves of the table under `root`; the stream goes on from where it is."""
+    store = Store(spark, root)
+    last = store.last()
+    store.commit(last["number"] + 1, {"epoch": last.get("epoch", -1), "buckets": {}})
+
+
+class Moved(StatefulProcessor):
+    """Per reader and book the last place that was kept. A key that rests for `rest` milliseconds starts anew."""
+
+    def __init__(self, least: int, rest: int):
+        self.least, self.rest = least, rest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "position long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else 0
+        before, every = last, pd.concat(list(rows)).sort_values("seq", kind="stable")
+        kept = []
+        for at in every["position"]:
+            moves = not pd.isna(at) and abs(at - last) > self.least
+            last = int(at) if moves else last
+            kept.append(moves)
+        if last != before or not self.last.exists():
+            self.last.update((last,))
+        if self.rest:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.rest)
+        yield every[kept][["user_id", "book_id", "seq", "position"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"user_id": [], "book_id": [], "seq": [], "position": []})
+
+    def close(self) -> None:
+        pass
+
+
+def emit_moved(scrolls: DataFrame, least: int = 100, rest: int = 0) -> DataFrame:
+    """The stream of those `scrolls` (user_id, book_id, seq, position) over `least` away from the reader's last kept one in
+    the book, which is 0 at first. The state is one number a reader and book; with `rest` it goes after so many
+    milliseconds without a scroll.
+
+    Rows of a micro-batch are taken by seq; micro-batches follow each other as they come. Needs the RocksDB state store.
+    """
+    rows = scrolls.select("user_id", "book_id", "seq", "position")
+    return rows.groupBy("user_id", "book_id").transformWithStateInPandas(Moved(least, rest), rows.schema, "append", "processingtime" if rest else "none")
+
+
+def settle(values: DataFrame, key: str, time: str, order: Column, gap: str, late: str = "0 seconds") -> DataFrame:
+    """The stream of the last of each run of `values` of a key that follow each other within `gap`, when the run is over.
+
+    Runs are session windows of the event time `time`; of equal times the greater `order` is later. A run is over when an
+    event of the whole stream is `gap` and `late` past its end; rows that come later than `late` after it are dropped.
+    """
+    rest = [c for c in values.columns if c != key]
+    runs = values.withWatermark(time, late).groupBy(F.session_window(time, gap), F.col(key))
+    return runs.agg(F.max_by(F.struct(*rest), F.struct(F.col(time), order)).alias("x")).select(key, "x.*")
