@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,40 +147,6 @@ def line_index(lines: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFram
     return rows.groupBy("shard").applyInPandas(build_shard, "shard int, hash binary, prints binary, counts binary, firsts binary, rest binary"), shards
 
 
-#: Seeds of the two hashes of a key, those of Spark's xxhash64(key) and xxhash64(1, key).
-SEEDS = 42, xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)
-
-
-def signed(x: int) -> int:
-    return x - (x >> 63 << 64)
-
-
-def stripped(text: str, lost: set[tuple[int, int]], min_chars: int) -> tuple[str, int]:
-    """The text without the lines whose keys' hashes are `lost`, and how many these are; each distinct line is hashed once."""
-    known: dict[str, bool] = {}
-    stay, lines = [], text.split("\n")
-    for line in lines:
-        goes = known.get(line)
-        if goes is None:
-            key = line.strip(BLANKS)
-            data = key.encode().lower()  # of bytes, so A-Z alone
-            goes = known[line] = len(key) >= min_chars and tuple(signed(xxhash.xxh64_intdigest(data, x)) for x in SEEDS) in lost
-        if not goes:
-            stay.append(line)
-    return "\n".join(stay), len(lines) - len(stay)
-
-
-def without_lost(min_chars: int):
-    """Column function (text, hashes) -> (kept, dropped), for documents that lose lines: time and memory follow the text."""
-
-    @F.pandas_udf("kept string, dropped long")
-    def run(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0) if t is None else stripped(t, set(map(tuple, x.reshape(-1, 2).tolist())), min_chars) for t, x in zip(text, lost, strict=True)]
-        return pd.DataFrame(rows, columns=["kept", "dropped"])
-
-    return run
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KEYS, carry: bool = False) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_lines, n_dropped, kept_text; with `carry` also original, a struct of the whole row.
 
@@ -200,9 +164,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KE
     index, shards = line_index(lines, shard_keys)
     probes = lines.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).sortWithinPartitions("shard").mapInArrow(pack_probes, "shard int, docs binary, a binary, b binary")
     lost = probes.join(index, "shard").mapInArrow(answer, "doc_id long, a long, b long")
-    lost = lost.groupBy("doc_id").agg(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda x: F.array(x["a"], x["b"]))).alias("lost"))
+    # The hashes that a document loses, sorted, and the steps of a bisection over them: each line takes a few, however many lines and hashes there are.
+    lost = lost.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("lost")).withColumn("steps", F.sequence(F.lit(1), F.length(F.bin(F.size("lost")))))
     split = rows.join(lost, "doc_id", "left")
-    some = F.col("lost").isNotNull()
-    split = split.withColumn("left", without_lost(min_chars)(F.when(some, F.col("text")), F.col("lost")))
+    some, lines = F.col("lost").isNotNull(), F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    probes = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.when(F.length(x["key"]) >= min_chars, F.struct(F.xxhash64(x["key"]).alias("a"), F.xxhash64(F.lit(1), x["key"]).alias("b"))).alias("hash")))
+
+    def kept(x: Column) -> Column:
+        """Whether the line's hash is none of those lost; the first that isn't less is at `low` when the bisection ends."""
+        half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+        step = lambda s, _: F.when(s["low"] >= s["high"], s).when(F.get("lost", half(s)) < x["hash"], F.struct((half(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), half(s).alias("high")))
+        low = F.aggregate("steps", F.struct(F.lit(0).alias("low"), F.size("lost").alias("high")), step, lambda s: s["low"])
+        return x["hash"].isNull() | ~F.coalesce(F.get("lost", low) == x["hash"], F.lit(False))
+
+    stay = F.transform(F.filter(probes, kept), lambda x: x["line"])
+    split = split.withColumn("stay", F.when(some, stay))
     n = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    return split.select("doc_id", n.alias("n_lines"), F.when(some, F.col("left.dropped")).otherwise(0).cast("long").alias("n_dropped"), F.when(some, F.col("left.kept")).otherwise(F.col("text")).alias("kept_text"), *["original"] * carry)
+    return split.select("doc_id", n.alias("n_lines"), F.when(some, n - F.size("stay")).otherwise(0).cast("long").alias("n_dropped"), F.when(some, F.array_join("stay", "\n")).otherwise(F.col("text")).alias("kept_text"), *["original"] * carry)

@@ -55,6 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         said = json.loads(self.tokenizer.to_str())
         self.added = [t["content"].lower().encode() for t in said["added_tokens"]]
+        self.mark = os.path.commonprefix(self.added)
         self.by_words = all(said[k] == v for k, v in FORM.items()) and said["model"]["type"] == "BPE" and not said["model"].get("dropout") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]] for t in said["added_tokens"])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -64,7 +65,7 @@ class Encoder:
         parts, young, old, missing, raw = {}, self.young, self.old, [], []
         for word in words:
             low = word.lower()
-            if any(x in low for x in self.added):
+            if self.mark in low and any(x in low for x in self.added):
                 raw.append(word)
                 continue
             core = low.rstrip(MARKS)
