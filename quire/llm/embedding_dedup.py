@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 from .components import connected_components
 
 #: Neighbours of a node's list, bands of a start, and rows of a band that a row is linked to.
@@ -29,8 +29,8 @@ LIST, BANDS, NEXT = 10, 12, 4
 BLOCK = 1024
 #: Share of the nodes that the audit compares with all; about twice LEAST at least of each class of component sizes.
 SHARE, LEAST = 0.01, 64
-#: Nodes that are broadcast at a time, to be compared with all.
-SLICE = 4096
+#: Nodes that are broadcast at a time, to be compared with all, and components with repeated ids that are broadcast at most.
+SLICE, BROADCAST_NAMES = 4096, 100_000
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -213,6 +213,8 @@ def exact(nodes: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rounds: int = 2, most_rounds: int = 6, recall: float = 0.98) -> DataFrame:
     """One row per distinct row of `vectors` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
+    Rows with the same id and different vectors are vectors of their own, each with its links and its component.
+
     Equal vectors are one node with a number of copies. After `rounds` rounds the audit decides whether up to
     `most_rounds` follow; if it still finds less than `recall`, all nodes are compared. No link is below the threshold;
     the links of a component are all found.
@@ -224,7 +226,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rounds: int = 2
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("vector")).distinct()
     fine = "vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vector, x -> x <> 0)"
     valid = rows.filter(fine)
-    nodes = written(valid.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")), "nodes")
+    # A vector is named by its smallest id; where another vector has that name, by a number beyond all ids.
+    named = valid.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    named = written(named.withColumn("again", F.row_number().over(W.partitionBy("first").orderBy("vector"))).withColumn("number", F.monotonically_increasing_id()), "named")
+    beyond = (named.agg(F.max("first")).first()[0] or 0) + 1
+    nodes = named.select("vector", "copies", "first", F.size("vector").alias("dim"), F.when(F.col("again") == 1, F.col("first")).otherwise(F.col("number") + F.lit(beyond)).alias("node"))
     results = []
     for dim, count in sorted(nodes.groupBy("dim").count().collect()):
         own = nodes.filter(F.col("dim") == dim)
@@ -251,13 +257,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rounds: int = 2
             if done >= most_rounds:
                 links, found = linked(exact(now, threshold), links)
                 break
-        results.append(own.select("node", "vector", "copies").join(enlarged(own, found, threshold), "node", "left").join(found, "node", "left").select("node", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+        results.append(own.select("node", "vector", "copies", "first").join(enlarged(own, found, threshold), "node", "left").join(found, "node", "left").select("node", "vector", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     out = rows.select("vec_id", "vector")
     if not results:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
     every = results[0]
     for r in results[1:]:
         every = every.union(r)
+    # A component's smallest node is its smallest id, unless one of the other names stands for a smaller one.
+    other = every.filter(F.col("node") >= beyond).groupBy(F.col("component_id").alias("_of")).agg(F.min("first").alias("_first"))
+    every = every.join(small_side(written(other, "other-names"), BROADCAST_NAMES), F.col("component_id") == F.col("_of"), "left").withColumn("component_id", F.least("component_id", "_first"))
     linked = valid.join(every, "vector").select("vec_id", "n_links", "component_id")
     rest = rows.filter(f"not coalesce({fine}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

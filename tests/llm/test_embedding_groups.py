@@ -37,3 +37,16 @@ def test_full_lists_do_not_hide_links(spark):
 def test_exact_search_when_the_descent_finds_nothing(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "start", lambda nodes, *_, **__: nodes.sparkSession.createDataFrame([], "a long, b long, sim double"))
     check(spark, 12)
+
+
+def test_repeated_ids(spark):
+    """Rows of one id and different vectors are vectors of their own; components are named by the smallest id, whichever vector has it."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [0.01, 1.0]), (1, [1.0, 0.0]), (0, [-1.0, 0.0]), (0, [0.0, -1.0]), (9, [0.01, -1.0]), (5, [0.0, -1.0]), (6, [1.0, 1.0]), (6, [-1.0, 1.0]), (7, None)]
+    out = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    fine = sorted({(i, tuple(v)) for i, v in rows if v})
+    x = np.array([v for _, v in fine])
+    near = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.95
+    reach = np.linalg.matrix_power(near.astype(int), len(fine)) > 0
+    want = [(i, int(near[k].sum()) - 1, min(fine[j][0] for j in np.flatnonzero(reach[k]))) for k, (i, _) in enumerate(fine)] + [(7, 0, 7)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == sorted(want)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in out)

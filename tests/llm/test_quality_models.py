@@ -141,3 +141,14 @@ def test_plain(spark):
     assert [d for d, t, _ in rows if plain([(t or "").encode()])[0]] == [1]
     out = {r.doc_id: r for r in apply_rules(docs).collect()}
     assert len(out) == 5 and out[4].base_failed and out[5].base_failed and out[5].lang == ""
+
+
+def test_more_languages_than_a_pass_holds(spark, monkeypatch):
+    """Each language has its own model, however many there are."""
+    r = random.Random(11)
+    rows = [(100 * k + i, " ".join(r.choices([f"w{k}x{j}" for j in range(12)], k=30)), f"l{k}") for k in range(5) for i in range(8)] + [(9000, "w0x1 w0x2 other", "none"), (9001, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    score = lambda: sorted((x.doc_id, x.n_words, x.loss and round(x.loss, 5)) for x in kn.document_scores(docs, F.col("doc_id") < 9000).collect())
+    want = score()
+    monkeypatch.setattr(kn, "LANGUAGES", 2)
+    assert score() == want and len(want) == len(rows)
