@@ -160,10 +160,10 @@ def run_batch(files: Files, root: str, size: int | None = 50, part_bytes: int =
     else:
         scan, pending = store.read("scan", scanned, SCAN), store.read("pending", listed, PENDING)
     rest = pending.filter(F.col("pos") > at)
-    total = rest.count()
+    total, end = rest.agg(F.count("*"), F.max("pos")).first()
     size = max(1, total) if size is None else size
-    batch = rest if size >= total else rest.orderBy("pos").limit(size)  # the batch is the feature
-    end = batch.agg(F.max("pos")).first()[0]
+    if size < total:
+        end = rest.orderBy("pos").limit(size).agg(F.max("pos")).first()[0]  # the batch is the feature
     chosen = rest.filter(F.col("pos") <= (end if end is not None else at)).select("filename")
     names = [r[0] for r in chosen.collect()] if callable(files) else None  # `size` names
     done = store_books(store, number, scan.join(chosen, "filename", "left_semi"), reader(names), part_bytes, buckets, extract)

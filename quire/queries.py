@@ -183,6 +183,27 @@ def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book_id", "charset", F.sha2(encoding.decoded("content", "charset"), 256).alias("sha256"))
 
 
+# Texts of four languages, written in the character sets of these without a mark.
+LEGACY = (
+    ("gb18030", "天色渐渐暗了下来，他站在窗前望着远处的山峦，心里想着明天的旅程。"), ("big5", "天色漸漸暗了下來，他站在窗前望著遠處的山巒，心裡想著明天的旅程。"),
+    ("shift_jis", "空がだんだん暗くなり、彼は窓の前に立って遠くの山を眺めながら、明日の旅のことを考えていた。"), ("euc-kr", "하늘이 점점 어두워지자 그는 창가에 서서 먼 산을 바라보며 내일의 여행을 생각했다."),
+)
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
+    return text.combine(charset, lambda t, c: t.encode(c))
+
+
+def legacy_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character sets of unmarked texts of 12 characters to a whole sentence, between the ASCII words of the documents."""
+    of = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in LEGACY]), (F.col("book_id") % 4 + 1).cast("int"))
+    words = F.regexp_replace(F.substring("text", 1, 60), r"[^\x00-\x7f]", "")
+    rows = books(spark, sf_dir).select("book_id", of(0).alias("form"), F.concat(F.coalesce(words, F.lit("")), F.substr(of(1), F.lit(1), (F.col("book_id") % 30 + 12).cast("int"))).alias("text"))
+    rows = rows.select("book_id", _encoded("text", "form").alias("content")).withColumn("charset", encoding.charset(F.col("content")))
+    return rows.select("book_id", "charset", F.sha2(encoding.decoded("content", "charset"), 256).alias("sha256"))
+
+
 def _zipped(batches):
     """Archives of one text member each, after a folder and a blank member."""
     import io
@@ -199,8 +220,8 @@ def _zipped(batches):
 
 
 def _archived(rows: DataFrame) -> DataFrame:
-    """(filename, content) of books (book_id, text, author)."""
-    named = rows.select(F.concat(F.lit("《b"), F.col("book_id").cast("string"), F.lit("》作者："), "author", F.lit(".rar")).alias("filename"), "text")
+    """(filename, content) of books (book_id, text, author), packed by all cores, however few files the texts lie in."""
+    named = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "book_id").select(F.concat(F.lit("《b"), F.col("book_id").cast("string"), F.lit("》作者："), "author", F.lit(".rar")).alias("filename"), "text")
     return named.mapInArrow(_zipped, "filename string, content binary")
 
 
@@ -484,7 +505,7 @@ def stream_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.expr("timestampdiff(millisecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))").alias("ms")).withColumn("at", F.timestamp_millis("ms"))
     middle, end = rows.agg(F.expr("percentile_approx(ms, 0.5)"), F.max("ms")).first()
     ticks = [spark.sql(f"select cast(null as {dict(rows.dtypes)['user_id']}) user_id, cast(-1 as bigint) event_id, ms, timestamp_millis(ms) at from values ({(end or 0) + i * 3_600_000}L) as t(ms)") for i in (1, 2)]
-    out = _in_turn(spark, [rows.filter(F.col("ms") <= (middle or 0)), rows.filter(F.col("ms") > (middle or 0)), *ticks], lambda x: settle(x, "user_id", "at", F.col("event_id"), "600 seconds"))
+    out = _in_turn(spark, [rows.filter(F.col("ms") <= (middle or 0)), rows.filter(F.col("ms") > (middle or 0)), *ticks], lambda x: settle(x, "user_id", "at", F.col("event_id"), 600_000))
     return out.filter("user_id is not null").select("user_id", "event_id", "ms")
 
 
@@ -564,7 +585,7 @@ NAMED = (
     min_lines, slug_names, parse_meta, charset_ratios, detect_encoding, extract_members, ingest_library, ingest_plan, ingest_store, ingest_arrivals, stored_windows, catalog_rows, compat_convert, strip_chapters, search_catalog, catalog_page, progress_valid, progress_mru,
     recent_history, book_progress, stream_progress, title_stats, marker_usage, duplicate_titles, quality_issues, issue_top20, library_summary, heading_scan, heading_hierarchy, heading_score, chapter_spans,
     fallback_chapters, fallback_books, catalog_documents, catalog_written, manifest_books, named_files, config_fallback, ingest_batches, fallback_removed, check_counts, repeated_chapters, scroll_saves,
-    settled_searches, saved_progress, scalar_labels, reader_places, progress_lookup, stream_scrolls, stream_searches, search_index, asof_forward, marker_positions, convert_documents, settings_overlay,
+    settled_searches, saved_progress, scalar_labels, reader_places, progress_lookup, stream_scrolls, stream_searches, search_index, asof_forward, marker_positions, convert_documents, settings_overlay, legacy_charsets,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMED}
 
@@ -712,6 +733,7 @@ select book_id, k // 10 || '.' || k % 10 percent, coalesce(left(b, 20), '') prev
     len(regexp_extract_all(text, '[a-zA-Z0-9 \\t\\n\\r.,!?;:"''()《》【】　]')) common from documents)
 select book_id, n, broken::bigint broken, ideographs::bigint ideographs, common::bigint common, case when n < 100 or broken * 20 > n then false else ideographs * 10 > n or common * 2 > n end plausible from c""",
     "detect_encoding": "select doc_id book_id, case lang when 'de' then 'utf-16le' when 'es' then 'utf-16be' else 'utf-8' end charset, sha256(coalesce(text, '')) sha256 from documents",
+    "legacy_charsets": "with t as (select doc_id, ['gb18030', 'big5', 'shift_jis', 'euc-kr'][doc_id % 4 + 1] charset, [" + ", ".join(f"'{x}'" for _, x in LEGACY) + "][doc_id % 4 + 1] words, coalesce(regexp_replace(left(text, 60), '[^\\x00-\\x7f]', '', 'g'), '') start from documents) select doc_id book_id, charset, sha256(start || left(words, doc_id % 30 + 12)) sha256 from t",
     "extract_members": "select '《b' || doc_id || '》作者：' || source || '.rar' filename, sha256(text) sha256, 'book a.txt b_c_.TXT entry_3 a.txt_1' names from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
     "ingest_library": f"""with recursive {_STORED_SQL.format(text='text', where='true')} select book_id, title, author, n_parts n_assets from books join counts using (book_id)""",
     "ingest_plan": f"""with recursive {_STORED_SQL.format(text='text', where='true')} select book_id id, title, author, n_parts, total_size from books join counts using (book_id)""",

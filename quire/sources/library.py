@@ -21,7 +21,8 @@ def scan_archives(spark: SparkSession, folder: str, glob: str = "*.[rR][aA][rR]"
     """(filename, length, content) of a folder's archives; with `names`, of these alone, so that no other is opened."""
     if names == []:
         return spark.createDataFrame([], "filename string, length bigint, content binary")
-    places = folder if names is None else [f"{folder.rstrip('/')}/{re.sub(r'([][{}*?])', chr(92) * 2 + r'1', n)}" for n in names]  # names are no patterns
+    plain = lambda n: re.sub(r"([][{}*?])", r"\\\1", n)  # noqa: E731  names are no patterns
+    places = folder if names is None else [f"{folder.rstrip('/')}/{plain(n)}" for n in names]
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(places)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 

@@ -70,55 +70,57 @@ def clear(spark: SparkSession, root: str) -> None:
 
 
 class Moved(StatefulProcessor):
-    """Per reader and book the last place that was kept. A key that rests for `rest` milliseconds starts anew."""
+    """Per reader and book the last place that was kept, and the event time until which it counts: `rest` milliseconds past the last scroll."""
 
     def __init__(self, least: int, rest: int):
         self.least, self.rest = least, rest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "position long")
+        self.handle, self.last = handle, handle.getValueState("last", "position long, until long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
-        before, every = last, pd.concat(list(rows)).sort_values("seq", kind="stable")
-        kept = []
+        every, kept = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
         for at in every["position"]:
             moves = not pd.isna(at) and abs(at - last) > self.least
             last = int(at) if moves else last
             kept.append(moves)
-        if last != before or not self.last.exists():
-            self.last.update((last,))
+        until = int(every["millis"].max()) + self.rest if self.rest else 0
+        self.last.update((last, until))
         if self.rest:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.rest)
-        yield every[kept][["user_id", "book_id", "seq", "position"]]
+            self.handle.registerTimer(until)
+        if any(kept):
+            yield every[kept][["user_id", "book_id", "seq", "position"]]
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        yield pd.DataFrame({"user_id": [], "book_id": [], "seq": [], "position": []})
+        if self.last.exists() and self.last.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():  # no scroll since the timer was set
+            self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def emit_moved(scrolls: DataFrame, least: int = 100, rest: int = 0) -> DataFrame:
+def emit_moved(scrolls: DataFrame, least: int = 100, rest: int = 0, time: str = "at", late: str = "0 seconds") -> DataFrame:
     """The stream of those `scrolls` (user_id, book_id, seq, position) over `least` away from the reader's last kept one in
-    the book, which is 0 at first. The state is one number a reader and book; with `rest` it goes after so many
-    milliseconds without a scroll.
+    the book, which is 0 at first. The state is one place a reader and book; with `rest` it goes when the event time `time`
+    of the stream is so many milliseconds past the reader's last scroll there, and rows over `late` behind it are dropped.
 
     Rows of a micro-batch are taken by seq; micro-batches follow each other as they come. Needs the RocksDB state store.
     """
-    rows = scrolls.select("user_id", "book_id", "seq", "position")
-    return rows.groupBy("user_id", "book_id").transformWithStateInPandas(Moved(least, rest), rows.schema, "append", "processingtime" if rest else "none")
+    names = ["user_id", "book_id", "seq", "position"]
+    out = scrolls.select(*names).schema
+    rows = scrolls.withWatermark(time, late).select(*names, time, F.unix_millis(time).alias("millis")) if rest else scrolls.select(*names)
+    return rows.groupBy("user_id", "book_id").transformWithStateInPandas(Moved(least, rest), out, "append", "eventtime" if rest else "none")
 
 
-def settle(values: DataFrame, key: str, time: str, order: Column, gap: str, late: str = "0 seconds") -> DataFrame:
-    """The stream of the last of each run of `values` of a key that follow each other within `gap`, when the run is over.
+def settle(values: DataFrame, key: str, time: str, order: Column, delay: int = 250, late: str = "0 seconds") -> DataFrame:
+    """The stream of the last of each run of `values` of a key that follow each other in less than `delay` milliseconds, when the run is over.
 
     Runs are session windows of the event time `time`; of equal times the greater `order` is later. A run is over when an
-    event of the whole stream is `gap` and `late` past its end; rows that come later than `late` after it are dropped.
+    event of the whole stream is `delay` and `late` past its end; rows that come later than `late` after it are dropped.
     """
     rest = [c for c in values.columns if c != key]
+    gap = f"{delay * 1000 - 1} microseconds"  # windows that touch are one
     runs = values.withWatermark(time, late).groupBy(F.session_window(time, gap), F.col(key))
     return runs.agg(F.max_by(F.struct(*rest), F.struct(F.col(time), order)).alias("x")).select(key, "x.*")

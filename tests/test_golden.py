@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import encoding, text
 from quire.operators import catalog, chunking, headings, manifest, progress, quality, reader
-from quire.plans.ingest import run_batch
-from quire.sources import library, snapshots
+from quire.sources import library
 from quire.streaming.progress import keep_most_recent
 
 
@@ -145,9 +144,28 @@ def test_charsets(spark):
     assert rows(named, "s") == [("gb18030",), ("utf-16le",), ("shift_jis",), ("utf-8",), ("windows-1252",)]
 
 
+SAMPLES = {
+    "gb18030": ["天色渐渐暗了下来，他站在窗前望着远处的山峦。", "春眠不觉晓，处处闻啼鸟。", "第一章 风起云涌", "“你来了？”老人抬起头。"],
+    "big5": ["天色漸漸暗了下來，他站在窗前望著遠處的山巒。", "春眠不覺曉，處處聞啼鳥。", "第一章 風起雲湧", "「你來了？」老人抬起頭。"],
+    "shift_jis": ["空がだんだん暗くなり、彼は窓の前に立った。", "吾輩は猫である。名前はまだ無い。", "第一章 風の始まり", "「来たのか」と老人は笑った。"],
+    "euc-kr": ["하늘이 점점 어두워지자 그는 창가에 서서 먼 산을 바라보았다.", "나라의 말이 중국과 달라 문자와 서로 통하지 아니하니", "제일장 바람이 분다", "노인이 고개를 들고 물었다."],
+}
+
+
+def test_unmarked_legacy_texts():
+    """All parts of six characters and more of the samples, and bytes that are no text of these languages."""
+    right = [(encoding.legacy_charset(t[i:j].encode(c)), c) for c, ts in SAMPLES.items() for t in ts for i in range(0, len(t) - 5, 3) for j in range(i + 6, len(t) + 1)]
+    named = [(got, c) for (got, sure), c in right if sure > encoding.CONFIDENT]
+    assert len(named) >= 0.97 * len(right) and sum(got == c for got, c in named) >= 0.995 * len(named)
+    assert encoding.legacy_charset(b"plain") == (None, 0.0)
+    assert encoding.legacy_charset("Größe und Maß für Übung".encode("latin-1"))[0] is None
+
+
 def test_safe_names_and_broken_archives(spark):
-    members = spark.createDataFrame([("a", 0, "x/../y.txt"), ("a", 1, "x/y.txt"), ("a", 2, "x/y.txt")], "filename string, member_pos int, member_name string")
-    assert rows(library.safe_names(members).orderBy("member_pos"), "safe_name") == [("x/y.txt",), ("x/y.txt_1",), ("x/y.txt_2",)]
+    names = ["x/../y.txt", "x/y.txt", "z\\y.txt", "..", "dir\\a b.txt", "p/q/", "", "a[1]?*é.txt", "卷/第 一章.txt", "y.txt_1", "./."]
+    members = spark.createDataFrame([("a", i, n) for i, n in enumerate(names)] + [("b", 0, "y.txt")], "filename string, member_pos int, member_name string")
+    found = rows(library.safe_names(members).orderBy("filename", "member_pos"), "safe_name")
+    assert [x for (x,) in found] == ["y.txt", "y.txt_1", "y.txt_2", "entry_3", "a_b.txt", "q", "entry_6", "a_1_.txt", "第_一章.txt", "y.txt_1", "entry_10", "y.txt"]
     assert library.members_of(spark.createDataFrame([("a", b"no archive"), ("b", None)], "filename string, content binary")).count() == 0
 
 
@@ -175,27 +193,6 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     assert run() == [("A", 4), ("C", 3)]
 
 
-def test_versions_and_batches_that_go_on(spark, tmp_path):
-    assert snapshots.read_latest(spark, f"{tmp_path}/none", "a string").count() == 0
-    for i in range(4):
-        held = snapshots.read_latest(spark, f"{tmp_path}/t", "a int")
-        snapshots.write_next(held.union(spark.createDataFrame([(i,)], "a int")), f"{tmp_path}/t")
-    (tmp_path / "t" / "v9").mkdir()  # a version that was never completed
-    assert snapshots.versions(spark, f"{tmp_path}/t") == [2, 3]
-    assert rows(snapshots.read_latest(spark, f"{tmp_path}/t", "a int").orderBy("a"), "a") == [(0,), (1,), (2,), (3,)]
-    text = "\n".join("zeile" for _ in range(12)).encode()
-    files = spark.createDataFrame([(f"b{i}.rar", bytes([i])) for i in range(5)], "filename string, content binary")
-    members = spark.createDataFrame([(f"b{i}.rar", p, n, False, c) for i in range(5) for p, (n, c) in enumerate([("x.txt", b" "), ("y.TXT", text if i != 3 else b"kurz"), ("z.txt", b"later")])], "filename string, member_pos int, member_name string, is_dir boolean, content binary")
-    first = run_batch(files, members, f"{tmp_path}/run", 2)
-    assert (first["processed"], first["failed"], first["remaining"], first["batches"]) == (2, 0, 3, 2)
-    second, third = (run_batch(files, members, f"{tmp_path}/run", 2) for _ in range(2))
-    assert (second["processed"], second["failed"], second["remaining"]) == (1, 1, 1) and (third["books"], third["remaining"]) == (4, 0)
-    fewer = run_batch(files.filter("filename <> 'b0.rar'"), members, f"{tmp_path}/run", 2)
-    assert (fewer["removed"], fewer["books"]) == (1, 3)
-    gone = snapshots.read_latest(spark, f"{tmp_path}/run/obsolete", "book_id string, asset string")
-    assert rows(gone, "asset") == [("/books/b0-佚名/part_001.txt",)]
-
-
 def test_lenient_text(spark):
     data = "﻿汉字ab".encode()
     df = spark.createDataFrame([(data,), (data[:5],), (data[4:],)], "c binary")
