@@ -75,13 +75,21 @@ def ingest(files: DataFrame, manifest: DataFrame, artifacts: DataFrame, members:
 
 def parts_table(spark: SparkSession, root: str, buckets: int | None = None) -> str:
     """The name, in this session, of the table of all stored parts of a library, live or not. The number of buckets is that of the library's first run."""
-    buckets = Store(spark, root).last().get("buckets", buckets or BUCKETS)
+    store = Store(spark, root)
+    store.make("parts")
+    buckets = store.last().get("buckets", buckets or BUCKETS)
     name = f"quire_parts_{hashlib.sha256(f'{root.rstrip("/")} {buckets}'.encode()).hexdigest()[:16]}"
     if not spark.catalog.tableExists(name):
         spark.sql(f"create table {name} ({PARTS.replace('bigint', 'long')}, batch long) using parquet options (compression 'zstd') partitioned by (batch) clustered by (book_id) sorted by (book_id, part_no) into {buckets} buckets location '{root.rstrip('/')}/parts'")
     return name
 
 
+def refresh(spark: SparkSession, name: str) -> None:
+    """Let the session see the parts' folders as they are: other sessions write and sweep them too."""
+    spark.sql(f"msck repair table {name} sync partitions")
+    spark.catalog.refreshTable(name)
+
+
 def manifest_of(spark: SparkSession, root: str) -> DataFrame:
     """The manifest that counts."""
     store = Store(spark, root)
@@ -94,17 +102,19 @@ def live_parts(spark: SparkSession, root: str) -> DataFrame:
     The batches are compared by a difference, as an equality would make Spark deal the parts anew by both columns.
     """
     name, books = parts_table(spark, root), manifest_of(spark, root).select(F.col("book_id").alias("_book"), F.col("batch").alias("_batch"))
-    spark.catalog.refreshTable(name)
-    rows = spark.table(name).join(books, (F.col("book_id") == F.col("_book")) & (F.col("batch") - F.col("_batch") == 0))
+    refresh(spark, name)
+    rows = spark.table(name).filter(F.col("batch") <= Store(spark, root).last()["number"]).join(books, (F.col("book_id") == F.col("_book")) & (F.col("batch") - F.col("_batch") == 0))
     return rows.select(*[c.split()[0] for c in PARTS.split(", ")])
 
 
 def live_indexes(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
     """Indexes (book, chapters) of the books of the manifest."""
     store, manifest = Store(spark, root), manifest if manifest is not None else manifest_of(spark, root)
-    if not store.children("indexes"):
+    last = store.last()["number"]
+    places = [store.place("indexes", x) for x in store.children("indexes") if x.startswith("batch=") and int(x[6:]) <= last]  # not what a lost writer has left
+    if not places:
         return spark.createDataFrame([], INDEX)
-    rows = spark.read.schema(f"{INDEX}, batch long").parquet(f"{store.root}/indexes")
+    rows = spark.read.schema(f"{INDEX}, batch long").option("basePath", f"{store.root}/indexes").parquet(*places)
     return rows.join(manifest.select(F.col("book_id").alias("_book"), F.col("batch").alias("_batch")), (F.col("book.id") == F.col("_book")) & (F.col("batch") == F.col("_batch"))).select("book", "chapters")
 
 
@@ -116,9 +126,9 @@ def store_books(store: Store, number: int, todo: DataFrame, contents: DataFrame,
     books = store.write(decoded_books(todo, contents, extract).select("book_id", "hash", "title", "author", "text"), "work", number)
     store.remove([f"parts/batch={number}"])
     parts = chunk_parts(books, part_bytes, content=True).withColumn("batch", F.lit(number).cast("long"))
-    spark.catalog.refreshTable(name)
+    refresh(spark, name)
     parts.repartition(buckets, "book_id").write.insertInto(name)
-    spark.catalog.refreshTable(name)
+    refresh(spark, name)
     indexes, rows = described(spark.table(name).filter(F.col("batch") == number).select("book_id", "part_no", "size"), books)
     store.write(indexes, "indexes", f"batch={number}")
     return store.write(rows.withColumn("batch", F.lit(number).cast("long")), "processed", number)
@@ -202,7 +212,7 @@ def ingest_stream(files: DataFrame, root: str, part_bytes: int = PART_BYTES, ext
 def unreferenced(spark: SparkSession, root: str) -> DataFrame:
     """(kind, book_id, batch) of the stored parts and indexes that the manifest doesn't name."""
     manifest, name = manifest_of(spark, root).select("book_id", "batch"), parts_table(spark, root)
-    spark.catalog.refreshTable(name)
+    refresh(spark, name)
     found = spark.table(name).select(F.lit("parts").alias("kind"), "book_id", "batch")
     if Store(spark, root).children("indexes"):
         found = found.union(spark.read.schema(f"{INDEX}, batch long").parquet(f"{root.rstrip('/')}/indexes").select(F.lit("index"), "book.id", "batch"))
@@ -219,7 +229,7 @@ def sweep(spark: SparkSession, root: str, grace: int = 2, dead_share: float = 0.
     store = Store(spark, root)
     last = store.last()
     manifest, name = store.read("manifest", last.get("manifest"), MANIFEST), parts_table(spark, root)
-    spark.catalog.refreshTable(name)
+    refresh(spark, name)
     held = spark.table(name).select("book_id", "batch").distinct()
     shares = held.join(manifest.select("book_id", "batch", F.lit(1).alias("live")), ["book_id", "batch"], "left").groupBy("batch").agg(F.count("*").alias("n"), F.count("live").alias("live"))
     marked = [r.batch for r in shares.filter((F.col("live") > 0) & (F.col("n") - F.col("live") > F.col("n") * dead_share)).collect()]  # a row a batch
@@ -233,7 +243,7 @@ def sweep(spark: SparkSession, root: str, grace: int = 2, dead_share: float = 0.
         store.write(live_indexes(spark, root, moved), "indexes", f"batch={number}")
         store.write(manifest.withColumn("batch", F.when(F.col("batch").isin(marked), F.lit(number).cast("long")).otherwise(F.col("batch"))), "manifest", number)
         store.commit(number, {**{k: v for k, v in last.items() if k != "number"}, "manifest": number})
-        spark.catalog.refreshTable(name)
+        refresh(spark, name)
     records = [store.record(n) for n in store.numbers()[-grace:]]
     manifests = {r["manifest"] for r in records if r.get("manifest") is not None}
     used = {r[0] for m in manifests for r in store.read("manifest", m, MANIFEST).select("batch").distinct().collect()}
@@ -243,5 +253,5 @@ def sweep(spark: SparkSession, root: str, grace: int = 2, dead_share: float = 0.
     old = [f"{kind}/{x}" for kind, live in tables.items() for x in store.children(kind) if x.isdigit() and int(x) not in live and int(x) <= number]
     store.forget(grace)
     store.remove([*gone["parts"], *gone["indexes"], *old])
-    spark.catalog.refreshTable(name)
+    refresh(spark, name)
     return {"moved": len(marked), "parts": len(gone["parts"]), "indexes": len(gone["indexes"]), "tables": len(old)}

@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.ingest import live_indexes, manifest_of, parts_table
+from ..plans.ingest import live_indexes, manifest_of, parts_table, refresh
 
 
 class LibraryError(Exception):
@@ -35,6 +35,7 @@ def book_bytes(spark: SparkSession, root: str, book_id: str, ahead: int = 1) ->
     if found is None or row is None or found[0] < 1:
         raise LibraryError(404, f"no content of {book_id}")
     table, tag = parts_table(spark, root), f"book-{uuid.uuid4().hex}"
+    refresh(spark, table)
 
     def read(number: int) -> bytes:
         spark.addTag(tag)

@@ -33,6 +33,10 @@ class Store:
         path = self._path(place)
         return sorted(x.getPath().getName() for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
+    def make(self, place: str) -> None:
+        """A folder, if there is none."""
+        self._fs.mkdirs(self._path(place))
+
     def remove(self, places: list[str]) -> None:
         """Delete folders, several at a time; those that aren't there don't matter."""
         with ThreadPoolExecutor(16) as pool:
