@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, forget, written
+from .common import as_bytes, byte_slices, forget, released, written
 
 #: Tokens of a language: its start, shapes from 1, and up to so many words from FIRST.
 FIRST, VOCABULARY = 256, 65_280
@@ -43,7 +43,7 @@ MEMO_WORDS, UNIT_EVENTS, UNIT_DOCS = 250_000, 1_000_000, 60_000
 #: Bytes of text that are split into words at a time; word objects take several times as much.
 TEXT_BYTES = 3 << 20
 #: Events of a shard on average, shards at most, and events of a shard that one task answers.
-SHARD_EVENTS, SHARDS, SALT_EVENTS = 4_000_000, 256, 64_000_000
+SHARD_EVENTS, SHARDS, SALT_EVENTS = 2_000_000, 256, 64_000_000
 #: Tokens of the lower order that one row holds.
 SLICE = 4096
 SPREAD, GATHER = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
@@ -166,8 +166,8 @@ def vocabularies(docs: DataFrame, most: int = VOCABULARY, fit: Callable | None =
             often = (counts > 1) | (shard < 0)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * int(often.sum()), pa.string()), pa.array([shard] * int(often.sum()), pa.int32()), pa.array(keys[often].view(np.int64)), pa.array(counts[often].view(np.int64))], ["lang", "shard", "h", "n"])
 
-    rows = docs.select("lang", "text").mapInArrow(count, "lang string, shard int, keys binary, counts binary").repartition("lang", "shard").sortWithinPartitions("lang", "shard")
-    rows = written(rows.mapInArrow(merge, "lang string, shard int, h long, n long"), "words")
+    rows = docs.select("lang", "text").mapInArrow(released(count), "lang string, shard int, keys binary, counts binary").repartition("lang", "shard").sortWithinPartitions("lang", "shard")
+    rows = written(rows.mapInArrow(released(merge), "lang string, shard int, h long, n long"), "words")
     totals = {r[0]: r[1] for r in rows.filter("shard < 0").select("lang", "n").collect()}
     words = rows.filter(F.col("lang").isin(*totals) & (F.col("shard") >= 0)) if totals else rows.limit(0)
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long") - 32)  # 64 documents: step 64
@@ -277,10 +277,10 @@ def count_bigrams(docs: DataFrame, sent, shards: int, salts: int, fit: Callable
         if last is not None:
             yield out()
 
-    rows = docs.select("lang", "fold", "text").mapInArrow(count, COUNTS)
+    rows = docs.select("lang", "fold", "text").mapInArrow(released(count), COUNTS)
     if salts > 1:
-        rows = rows.repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "fold").mapInArrow(merge, COUNTS)
-    return rows.repartition("lang", "shard").sortWithinPartitions("lang", "shard", "fold").mapInArrow(beside, "lang string, shard int, k0 binary, c0 binary, k1 binary, c1 binary")
+        rows = rows.repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "fold").mapInArrow(released(merge), COUNTS)
+    return rows.repartition("lang", "shard").sortWithinPartitions("lang", "shard", "fold").mapInArrow(released(beside), "lang string, shard int, k0 binary, c0 binary, k1 binary, c1 binary")
 
 
 def discounts(t: list[float]) -> np.ndarray:
@@ -344,7 +344,7 @@ def train(model: DataFrame) -> dict[str, tuple[Lower, Lower]]:
 
     schema = "lang string, slice int, sums binary"
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lang, s, data in model.mapInArrow(sums, schema).groupBy("lang", "slice").applyInPandas(add, schema).collect():
+    for lang, s, data in model.mapInArrow(released(sums), schema).groupBy("lang", "slice").applyInPandas(add, schema).collect():
         stats, of_counts = found.setdefault(lang, (np.zeros((3, 5, TOKENS), np.int64), np.zeros((3, 4), np.int64)))
         x = unpacked(data, np.uint64).astype(np.int64)
         stats[:, :, s * SLICE : (s + 1) * SLICE] = x[: 15 * SLICE].reshape(3, 5, SLICE)
@@ -500,13 +500,13 @@ def language_scores(docs: DataFrame, used: Column, measure: Callable | None, fie
         if unit is not None:
             yield from out()
 
-    probes = prepared(docs, *[used.cast("long").alias("trained")] * trained).select("doc_id", "lang", "text", "fold", *["trained"] * trained, "row").mapInArrow(probe, PROBES)
+    probes = prepared(docs, *[used.cast("long").alias("trained")] * trained).select("doc_id", "lang", "text", "fold", *["trained"] * trained, "row").mapInArrow(released(probe), PROBES)
     none = F.lit(None).cast
     arrays = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("lang", "shard", "salt", F.lit(0).alias("kind"), F.lit(0).alias("fold"), none("long").alias("unit"), none("int").alias("docs"), none("int").alias("parts"), F.col("k0").alias("keys"), F.col("c0").alias("places"), F.col("k1").alias("times"), F.col("c1").alias("directory"))
     by = ["lang", "shard", "salt"]
-    answers = arrays.union(probes).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(answer, "unit long, lang string, shard int, fold int, parts int, total binary, directory binary")
+    answers = arrays.union(probes).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(released(answer), "unit long, lang string, shard int, fold int, parts int, total binary, directory binary")
     schema = ", ".join([f"{n} {'string' if t == pa.string() else 'long'}" for n, t in columns] + ["loss double"])
-    out = answers.repartition("unit").sortWithinPartitions("unit", "lang", "shard", "fold").mapInArrow(gather, schema)
+    out = answers.repartition("unit").sortWithinPartitions("unit", "lang", "shard", "fold").mapInArrow(released(gather), schema)
     out = out.select("doc_id", "lang", "n_words", "loss", *[(F.col(n) == 1).alias(n) if n == "trained" else n for n, _ in columns[3:]])
     out._uses = (model,)
     return out
