@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, small_side, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Line keys of a shard at most on average, and probes that one task answers at a time.
-SHARD_KEYS = 500_000
-PROBES = 500_000
+#: Line keys of a shard at most on average (17 bytes each in its arrays), and probes of a piece of it.
+SHARD_KEYS = 100_000
+PROBES = 400_000
+#: Shards in more than one piece, of which the numbers are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 #: Bits of the displacement hash per key, in the perfect hash's levels.
 GAMMA = 1.5
 
@@ -95,56 +97,59 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "hash": hashed.to_bytes(), "prints": prints.tobytes(), "counts": counts.tobytes(), "firsts": firsts.tobytes(), "rest": rest.tobytes()}])
 
 
+class ShardIndex:
+    """A shard's arrays as a task holds them: which probes name a line of another, smaller document."""
+
+    def __init__(self, row: dict):
+        self.hashed = PerfectHash.from_bytes(row["hash"])
+        self.prints, self.counts, self.firsts = (np.frombuffer(row[k], t) for k, t in (("prints", np.int64), ("counts", np.uint8), ("firsts", np.int64)))
+        self.rest = {(a, b): (n, f) for a, b, n, f in np.frombuffer(row["rest"], np.int64).reshape(-1, 4).tolist()}
+
+    def lost(self, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        place = self.hashed.places(a.astype(np.uint64))
+        own = (place >= 0) & (self.prints[place] == b)
+        out = own & (self.counts[place] >= 2) & (self.firsts[place] != doc)
+        if self.rest:
+            for i in np.flatnonzero(~own).tolist():
+                n, f = self.rest.get((int(a[i]), int(b[i])), (0, 0))
+                out[i] = n >= 2 and f != doc[i]
+        return out
+
+
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: blocks of probes beside their shard's arrays -> (doc_id, keys): the line hashes that the document loses."""
-    held, index = None, None
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held != r["shard"]:
-                held, index = r["shard"], (PerfectHash.from_bytes(r["hash"]), *(np.frombuffer(r[k], t) for k, t in (("prints", np.int64), ("counts", np.uint8), ("firsts", np.int64))), {(a, b): (n, f) for a, b, n, f in np.frombuffer(r["rest"], np.int64).reshape(-1, 4).tolist()})
-            hashed, prints, counts, firsts, rest = index
-            a, b, doc = (np.frombuffer(r[k], np.int64) for k in ("a", "b", "docs"))
-            place = hashed.places(a.astype(np.uint64))
-            own = (place >= 0) & (prints[place] == b)
-            lost = own & (counts[place] >= 2) & (firsts[place] != doc)
-            if rest:
-                for i in np.flatnonzero(~own).tolist():
-                    n, f = rest.get((int(a[i]), int(b[i])), (0, 0))
-                    lost[i] = n >= 2 and f != doc[i]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lost]), pa.array(a[lost]), pa.array(b[lost])], ["doc_id", "a", "b"])
-
-
-def pack_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: (shard, doc_id, a, b) sorted by shard -> one row of arrays for up to PROBES probes of a shard."""
-    fields = pa.schema([("shard", pa.int32()), ("docs", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-
-    def row(shard: int, parts: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"shard": shard} | {k: np.concatenate([p[i] for p in parts]).tobytes() for i, k in enumerate(("docs", "a", "b"))}], fields)
-
-    held: int | None = None
-    parts: list[tuple] = []
+    """Task: rows by shard, each shard's arrays before its probes -> (doc_id, a, b): the line hashes that the document loses."""
+    index = None
     for batch in batches:
-        shard = batch["shard"].to_numpy()
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
-            if start == end:
-                continue
-            if parts and (shard[start] != held or sum(len(p[0]) for p in parts) > PROBES):
-                yield row(held, parts)
-                parts = []
-            held = int(shard[start])
-            parts.append(tuple(batch[k].slice(start, end - start).to_numpy() for k in ("doc_id", "a", "b")))
-    if parts:
-        yield row(held, parts)
-
-
-def line_index(lines: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """Index over the distinct line hashes of `lines` (doc_id, a, b): a row of arrays per shard; and the number of shards."""
-    keys = written(lines.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "line-keys")
-    shards = max(1, math.ceil(keys.count() / shard_keys))
+        arrays = batch.column("arrays")
+        heads = np.flatnonzero(arrays.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for head, end in zip([-1, *heads], [*heads, len(batch)], strict=True):
+            if head >= 0:
+                index = ShardIndex(arrays[head].as_py())
+            if end > head + 1:
+                doc, a, b = (batch.column(k).slice(head + 1, end - head - 1).to_numpy() for k in ("doc_id", "a", "b"))
+                lost = index.lost(doc, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x[lost]) for x in (doc, a, b)], ["doc_id", "a", "b"])
+
+
+def lost_lines(lines: DataFrame, shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
+    """(doc_id, a, b) of the lines' hashes (the same columns) that two or more documents hold, but for the smallest doc_id.
+
+    Shards have about `shard_keys` distinct lines. One with more than `probes` probes, as a very common line makes it, is
+    cut into pieces by document: its arrays go to each piece. So arrays are sent once for many probes at any size of table.
+    """
+    keys = written(lines.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("held")), "line-keys")
+    shard = F.pmod("a", F.lit(max(1, math.ceil(keys.count() / shard_keys)))).alias("shard")
+    pieces = keys.groupBy(shard).agg(F.ceil(F.sum("held") / probes).alias("pieces")).filter("pieces > 1")
+    pieces = small_side(written(pieces, "line-pieces"), BROADCAST_SHARDS)
     # the count array says how many documents hold the line: 1, or 2 for two or more
-    rows = keys.select(F.pmod("a", F.lit(shards)).cast("int").alias("shard"), "a", "b", F.when(F.col("first") < F.col("last"), 2).otherwise(1).cast("long").alias("n"), "first")
-    return rows.groupBy("shard").applyInPandas(build_shard, "shard int, hash binary, prints binary, counts binary, firsts binary, rest binary"), shards
+    rows = keys.select(shard, "a", "b", F.when(F.col("first") < F.col("last"), 2).otherwise(1).cast("long").alias("n"), "first")
+    arrays = "hash binary, prints binary, counts binary, firsts binary, rest binary"
+    index = rows.groupBy("shard").applyInPandas(build_shard, f"shard long, {arrays}").select("shard", F.struct("hash", "prints", "counts", "firsts", "rest").alias("arrays"))
+    index = index.join(pieces, "shard", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    asked = lines.select(shard, "doc_id", "a", "b").join(pieces, "shard", "left").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+    dealt = asked.unionByName(index, allowMissingColumns=True).repartition("shard", "piece")
+    dealt = dealt.sortWithinPartitions("shard", F.col("arrays").isNull()).select("doc_id", "a", "b", "arrays")
+    return dealt.mapInArrow(released(answer), "doc_id long, a long, b long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KEYS, carry: bool = False) -> DataFrame:
@@ -152,21 +157,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = SHARD_KE
 
     A line's key is `line_key`; keys of at least `min_chars` code points held by two or more documents lose all their
     lines except in the smallest doc_id that holds them. Keys are known by two 64-bit hashes: one indexes the shard's
-    perfect hash, the other is the fingerprint. Probes are packed in blocks of bounded size, so one very common line
-    spreads over many rows, which the join with the few rows of arrays can split.
+    perfect hash, the other is the fingerprint. Probes follow their shard's arrays in the same task; one very common line
+    is probed in many tasks (`lost_lines`).
 
     Null or empty text: one empty line. Null doc_id: the row stays whole and doesn't count. Rows with the same doc_id
     are parts of one document. Columns besides doc_id and text are ignored. Empty tables give an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *[F.struct("*").alias("original")] * carry)
-    found = rows.filter("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
-    lines = written(found.select("doc_id", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")), "lines")
-    index, shards = line_index(lines, shard_keys)
-    probes = lines.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).sortWithinPartitions("shard").mapInArrow(pack_probes, "shard int, docs binary, a binary, b binary")
-    lost = probes.join(index, "shard").mapInArrow(answer, "doc_id long, a long, b long")
+    ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit(""))
+    found = docs.filter("doc_id is not null").select(ids, F.explode(F.split(text, "\n", -1)).alias("line")).select("doc_id", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    lost = lost_lines(written(found.select("doc_id", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")), "lines"), shard_keys)
     # The hashes that a document loses, sorted, and the steps of a bisection over them: each line takes a few, however many lines and hashes there are.
     lost = lost.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("lost")).withColumn("steps", F.sequence(F.lit(1), F.length(F.bin(F.size("lost")))))
-    split = rows.join(lost, "doc_id", "left")
+    # a carried row has the text already, which then goes through the join once
+    if carry:
+        split = docs.select(ids, F.struct("*").alias("original")).join(lost, "doc_id", "left").withColumn("text", F.coalesce("original.text", F.lit("")))
+    else:
+        split = docs.select(ids, text.alias("text")).join(lost, "doc_id", "left")
     some, lines = F.col("lost").isNotNull(), F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
     probes = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.when(F.length(x["key"]) >= min_chars, F.struct(F.xxhash64(x["key"]).alias("a"), F.xxhash64(F.lit(1), x["key"]).alias("b"))).alias("hash")))
 

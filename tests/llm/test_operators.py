@@ -17,7 +17,7 @@ from quire.llm import queries
 from quire.llm.chat_format import example_texts, expand, format_conversations, read_back
 from quire.llm.embedding_dedup import near_duplicates
 from quire.llm.license_scan import scan_licenses
-from quire.llm.line_dedup import PerfectHash, dedup_lines
+from quire.llm.line_dedup import PerfectHash, dedup_lines, lost_lines
 from quire.llm.packing import best_fit_packing
 from quire.llm.quality_classifier import classify_quality, trusted_ids
 from quire.llm.quality_rules import apply_rules
@@ -110,6 +110,19 @@ def test_line_dedup_edge_cases(spark, odd, none):
     assert dedup_lines(odd, carry=True).select("original.*").exceptAll(odd).count() == 0
 
 
+def test_lost_lines_in_pieces(spark):
+    """Shards in many pieces, one line with a third of all probes, equal first halves of hashes, against brute force."""
+    rng = np.random.default_rng(2)
+    rows = [(int(d), int(k) % 211 - 100, int(k)) for d, k in zip(rng.integers(0, 400, 3000), rng.integers(0, 1500, 3000), strict=True)] + [(int(d), 7, 7) for d in rng.permutation(1500)]
+    held = {}
+    for d, a, b in rows:
+        held.setdefault((a, b), set()).add(d)
+    want = sorted((d, a, b) for d, a, b in rows if len(held[a, b]) > 1 and d != min(held[a, b]))
+    lines = spark.createDataFrame(rows, "doc_id long, a long, b long")
+    for shard_keys, probes in ((40, 25), (100_000, 200), (40, 400_000)):
+        assert sorted(map(tuple, lost_lines(lines, shard_keys, probes).collect())) == want
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     made = PerfectHash.from_bytes(PerfectHash.of(keys).to_bytes())
