@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python task holds at a time.
 BATCH_BYTES = 8 << 20
+#: Spark's setting of the bytes that an Arrow batch holds at most; tables are written with BATCH_BYTES.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES meanwhile: both ends of a task's pipe hold one, and the JVM's grows by doubling."""
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_BYTES)
+        else:
+            spark.conf.set(ARROW_BYTES, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, forget, small_side, written
+from .common import as_bytes, byte_slices, forget, released, small_side, written
 from .components import connected_components
 
 #: Sizes of a band grow by this factor.
 RATIO = 1.4
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 1024
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
+#: Bytes of text whose shingles a task holds at a time.
+STEP_BYTES = 2 << 20
 #: Ids that are broadcast at most to pick the texts of candidates (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -119,13 +121,13 @@ def heads(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", STEP_BYTES):
             sets = [shingle_set(t.lower().split(), width, known) for t in as_bytes(batch["text"])]
             k1 = [int(np.add.reduce(s).astype(np.int64)) if len(s) else 0 for s in sets]
             k2 = [int(np.bitwise_xor.reduce(mix(~s)).astype(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *(pa.array(x, pa.int64()) for x in (list(map(len, sets)), k1, k2))], ["doc_id", "h", "n", "k1", "k2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(released(run), "doc_id long, h long, n long, k1 long, k2 long")
 
 
 def piece_keys(nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -134,14 +136,14 @@ def piece_keys(nodes: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", STEP_BYTES):
             found = [(node, b, sketch(s, b, *pieces_of(int(edges[b]), int(edges[b + 1]) - 1, percent))[0]) for node, text in zip(batch["node"].to_pylist(), as_bytes(batch["text"]), strict=True) for s in [shingle_set(text.lower().split(), width, known)] for b in bands_of(len(s), edges, percent)]
             if found:
                 sizes = [len(k) for _, _, k in found]
                 cols = np.concatenate([k for _, _, k in found]).view(np.int64), np.repeat(np.array([x for x, _, _ in found], np.int64), sizes), np.repeat(np.array([x for _, x, _ in found], np.int32), sizes)
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "node", "band"])
 
-    return nodes.select("node", "text").mapInArrow(run, "key long, node long, band int")
+    return nodes.select("node", "text").mapInArrow(released(run), "key long, node long, band int")
 
 
 def sketches(nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -150,7 +152,7 @@ def sketches(nodes: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in byte_slices(batches, "text", 2 << 20):
+        for batch in byte_slices(batches, "text", STEP_BYTES):
             rows = []
             for node, text in zip(batch["node"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 s = shingle_set(text.lower().split(), width, known)
@@ -161,7 +163,7 @@ def sketches(nodes: DataFrame, width: int, percent: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "band", "n", "slack", "bits"])
 
-    return nodes.select("node", "text").mapInArrow(run, "node long, band int, n long, slack int, bits binary")
+    return nodes.select("node", "text").mapInArrow(released(run), "node long, band int, n long, slack int, bits binary")
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,7 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
             near = within(batch["na"].to_numpy(), batch["nb"].to_numpy(), apart, percent)
             yield pa.RecordBatch.from_arrays([batch[x].filter(pa.array(near)) for x in ("a", "b")], ["a", "b"])
 
-    return sides.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long").distinct()
+    return sides.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,7 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", STEP_BYTES):
             found = [shingle_set(t.lower().split(), width, known).tobytes() for t in as_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "hashes"])
 
@@ -220,9 +222,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi")
-    table = written(texts.mapInArrow(sets, "doc_id long, hashes binary"), "sets")
+    table = written(texts.mapInArrow(released(sets), "doc_id long, hashes binary"), "sets")
     sides = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    out = written(sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
+    out = written(sides.select("a", "b", "x", "y").mapInArrow(released(compare), "a long, b long").distinct(), "links")
     forget(ids, table)
     return out
 
@@ -303,7 +305,7 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int, best: bool)
     dealt = dealt.join(nodes.select("node", "band", "n", "bits"), ["node", "band"])
     dealt = dealt.withColumn("at", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))"))).select("key", "at.i", "at.j", "block", "node", "component", "n", "bits")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(block_pairs(percent, best), "a long, b long").distinct()
+    return dealt.mapInArrow(released(block_pairs(percent, best)), "a long, b long").distinct()
 
 
 def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +323,7 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[D
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text", F.xxhash64("text").alias("h")).filter("node is not null")
     own = own.join(small_side(copies.select(F.col("doc_id").alias("node"), "h"), BROADCAST_IDS), ["node", "h"], "left_anti")
     pieces = piece_keys(own, width, percent).repartition("key").sortWithinPartitions("key", "node")
-    shared = written(pieces.mapInArrow(shared_keys, "key long, band int, node long, lo long"), "buckets")
+    shared = written(pieces.mapInArrow(released(shared_keys), "key long, band int, node long, lo long"), "buckets")
     ids = written(shared.select(F.explode(F.array("lo", "node")).alias("node")).distinct(), "ids")
     nodes = written(sketches(own.join(small_side(ids, BROADCAST_IDS), "node", "left_semi"), width, percent), "nodes")
     stars = shared.select("band", F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
