@@ -39,8 +39,8 @@ def format_conversations(turns: DataFrame, target: str = "assistant") -> DataFra
     `formatted` holds all turns once. `examples` has an entry per turn with role `target`, in order: context_turns and
     context_chars (all turns before it, which are the first so many characters of `formatted`), mask_start and mask_chars
     (where in `formatted` its text stands, which alone is trained), chars (of the whole example). Turns after the last
-    target make a last entry with a null mask, which trains nothing. Contexts are kept as lengths, so a conversation
-    costs its own size, not its square; `expand` makes the rows of examples, `example_texts` spells them out.
+    target make a last entry with a null mask, which trains nothing. Contexts are kept as lengths here; `expand`
+    makes the rows of examples, each with the text of all turns before it.
 
     Turns with the same number are ordered by role, then text; a null number comes first. Null text and null role:
     empty. Rows with null conv_id are one conversation. Repeated rows are turns of their own. Columns besides these four
@@ -60,21 +60,24 @@ def format_conversations(turns: DataFrame, target: str = "assistant") -> DataFra
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """One row per example of `format_conversations`: conv_id, example (from 1), context_turns, context_chars, mask_start, mask_chars, chars, completion (escaped, read under the mask; null if it trains nothing), conversation (`formatted`, of which the example is the first `chars` characters; in the first example only)."""
+    """One row per example of `format_conversations`, prefix and target spelt out: conv_id, example (from 1), context_turns, context_chars, mask_start, mask_chars, chars, conversation (the example's text: all turns before it, then its own), completion (escaped, read from that text under the mask; null if it trains nothing).
+
+    The rows are made one after the other, so a task holds one example's text besides its conversation.
+    """
     rows = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("i", "x"))
-    under = F.substr("formatted", (F.col("x.mask_start") + 1).cast("int"), F.col("x.mask_chars").cast("int"))
-    return rows.select("conv_id", (F.col("i") + 1).alias("example"), "x.*", under.alias("completion"), F.when(F.col("i") == 0, F.col("formatted")).alias("conversation"))
+    rows = rows.select("conv_id", (F.col("i") + 1).alias("example"), "x.*", F.substr("formatted", F.lit(1), F.col("x.chars").cast("int")).alias("conversation"))
+    under = F.substr("conversation", (F.col("mask_start") + 1).cast("int"), F.col("mask_chars").cast("int"))
+    return rows.withColumn("completion", under)
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
     """One row per example of `format_conversations`, spelt out: conv_id, example (from 1), text, mask_start, mask_chars."""
-    rows = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("i", "x"))
-    return rows.select("conv_id", (F.col("i") + 1).alias("example"), F.substr("formatted", F.lit(1), F.col("x.chars").cast("int")).alias("text"), "x.mask_start", "x.mask_chars")
+    return expand(formatted).select("conv_id", "example", F.col("conversation").alias("text"), "mask_start", "mask_chars")
 
 
 def read_back(expanded: DataFrame) -> DataFrame:
-    """Of the examples of each conversation (`expand`): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the formatted text and its masks alone. Rows stay where the formatting has put them."""
-    rows = expanded.groupBy("conv_id").agg(F.max("conversation").alias("formatted"), F.sort_array(F.collect_list(F.when(F.col("completion").isNotNull(), F.struct("example", "completion")))).alias("trained"), F.sum("chars").alias("formatted_chars"))
+    """Of the examples of each conversation (`expand`): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the texts of its examples (the longest is the whole conversation) and their masks alone. Rows stay where the formatting has put them."""
+    rows = expanded.groupBy("conv_id").agg(F.max_by("conversation", "chars").alias("formatted"), F.sort_array(F.collect_list(F.when(F.col("completion").isNotNull(), F.struct("example", "completion")))).alias("trained"), F.sum(F.length("conversation")).cast("long").alias("formatted_chars"))
     parts = F.expr(f"filter(split(formatted, '{CLOSE}', -1), x -> x <> '')")
 
     def turn(x: Column) -> Column:
