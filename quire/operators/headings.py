@@ -29,6 +29,8 @@ ACCEPTED = 1.8
 LINE_CHARS, FALLBACK_LINES = 100, 2000
 #: An upper marker that more lines carry, and of which a smaller share has chapters after it, is a chapter marker.
 FREQUENT, BEFORE = 50, 0.3
+#: Books whose markers are broadcast at most.
+BROADCAST_BOOKS = 100_000
 ANY = "|".join((*UPPER, *PRIMARY))
 GAP = f"{BLANK}*"
 BRACKET = f"(?:【[^】]+】{GAP})?"
@@ -122,14 +124,27 @@ def hierarchy(lines: DataFrame) -> DataFrame:
     return rows.select("book_id", F.aggregate(listed(UPPER), first, judge).alias("h")).select("book_id", "h.upper", "h.primary")
 
 
+def has(line: str, form: str) -> Column:
+    """Whether a line holds a pattern that a column gives. `rlike` compiles such a pattern for every row, `regexp_instr` keeps the last one."""
+    return F.expr(f"regexp_instr({line}, {form}) > 0")
+
+
+def spread(lines: DataFrame) -> DataFrame:
+    """`lines` dealt to all cores by book and line, however few their files and books, those of a book side by side."""
+    spark = lines.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lines.repartition(n, "book_id", "line_no").sortWithinPartitions("book_id")
+
+
 def segments(lines: DataFrame, markers: DataFrame) -> DataFrame:
     """(book_id, line_no, part, segment, composite, upper, primary): lines cut before every heading inside them."""
-    rows = lines.join(markers, "book_id", "left").withColumn("upper", F.coalesce("upper", F.array().cast("array<string>"))).withColumn("primary", F.coalesce("primary", F.array().cast("array<string>")))
+    small = markers.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS
+    rows = spread(lines).join(F.broadcast(markers), "book_id", "left") if small else lines.join(markers, "book_id", "left").withColumn("upper", F.coalesce("upper", F.array().cast("array<string>"))).withColumn("primary", F.coalesce("primary", F.array().cast("array<string>")))
     own = F.array_join(F.concat("upper", "primary"), "|")
     form = F.concat(F.lit(rf"(?iu)(?:【[^】\r\n]+】{GAP})?第{GAP}{ORDINAL}{GAP}(?:"), F.when(own == "", ANY).otherwise(own), F.lit(")"))
     rows = rows.withColumn("form", form)
     pieces = F.split(F.expr(r"regexp_replace(line, form, '\u0001$0')"), "\u0001", -1)
-    cut = F.when(F.expr("line rlike form"), F.filter(F.transform(pieces, trimmed), lambda x: x != "")).otherwise(F.array("line"))
+    cut = F.when(has("line", "form"), F.filter(F.transform(pieces, trimmed), lambda x: x != "")).otherwise(F.array("line"))
     return rows.select("book_id", "line_no", "upper", "primary", cut.alias("cut")).select("book_id", "line_no", "upper", "primary", (F.size("cut") > 1).alias("composite"), F.posexplode("cut").alias("part", "segment"))
 
 
@@ -182,10 +197,11 @@ def chapter_candidates(parts: DataFrame) -> DataFrame:
         chinese = num.rlike(f"^[{CHINESE}]+$")
         next_char = F.substring(trimmed(rest), 1, 1)
         passes = (~explicit & ~digits & chinese) | ((sep == "") & next_char.rlike("^[0-9A-Za-z_一-鿿]$") & ~explicit & ~digits)
-        fits = (F.size("primary") > 0) & F.expr(f"line rlike f{i}") & ~passes
+        fits = (F.size("primary") > 0) & has("line", f"f{i}") & ~passes
         empty = F.col("composite") & (trimmed(rest) == "")
         found = F.when(fits, F.when(~empty, F.struct(rest.alias("rest"), sep.alias("sep"), F.lit(base).alias("base")))).otherwise(found)
-    return rows.withColumn("chapter", found).drop(*[f"f{i}" for i in range(len(forms))])
+    # As rows of an array the patterns are tried once a line; a filter on a plain column would bring them into every use of it.
+    return rows.select("*", F.explode(F.array(found)).alias("chapter")).drop(*[f"f{i}" for i in range(len(forms))])
 
 
 def upper_headings(parts: DataFrame) -> DataFrame:
@@ -199,8 +215,8 @@ def upper_headings(parts: DataFrame) -> DataFrame:
     made = lambda t, m: F.struct(t.alias("title"), m.alias("marker"))
     some = F.size("upper") > 0
     heading = (
-        F.when(some & F.expr("line rlike g1"), made(title(F.concat(F.lit("第"), get("g1", 1), get("g1", 2)), get("g1", 3)), get("g1", 2)))
-        .when(some & F.expr("line rlike g2"), made(title(F.concat(get("g2", 1), get("g2", 2)), get("g2", 3)), get("g2", 1)))
+        F.when(some & has("line", "g1"), made(title(F.concat(F.lit("第"), get("g1", 1), get("g1", 2)), get("g1", 3)), get("g1", 2)))
+        .when(some & has("line", "g2"), made(title(F.concat(get("g2", 1), get("g2", 2)), get("g2", 3)), get("g2", 1)))
         .when(F.col("line").rlike(latin), made(title(F.concat_ws(" ", F.regexp_extract("line", latin, 1), F.regexp_extract("line", latin, 2)), F.regexp_extract("line", latin, 3)), F.lower(F.regexp_extract("line", latin, 1))))
         .when(F.col("line").rlike("^【(.+?)】$"), made(F.col("line"), F.lit("bracket")))
     )
