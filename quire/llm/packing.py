@@ -24,6 +24,8 @@ from .common import as_bytes, byte_slices, released, tokenizer_path, written
 
 #: Words that a worker remembers at least; it forgets the older ones from twice as many.
 MEMO_WORDS = 300_000
+#: Bytes of text whose words a task holds at a time; as Python objects they take about ten times as many.
+TEXT_BYTES = 2 << 20
 #: Words that are encoded at a time.
 ENCODED = 5_000
 #: Pieces that one task packs together.
@@ -120,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         gc.disable()  # words and ids hold no cycles, and looking for some took a quarter of the time
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", TEXT_BYTES):
             if encoder.by_words:
                 texts = [t.split() for t in as_bytes(batch["text"])]
                 ids_of = encoder.words(set(chain.from_iterable(texts))).__getitem__
