@@ -26,12 +26,14 @@ from .common import as_bytes, byte_slices, released, tokenizer_path, written
 MEMO_WORDS = 300_000
 #: Bytes of text whose words a task holds at a time; as Python objects they take about ten times as many.
 TEXT_BYTES = 2 << 20
-#: Words that are encoded at a time.
-ENCODED = 5_000
+#: Words that are encoded at a time, and words that are encoded as one text.
+ENCODED, JOINED = 5_000, 500
 #: Pieces that one task packs together.
 GROUP = 20_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MARKS = string.punctuation.encode()
+# Bytes of marks, of plain letters and digits, and second bytes of the letters of Latin-1 (the first one is C3).
+MARK, PLAIN, LATIN = (np.isin(np.arange(256), list(x)) for x in (MARKS, (string.ascii_lowercase + string.digits).encode(), set(range(0x80, 0xC0)) - {0x97, 0xB7}))
 # What a tokenizer file says if its words can be encoded one by one.
 FORM = {
     "truncation": None,
@@ -48,8 +50,9 @@ class Encoder:
     """Ids of words by a tokenizer file that writes words in lower case and parts letters from marks.
 
     A word is its core, in lower case, and the ASCII marks that follow the core's last letter, which the tokenizer never
-    joins. Cores are few, so a worker remembers their ids from task to task, in two generations. Words that may hold one of
-    the file's added tokens, which are looked for before anything else, are encoded as they stand. A file of another form
+    joins. Most words of a text have come before, so a worker remembers the ids of words in lower case, and of their cores,
+    from task to task, in two generations; only words that it doesn't know are looked at one by one. Words that may hold one
+    of the file's added tokens, which are looked for before anything else, are encoded as they stand. A file of another form
     isn't `by_words`: its texts are encoded whole.
     """
 
@@ -62,25 +65,63 @@ class Encoder:
         self.added = [t["content"].lower().encode() for t in said["added_tokens"]]
         self.mark = os.path.commonprefix(self.added)
         self.by_words = all(said[k] == v for k, v in FORM.items()) and said["model"]["type"] == "BPE" and not said["model"].get("dropout") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]] for t in said["added_tokens"])
+        vocabulary, suffix = self.tokenizer.get_vocab(), said["model"].get("end_of_word_suffix")
+        #: Which ids end a word.
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def has_added(self, low: bytes) -> bool:
+        """Whether a text in lower case may hold an added token."""
+        return self.mark in low and any(x in low for x in self.added)
+
+    def split(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Words of each text, in lower case and parted between a plain letter or digit and a mark, where the tokenizer parts them too; a text that may hold an added token is split as it stands."""
+        low = b" ".join(texts).lower()
+        data = np.frombuffer(low, np.uint8)
+        plain = PLAIN[data]
+        two = np.flatnonzero(data[:-1] == 0xC3) + 1
+        plain[two] = LATIN[data[two]]
+        cuts = np.flatnonzero(plain[:-1] & MARK[data[1:]]) + 1
+        cut = np.insert(data, cuts, 32).tobytes()
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
+        starts = np.concatenate([[0], ends + 1])[: len(texts)]
+        spans = zip((starts + np.searchsorted(cuts, starts)).tolist(), (ends + np.searchsorted(cuts, ends)).tolist(), strict=True)
+        if self.mark not in low:
+            return [cut[i:j].split() for i, j in spans]
+        return [t.split() if self.has_added(t.lower()) else cut[i:j].split() for t, (i, j) in zip(texts, spans, strict=True)]
+
+    def encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word and its ids by the library. Words of letters alone are encoded many as one text, and parted after the ids that end words."""
+        encode = functools.partial(self.tokenizer.encode_batch_fast, add_special_tokens=False)
+        texts = {x: x.decode("utf-8", "replace") for x in words}
+        letters = [x for x, t in texts.items() if t.isalpha()] if self.ends.any() else []
+        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for group, e in zip(groups, encode([" ".join(map(texts.__getitem__, g)) for g in groups]), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(group):  # else one of them is several words to the tokenizer
+                held = ids.tobytes()
+                for x, i, j in zip(group, [0, *ends[:-1]], ends, strict=True):
+                    yield x, held[i:j]
+                    del texts[x]
+        for x, e in zip(texts, encode(list(texts.values())), strict=True):
+            yield x, array("I", e.ids).tobytes()
+
     def words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word, little-endian unsigned 32-bit."""
-        out, young, old, late, missing = {}, self.young, self.old, [], set()
-        for word in words:
+        """Ids of each word (and of others), little-endian unsigned 32-bit."""
+        young, old, late, missing, own = self.young, self.old, [], set(), {}
+        for word in words.difference(young):
+            if word in old:
+                young[word] = old[word]
+                continue
             low = word.lower()
-            if self.mark in low and any(x in low for x in self.added):
-                out[word] = self.whole(word)
+            if self.has_added(low):
+                own[word] = self.whole(word)
                 continue
             core = low.rstrip(MARKS)
-            if len(core) == len(low):
-                ids = young.get(low)
-                if ids is not None:
-                    out[word] = ids
-                    continue
-                parts = (low,)
-            elif core[-1:].isalnum() or core.decode("utf-8", "replace").lower()[-1:].isalpha():
+            if len(core) < len(low) and (core[-1:].isalnum() or core.decode("utf-8", "replace").lower()[-1:].isalpha()):
                 parts = core, low[len(core) :]
             else:
                 parts = (low,)
@@ -90,17 +131,18 @@ class Encoder:
                         young[x] = old[x]
                     else:
                         missing.add(x)
-            late.append((word, parts))
+            if parts != (word,):
+                late.append((word, low, parts))
         missing = list(missing)
         for at in range(0, len(missing), ENCODED):  # what the library says of a word takes a kilobyte
-            some = missing[at : at + ENCODED]
-            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            young.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, found, strict=True))
-        for word, parts in late:
-            out[word] = young[parts[0]] + young[parts[1]] if len(parts) == 2 else young[parts[0]]
+            young.update(self.encoded(missing[at : at + ENCODED]))
+        for word, low, parts in late:
+            ids = young[low] = b"".join(map(young.__getitem__, parts))
+            if word != low:
+                own[word] = ids
         if len(young) > MEMO_WORDS:
             self.young, self.old = {}, young
-        return out
+        return {x: own[x] if x in own else young[x] for x in words} if own else young
 
     def whole(self, text: bytes) -> bytes:
         """Ids of a text as the library gives them."""
@@ -124,7 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
         gc.disable()  # words and ids hold no cycles, and looking for some took a quarter of the time
         for batch in byte_slices(batches, "text", TEXT_BYTES):
             if encoder.by_words:
-                texts = [t.split() for t in as_bytes(batch["text"])]
+                texts = encoder.split(as_bytes(batch["text"]))
                 ids_of = encoder.words(set(chain.from_iterable(texts))).__getitem__
             else:
                 texts, ids_of = [[t] for t in as_bytes(batch["text"])], encoder.whole
